@@ -50,13 +50,12 @@ def _borders(df: DataFrame, names, by: str | None, n: int) -> dict:
     return out
 
 
-def _tree(v: Column, borders: list[float], lo: int) -> Column:
+def _tree(v: str, borders: list[float], lo: int) -> str:
     if not borders:
-        return F.lit(lo)
+        return str(lo)
     m = len(borders) // 2
-    return F.when(v > F.lit(borders[m]), _tree(v, borders[m + 1:], lo + m + 1)).otherwise(
-        _tree(v, borders[:m], lo)
-    )
+    above, below = _tree(v, borders[m + 1:], lo + m + 1), _tree(v, borders[:m], lo)
+    return f"CASE WHEN {v} > {borders[m]!r}D THEN {above} ELSE {below} END"
 
 
 def _range_path(order, borders: dict[str, list[float]]) -> Column:
@@ -65,21 +64,21 @@ def _range_path(order, borders: dict[str, list[float]]) -> Column:
     A value that fills several quantiles gets a range of its own, which is then
     cut again by the next sort key; so no single value can overload a task.
     """
-    path, live = [], F.lit(True)
+    path, live = [], "true"
     for name, asc in order:
         if name not in borders:
             break
         marks = borders[name]
         distinct = sorted(set(marks))
-        heavy = [v for v in distinct if marks.count(v) > 1]
-        v = F.col(name).cast("double")
-        is_heavy = F.coalesce(v.isin(heavy), F.lit(False)) if heavy else F.lit(False)
-        idx = F.when(v.isNotNull(), 2 * _tree(v, distinct, 0) + is_heavy.cast("int")).otherwise(-1)
-        path.append(F.when(live, idx if asc else -idx).otherwise(F.lit(0)))
+        heavy = ", ".join(f"{x!r}D" for x in distinct if marks.count(x) > 1)
+        v = f"cast(`{name}` AS double)"
+        is_heavy = f"coalesce({v} IN ({heavy}), false)" if heavy else "false"
+        idx = f"CASE WHEN {v} IS NULL THEN -1 ELSE 2 * {_tree(v, distinct, 0)} + cast({is_heavy} AS int) END"
+        path.append(f"CASE WHEN {live} THEN {'' if asc else '-'}({idx}) ELSE 0 END")
         if not heavy:
             break
-        live = live & is_heavy
-    return F.array(*path) if path else F.array(F.lit(0))
+        live = f"{live} AND {is_heavy}"
+    return F.expr(f"array({', '.join(path or ['0'])})")
 
 
 def with_range(df: DataFrame, order, small_by: str | None = None, out: str = "_range", n: int | None = None) -> DataFrame:
@@ -143,10 +142,9 @@ def row_index(df: DataFrame, order, out: str = "row_index") -> DataFrame:
 
 
 def _long(df: DataFrame, keys, cols: dict) -> DataFrame:
-    pairs = F.array(*[
-        F.struct(F.lit(name).alias("_m"), c(e).cast("double").alias("_v")) for name, e in cols.items()
-    ])
-    return df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._m", "_p._v")
+    """Wide to long; ``cols`` maps metric name -> SQL text."""
+    pairs = ", ".join(f"struct('{name}' AS _m, cast({e} AS double) AS _v)" for name, e in cols.items())
+    return df.selectExpr(*keys, f"explode(array({pairs})) AS _p").selectExpr(*keys, "_p._m", "_p._v")
 
 
 def pct_ranks(df: DataFrame, key: str, cols: dict, zero_when_constant: bool = False) -> DataFrame:
@@ -186,27 +184,18 @@ def exact_quantiles(df: DataFrame, cols: dict, ps, by=()) -> DataFrame:
     j = cum.join(total, [*by, "_m"])
     aggs = []
     for i, p in enumerate(ps):
-        pos = F.lit(float(p)) * (F.col("_all") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        for tag, at in (("lo", lo), ("hi", hi)):
-            hit = (F.col("_cum") - F.col("_n") <= at) & (at < F.col("_cum"))
-            aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
-        aggs.append(F.max(pos - lo).alias(f"_f{i}"))
-    g = j.groupBy(*by, "_m").agg(*aggs)
-    return g.select(
-        *by,
-        F.col("_m").alias("metric"),
-        *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"q_{i}") for i in range(len(ps))],
-    )
+        pos = f"({float(p)!r}D * (_all - 1))"
+        for tag, at in (("lo", f"floor({pos})"), ("hi", f"ceil({pos})")):
+            aggs.append(f"max(CASE WHEN _cum - _n <= {at} AND {at} < _cum THEN _v END) AS _{tag}{i}")
+        aggs.append(f"max({pos} - floor({pos})) AS _f{i}")
+    g = j.groupBy(*by, "_m").agg(*[F.expr(x) for x in aggs])
+    return g.selectExpr(*by, "_m AS metric", *[f"_lo{i} + (_hi{i} - _lo{i}) * _f{i} AS q_{i}" for i in range(len(ps))])
 
 
 def quantile_row(df: DataFrame, cols: dict, ps) -> DataFrame:
     """One row with columns <metric>_<i> for every quantile: safe to broadcast."""
     q = exact_quantiles(df, cols, ps)
-    return q.agg(*[
-        F.max(F.when(F.col("metric") == F.lit(m), F.col(f"q_{i}"))).alias(f"{m}_{i}")
-        for m in cols for i in range(len(ps))
-    ])
+    return q.agg(*[F.expr(f"max(q_{i}) FILTER (WHERE metric = '{m}') AS {m}_{i}") for m in cols for i in range(len(ps))])
 
 
 def group_median(df: DataFrame, by, value, out: str) -> DataFrame:
@@ -257,15 +246,14 @@ def asof_backward(left: DataFrame, right: DataFrame, by, left_time: str, right_t
 
 
 def min_max_scaled(df: DataFrame, cols: dict) -> DataFrame:
-    """Min-max scaling over the whole table; constant or null gives 0. One aggregate row for all columns."""
-    stats = df.agg(*[a for k, e in cols.items() for a in (
-        F.min(F.coalesce(c(e).cast("double"), F.lit(0.0))).alias(f"_lo_{k}"),
-        F.max(F.coalesce(c(e).cast("double"), F.lit(0.0))).alias(f"_hi_{k}"))])
+    """Min-max scaling over the whole table; constant or null gives 0.
+
+    ``cols`` maps output name -> SQL text; one aggregate row serves all columns.
+    """
+    val = {k: f"coalesce(cast({e} AS double), 0D)" for k, e in cols.items()}
+    stats = df.agg(*[F.expr(f"{fn}({v}) AS _{fn}_{k}") for k, v in val.items() for fn in ("min", "max")])
     out = df.crossJoin(F.broadcast(stats))
-    added = [
-        F.when(F.col(f"_hi_{k}") - F.col(f"_lo_{k}") < 1e-12, F.lit(0.0))
-        .otherwise((F.coalesce(c(e).cast("double"), F.lit(0.0)) - F.col(f"_lo_{k}"))
-                   / F.nullif(F.col(f"_hi_{k}") - F.col(f"_lo_{k}"), F.lit(0.0))).alias(k)
-        for k, e in cols.items()
-    ]
-    return out.select(*[F.col(x) for x in df.columns if x not in cols], *added)
+    return out.selectExpr(
+        *[f"`{x}`" for x in df.columns if x not in cols],
+        *[f"CASE WHEN _max_{k} - _min_{k} < 1e-12 THEN 0D ELSE ({v} - _min_{k}) / nullif(_max_{k} - _min_{k}, 0D) END AS {k}"
+          for k, v in val.items()])

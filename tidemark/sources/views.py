@@ -132,6 +132,16 @@ class Views:
             "exp(-0.75 * hr) AS survival_prob_90d",
             f"{bound('90 * 0.6931471805599453D / (0.75 * hr)', '1D', '90D')} AS predicted_median_time_to_churn_days")
 
+    def snapshots(self) -> DataFrame:
+        from ..operators.snapshots import activity_snapshots
+
+        return activity_snapshots(self.summary().select("customer_id", "signup_date", "frequency", "monetary"), self.events(), self.orders())
+
+    def churners(self) -> DataFrame:
+        from ..operators.journey import final_churn_run
+
+        return final_churn_run(self.snapshots())
+
     # ---- dense month --------------------------------------------------
     def live_events(self) -> DataFrame:
         return self.table("events").selectExpr(
