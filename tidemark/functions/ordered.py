@@ -14,21 +14,35 @@ stays the same when a task is run again.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .expr import c
 
 MAX_RANGES = 256
+_LOCAL: str | None = None
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh path under the folder the cluster names; a temporary one only where none is set, as in tests."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        global _LOCAL
+        _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="tidemark-")
+        folder = _LOCAL
+    return f"{folder.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names (a scratch one in tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Writes the rows once to shared storage and reads them back.
+
+    Used where a result feeds several jobs or rounds: it survives lost executors,
+    is not computed again, and gives the planner real sizes.
+    """
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def range_count(spark: SparkSession) -> int:
@@ -154,7 +168,7 @@ def pct_ranks(df: DataFrame, key: str, cols: dict, zero_when_constant: bool = Fa
     running counts over the distinct values give the ranks.  Returns key + ranks.
     """
     long = _long(df, [key], cols).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = long.groupBy("_m", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(long.groupBy("_m", "_v").agg(F.count(F.lit(1)).alias("_n")))
     cum = running_totals(counts, [("_v", True)], {"_cum": F.col("_n")}, small_by="_m")
     total = counts.groupBy("_m").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_d"))
     rank = (F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0) / F.col("_all")
@@ -177,7 +191,7 @@ def exact_quantiles(df: DataFrame, cols: dict, ps, by=()) -> DataFrame:
     """
     by = list(by)
     long = _long(df, by, cols).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = long.groupBy(*by, "_m", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(long.groupBy(*by, "_m", "_v").agg(F.count(F.lit(1)).alias("_n")))
     cum = running_totals(counts, [("_v", True)], {"_cum": F.col("_n")}, by=by, small_by="_m")
     total = counts.groupBy(*by, "_m").agg(F.sum("_n").alias("_all"))
     total = total if by else F.broadcast(total)

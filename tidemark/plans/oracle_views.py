@@ -1,5 +1,7 @@
 """DuckDB text of the shared views, in dependency order."""
 
+from . import decision_sql as ds
+
 VIEWS: dict[str, str] = {
     "t_orders": """
 SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate AS order_time, o_orderpriority AS item_category,
@@ -72,6 +74,11 @@ SELECT customer_id, hr AS predicted_hazard_ratio, exp(-0.25 * hr) AS survival_pr
        least(greatest(90 * CAST(0.6931471805599453 AS DOUBLE) / (0.75 * hr), 1.0), 90.0) AS predicted_median_time_to_churn_days
 FROM (SELECT customer_id, exp(CAST(1.2 AS DOUBLE) * (churn_probability - CAST(0.3 AS DOUBLE)) + CAST(0.002 AS DOUBLE) * least(recency_days, 400)) AS hr FROM t_summary)
 """,
+    "t_pool_base": ds.T_POOL_BASE,
+    "t_pool": ds.T_POOL,
+    "t_segments": ds.T_SEGMENTS,
+    "t_strategy": ds.T_STRATEGY,
+    "t_policy": ds.T_POLICY,
     "t_activity": """
 SELECT customer_id, "timestamp" AS t, event_type AS kind FROM t_events WHERE event_type IN ('visit', 'purchase')
 UNION ALL SELECT customer_id, order_time, 'purchase' FROM t_orders
