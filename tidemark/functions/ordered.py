@@ -50,17 +50,15 @@ def range_count(spark: SparkSession) -> int:
 
 
 def _borders(df: DataFrame, names, by: str | None, n: int) -> dict:
-    ps = F.array(*[F.lit(i / n) for i in range(1, n)])
-    aggs = [
-        F.percentile_approx(F.col(k).cast("double"), ps, F.lit(max(1000, 20 * n))).alias(f"_q{i}")
-        for i, k in enumerate(names)
-    ]
-    rows = (df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)).collect()
-    out = {}
-    for r in rows:
-        out[r[by] if by else None] = {
-            k: [float(x) for x in (r[f"_q{i}"] or [])] for i, k in enumerate(names)
-        }
+    """Quantile borders per key; a later key is only read when an earlier one has a dominating value."""
+    out: dict = {}
+    for k in names:
+        q = F.expr(f"percentile_approx(cast(`{k}` AS double), array({', '.join(f'{i / n!r}D' for i in range(1, n))}), {max(1000, 20 * n)}) AS q")
+        rows = (df.groupBy(by).agg(q) if by else df.agg(q)).collect()
+        for r in rows:
+            out.setdefault(r[by] if by else None, {})[k] = [float(x) for x in (r["q"] or [])]
+        if by or all(len(set(v[k])) == len(v[k]) for v in out.values()):
+            break
     return out
 
 

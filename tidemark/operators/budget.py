@@ -32,7 +32,8 @@ def greedy_select(candidates: DataFrame, order, budgets: dict[str, int], *, max_
     Money is counted in whole cents; sums are therefore exact in any order.
     """
     spark = candidates.sparkSession
-    ranked = cut_lineage(row_index(candidates.where("coupon_cost > 0"), order, "_pos"))
+    # the pool is read by the border pass, the ranking and the final join: write it once
+    ranked = cut_lineage(row_index(cut_lineage(candidates.where("coupon_cost > 0")), order, "_pos"))
     size = ranked.agg(F.count(F.lit(1)), F.count_distinct(KEY)).first()
     base = max_customers or (size[0] if high_base == "rows" else size[1])
     high_cap = max(1, int(max(base, 1) * high_share)) if high_share else None

@@ -74,13 +74,13 @@ def _(v):
     return rounded(co.cohort_summary(co.cohort_curve(all_cohorts(v), definition="core_engagement", mode="point")))
 
 
-_SN = ("customer_id, snapshot_date, last_visit_date, last_purchase_date, visits_total, purchases_total, round(monetary_total, 2) AS monetary_total, inactivity_days, "
+_SN = ("customer_id, snapshot_date, last_visit_date, last_purchase_date, visits_total, purchases_total, round(monetary_total, 6) AS monetary_total, inactivity_days, "
        "current_status, recent_visit_score, recent_purchase_score, recent_exposure_score")
 
 
 @query("activity_snapshots", f"SELECT {_SN} FROM t_snapshots")
 def _(v):
-    return rounded(v.snapshots(), default=2)
+    return rounded(v.snapshots())
 
 
 @query("monthly_snapshots", """

@@ -37,12 +37,12 @@ def policy(v):
 
 
 @query("survival_timing", f"""SELECT customer_id, round(risk_percentile, 6) AS risk_percentile, round(s30, 6) AS short_term_survival_probability, round(1 - s60, 6) AS mid_term_churn_probability,
-  round(timing_urgency_score, 5) AS timing_urgency_score, round(churn_timing_weight, 5) AS churn_timing_weight, intervention_window_days, recommended_intervention_window, timing_priority_bucket
+  round(timing_urgency_score, 6) AS timing_urgency_score, round(churn_timing_weight, 6) AS churn_timing_weight, intervention_window_days, recommended_intervention_window, timing_priority_bucket
 FROM ({timing_sql('t_summary')})""")
 def _(v):
     t = de.survival_timing(v.summary(), v.survival())
     return rounded(t.select("customer_id", "risk_percentile", "short_term_survival_probability", "mid_term_churn_probability", "timing_urgency_score", "churn_timing_weight",
-                            "intervention_window_days", "recommended_intervention_window", "timing_priority_bucket"), {"timing_urgency_score": 5, "churn_timing_weight": 5})
+                            "intervention_window_days", "recommended_intervention_window", "timing_priority_bucket"))
 
 
 @query("customer_segment", "SELECT customer_id, customer_segment, is_new AS is_new_customer, round(retention_priority_score, 3) AS retention_priority_score FROM t_segments")
