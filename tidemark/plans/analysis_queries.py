@@ -112,14 +112,14 @@ def _(v):
     return rounded(rc.interest_scores(v.events()), default=8)
 
 
-@query("segment_popularity", f"WITH {_SEG} SELECT persona, uplift_segment, item_category, round(sp, 1) AS segment_popularity FROM sg")
+@query("segment_popularity", f"WITH {_SEG} SELECT persona, uplift_segment, item_category, round(sp, 2) AS segment_popularity FROM sg")
 def _(v):
-    return rounded(rc.segment_popularity(v.summary(), v.orders()), default=1)
+    return rounded(rc.segment_popularity(v.summary(), v.orders()), default=2)
 
 
-@query("global_popularity", f"WITH {_GLOB} SELECT item_category, round(gp, 1) AS global_popularity FROM gl")
+@query("global_popularity", f"WITH {_GLOB} SELECT item_category, round(gp, 2) AS global_popularity FROM gl")
 def _(v):
-    return rounded(rc.global_popularity(v.orders()), default=1)
+    return rounded(rc.global_popularity(v.orders()), default=2)
 
 
 _PCT = lambda x: f"(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0) / count(*) OVER ()"
@@ -180,8 +180,8 @@ def _(v):
 
 # ---- explanations ------------------------------------------------------
 _XP = f"""p AS (SELECT *, {_PCT('recency_days')} AS p1, {_PCT('uplift_score')} AS p2, {_PCT('coupon_affinity')} AS p3, {_PCT('clv')} AS p4, {_PCT('discount_pressure_score')} AS p5, {_PCT('brand_sensitivity')} AS p6 FROM t_summary),
-q AS (SELECT *, list_filter([CASE WHEN p1 >= 0.80 THEN 'purchase_recency_drop' END], x -> x IS NOT NULL) AS r0, list_filter([CASE WHEN p2 >= 0.70 THEN 'high_uplift' END, CASE WHEN p3 >= 0.70 THEN 'coupon_affinity' END, CASE WHEN p4 >= 0.75 THEN 'high_clv' END], x -> x IS NOT NULL) AS l0,
-   list_filter([CASE WHEN p5 >= 0.75 THEN 'discount_pressure' END, CASE WHEN p6 >= 0.70 THEN 'brand_sensitivity' END], x -> x IS NOT NULL) AS g0 FROM p),
+q AS (SELECT *, list_filter([CASE WHEN p1 >= 0.80 THEN 'purchase_recency_drop' END], lambda x: x IS NOT NULL) AS r0, list_filter([CASE WHEN p2 >= 0.70 THEN 'high_uplift' END, CASE WHEN p3 >= 0.70 THEN 'coupon_affinity' END, CASE WHEN p4 >= 0.75 THEN 'high_clv' END], lambda x: x IS NOT NULL) AS l0,
+   list_filter([CASE WHEN p5 >= 0.75 THEN 'discount_pressure' END, CASE WHEN p6 >= 0.70 THEN 'brand_sensitivity' END], lambda x: x IS NOT NULL) AS g0 FROM p),
 e AS (SELECT *, array_to_string(CASE WHEN len(r0) = 0 AND churn_probability >= 0.5 THEN ['high_churn_score'] ELSE r0 END, ', ') AS risk_reason_codes,
    array_to_string(CASE WHEN len(l0) = 0 AND expected_roi > 0 THEN ['positive_expected_roi'] ELSE l0[1:2] END, ', ') AS action_reason_codes, array_to_string(g0[1:2], ', ') AS guardrail_codes FROM q)"""
 
@@ -197,11 +197,11 @@ def _(v):
 
 
 _RS = """list_filter([CASE WHEN churn_probability >= 0.6 THEN '이탈 위험이 높음' END, CASE WHEN uplift_score >= 0.02 THEN '개입 반응 가능성이 큼' END, CASE WHEN clv >= 1000000 THEN '고객 가치가 높음' END, CASE WHEN intervention_window_days <= 7 THEN '개입 시한이 촉박함' END,
-  CASE WHEN expected_roi >= 0.3 THEN '예상 ROI가 양호함' END, CASE WHEN coupon_affinity >= 0.7 AND price_sensitivity >= 0.7 THEN '할인 반응성이 높은 편' END, CASE WHEN xc >= 3 THEN '최근 쿠폰 노출이 누적됨' END], x -> x IS NOT NULL)[1:4]"""
+  CASE WHEN expected_roi >= 0.3 THEN '예상 ROI가 양호함' END, CASE WHEN coupon_affinity >= 0.7 AND price_sensitivity >= 0.7 THEN '할인 반응성이 높은 편' END, CASE WHEN xc >= 3 THEN '최근 쿠폰 노출이 누적됨' END], lambda x: x IS NOT NULL)[1:4]"""
 
 
 @query("customer_explanations", f"""WITH b AS (SELECT t.*, coalesce(x.n, 0) AS xc FROM ({timing_sql('t_summary')}) t LEFT JOIN (SELECT customer_id, count(*) AS n FROM t_exposures GROUP BY 1) x USING (customer_id)),
-r AS (SELECT *, {_RS} AS rr, list_filter([CASE WHEN xc >= 3 THEN '과도한 쿠폰 학습 가능성' END, CASE WHEN price_sensitivity >= 0.8 THEN '할인 없이는 반응 저하 가능' END], x -> x IS NOT NULL) AS ww FROM b ORDER BY churn_probability DESC, uplift_score DESC, clv DESC, customer_id LIMIT 200)
+r AS (SELECT *, {_RS} AS rr, list_filter([CASE WHEN xc >= 3 THEN '과도한 쿠폰 학습 가능성' END, CASE WHEN price_sensitivity >= 0.8 THEN '할인 없이는 반응 저하 가능' END], lambda x: x IS NOT NULL) AS ww FROM b ORDER BY churn_probability DESC, uplift_score DESC, clv DESC, customer_id LIMIT 200)
 SELECT customer_id, CASE WHEN len(rr) > 0 THEN array_to_string(rr, ', ') ELSE '핵심 신호를 종합해 관찰 대상에 포함' END AS selection_reason, CASE WHEN len(ww) > 0 THEN array_to_string(ww, ', ') ELSE '가격·서비스·타이밍 리스크를 함께 점검' END AS watchout FROM r""")
 def _(v):
     x = v.exposures().groupBy("customer_id").agg(F.count(F.lit(1)).alias("coupon_exposure_count"))

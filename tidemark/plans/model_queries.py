@@ -96,18 +96,18 @@ def _(v):
 
 
 # ---- survival ----------------------------------------------------------
-_AT = "at AS (SELECT DISTINCT customer_id, t FROM t_activity)"
+_AT = "act AS (SELECT DISTINCT customer_id, t FROM t_activity)"
 
 
-@query("activity_times", f"WITH {_AT} SELECT customer_id, t AS activity_time FROM at")
+@query("activity_times", f"WITH {_AT} SELECT customer_id, t AS activity_time FROM act")
 def _(v):
     return sv.activity_times(v.events(), v.orders())
 
 
-_GAP = f"""{_AT}, la AS (SELECT customer_id, max(t) AS l FROM at WHERE t <= TIMESTAMP '{LM}' GROUP BY 1),
+_GAP = f"""{_AT}, la AS (SELECT customer_id, max(t) AS l FROM act WHERE t <= TIMESTAMP '{LM}' GROUP BY 1),
 ba AS (SELECT c.customer_id, coalesce(l, CASE WHEN signup_date <= TIMESTAMP '{LM}' THEN signup_date END, TIMESTAMP '{LM}') AS s FROM t_customers c LEFT JOIN la USING (customer_id)),
 el AS (SELECT * FROM ba WHERE s + INTERVAL 90 DAY > TIMESTAMP '{LM}'),
-st AS (SELECT customer_id, s AS t FROM el UNION ALL SELECT customer_id, t FROM at SEMI JOIN el USING (customer_id) WHERE t > TIMESTAMP '{LM}' AND t <= TIMESTAMP '{LM}' + INTERVAL 120 DAY),
+st AS (SELECT customer_id, s AS t FROM el UNION ALL SELECT customer_id, t FROM act SEMI JOIN el USING (customer_id) WHERE t > TIMESTAMP '{LM}' AND t <= TIMESTAMP '{LM}' + INTERVAL 120 DAY),
 ld AS (SELECT *, lead(t) OVER (PARTITION BY customer_id ORDER BY t) AS nx FROM st),
 ev AS (SELECT customer_id, min(t + INTERVAL 90 DAY) AS e FROM ld WHERE (nx IS NULL OR t + INTERVAL 90 DAY < nx) AND t + INTERVAL 90 DAY <= TIMESTAMP '{LM}' + INTERVAL 120 DAY GROUP BY 1),
 ge AS (SELECT el.customer_id, CASE WHEN e IS NOT NULL THEN greatest(e, TIMESTAMP '{LM}' + INTERVAL 1 DAY) END AS event_date FROM el LEFT JOIN ev USING (customer_id)),
@@ -133,7 +133,7 @@ def _(v):
 
 
 @query("status_survival_frame", f"""WITH f AS (SELECT customer_id, min(snapshot_date) AS e FROM t_snapshots WHERE snapshot_date > TIMESTAMP '{LM}' AND snapshot_date <= TIMESTAMP '{LM}' + INTERVAL 90 DAY AND current_status = 'churn_risk' GROUP BY 1)
-SELECT customer_id, CAST(coalesce(greatest(date_diff('day', TIMESTAMP '{LM}', e), 1), 90) AS INTEGER) AS duration_days, CAST(e IS NOT NULL AS INTEGER) AS event_observed FROM t_customers LEFT JOIN f USING (customer_id)""")
+SELECT customer_id, CAST(CASE WHEN e IS NULL THEN 90 ELSE greatest(date_diff('day', TIMESTAMP '{LM}', e), 1) END AS INTEGER) AS duration_days, CAST(e IS NOT NULL AS INTEGER) AS event_observed FROM t_customers LEFT JOIN f USING (customer_id)""")
 def _(v):
     return sv.landmark_frame(sv.status_events(v.customers(), v.snapshots(), LM), LM)
 
@@ -147,12 +147,12 @@ def _(v):
     return rounded(sv.kaplan_meier(frame(v).join(v.customers().select("customer_id", "persona"), "customer_id"), "persona"))
 
 
-_BETAS = {"frequency": (-0.4, 10.0, 3.0), "recency_days": (0.5, 200.0, 180.0)}
+_BETAS = {"frequency": (-0.4, 10.0, 3.0), "recency_days": (0.5, 200.0, 181.7)}
 _BASE = [round(0.004 * d, 6) for d in range(1, 121)]
-_HZ = "hz AS (SELECT customer_id, exp(-0.4 * (frequency - 10) / 3.0 + 0.5 * (recency_days - 200) / 180.0) AS h FROM t_summary)"
+_HZ = "hz AS (SELECT customer_id, exp(-0.4 * (frequency - 10) / 3.0 + 0.5 * (recency_days - 200) / 181.7) AS h FROM t_summary)"
 
 
-@query("survival_predict", f"""WITH {_HZ}, r AS (SELECT *, {_PCT('round(h, 12)')} AS pc, row_number() OVER (ORDER BY h, customer_id) AS k, count(*) OVER () AS n FROM hz)
+@query("survival_predict", f"""WITH {_HZ}, r AS (SELECT *, {_PCT('h')} AS pc, row_number() OVER (ORDER BY h, customer_id) AS k, count(*) OVER () AS n FROM hz)
 SELECT customer_id, round(h, 6) AS predicted_hazard_ratio, {', '.join(f"round(exp(-{_BASE[d - 1]} * h), 6) AS survival_prob_{d}d" for d in (1, 30, 60, 90, 120))},
   CAST(least(greatest(ceil(ln(2) / (0.004 * h) - 1e-9), 1), 120) AS DOUBLE) AS predicted_median_time_to_churn_days, round(pc, 6) AS risk_percentile,
   CASE WHEN k <= 1 + (n - 1) / 3.0 THEN 'Low risk' WHEN k <= 1 + 2 * (n - 1) / 3.0 THEN 'Mid risk' ELSE 'High risk' END AS risk_group FROM r""")
@@ -163,7 +163,7 @@ def _(v):
 @query("concordance_index", f"""WITH {_GAP}, {_HZ}, x AS (SELECT duration_days AS t, event_observed AS e, round(h, 9) AS h FROM du JOIN hz USING (customer_id))
 SELECT count(*) AS comparable_pairs, round(avg(CASE WHEN a.h > b.h THEN 1.0 WHEN a.h = b.h THEN 0.5 ELSE 0 END), 6) AS concordance_index FROM x a JOIN x b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0))""")
 def _(v):
-    hz = v.summary().selectExpr("customer_id", "round(exp(-0.4D * (frequency - 10) / 3D + 0.5D * (recency_days - 200) / 180D), 9) AS predicted_hazard_ratio")
+    hz = v.summary().selectExpr("customer_id", "round(exp(-0.4D * (frequency - 10) / 3D + 0.5D * (recency_days - 200) / 181.7D), 9) AS predicted_hazard_ratio")
     return rounded(sv.concordance_index(frame(v).join(hz, "customer_id")))
 
 
