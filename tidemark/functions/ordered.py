@@ -42,7 +42,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_once = True
+    return out
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """For a frame that a step reads more than once: written once, unless it already is.
+
+    Without it every two-pass step (limits, then rows) would double the plan below
+    it, and a chain of such steps would compute its input many times over.
+    """
+    return df if getattr(df, "_written_once", False) else cut_lineage(df)
+
+
+def cheap(df: DataFrame) -> DataFrame:
+    """Marks a frame that only projects over a written one: reading it again costs a scan, not a recomputation."""
+    df._written_once = True
+    return df
 
 
 def range_count(spark: SparkSession) -> int:
@@ -262,6 +279,7 @@ def min_max_scaled(df: DataFrame, cols: dict) -> DataFrame:
 
     ``cols`` maps output name -> SQL text; one aggregate row serves all columns.
     """
+    df = shared(df)
     val = {k: f"coalesce(cast({e} AS double), 0D)" for k, e in cols.items()}
     stats = df.agg(*[F.expr(f"{fn}({v}) AS _{fn}_{k}") for k, v in val.items() for fn in ("min", "max")])
     out = df.crossJoin(F.broadcast(stats))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordered import pct_ranks, quantile_row
+from ..functions.ordered import pct_ranks, quantile_row, shared
 
 KEY = "customer_id"
 
@@ -40,6 +40,7 @@ def funnel_user_rates(customers: DataFrame, events: DataFrame, orders: DataFrame
 
 def treatment_balance_audit(summary: DataFrame, customers: DataFrame, events: DataFrame, orders: DataFrame, *, columns=("price_sensitivity", "coupon_affinity"),
                             inactivity: str = "recency_days") -> DataFrame:
+    summary = shared(summary)
     smd = standardized_differences(summary, columns).agg(F.expr("max(abs(smd)) AS max_abs_smd"))
     rho = spearman(summary, "churn_probability", inactivity)
     p90 = quantile_row(summary, {"_p90": "churn_probability"}, [0.9])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expr import add, at
-from ..functions.ordered import cut_lineage, quantile_row
+from ..functions.ordered import cut_lineage, quantile_row, shared
 
 KEY = "customer_id"
 WINDOWS = (30, 90, 180)
@@ -30,6 +30,7 @@ def future_spend(customers: DataFrame, orders: DataFrame, anchor: str, horizon:
 
 
 def clv_distribution(df: DataFrame, value: str = "predicted_clv_12m") -> DataFrame:
+    df = shared(df)
     q = quantile_row(df, {"_v": value}, [0.5, 0.8, 0.95])
     one = df.agg(F.expr(f"min({value}) AS min_clv"), F.expr(f"avg({value}) AS mean_clv"), F.expr(f"max({value}) AS max_clv"))
     flag = df.crossJoin(F.broadcast(q)).agg(F.expr(f"count_if({value} >= _v_1) AS high_value_customers"), F.expr(f"count_if({value} >= _v_1) / count(1) AS high_value_share"))
@@ -37,6 +38,7 @@ def clv_distribution(df: DataFrame, value: str = "predicted_clv_12m") -> DataFra
 
 
 def flag_high_value(df: DataFrame, value: str = "predicted_clv_12m") -> DataFrame:
+    df = shared(df)
     q = quantile_row(df, {"_v": value}, [0.8])
     return df.crossJoin(F.broadcast(q)).selectExpr(*df.columns, "_v_0 AS high_value_threshold_80pct", f"{value} >= _v_0 AS is_high_value_top20pct")
 

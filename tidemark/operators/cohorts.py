@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.ordered import shared
+
 KEY = "customer_id"
 # What counts as activity.
 ACTIVITY_PRESETS: dict[str, tuple[str, ...]] = {
@@ -83,6 +85,7 @@ def cohort_curve(cohorts: DataFrame, *, definition: str | None = None, mode: str
         ranks = [wanted] if wanted else []
         order = "CASE " + " ".join(f"WHEN {col} = '{x}' THEN {i}" for i, x in enumerate([*ranks, *preference])) + " ELSE 99 END"
         return F.expr(f"min_by({col}, struct({order}, {col})) AS _{col}")
+    cohorts = shared(cohorts)
     pick = cohorts.agg(chosen("activity_definition", definition, DEFINITION_PREFERENCE), chosen("retention_mode", mode, MODE_PREFERENCE))
     df = cohorts.crossJoin(F.broadcast(pick)).where("activity_definition = _activity_definition AND retention_mode = _retention_mode")
     df = df.drop("_activity_definition", "_retention_mode").where(F.col("cohort_size") >= min_size)
@@ -95,6 +98,7 @@ def cohort_pivot(curve: DataFrame, periods: int = 7) -> DataFrame:
 
 def cohort_summary(curve: DataFrame) -> DataFrame:
     """One row: averages, the comparable period of mature cohorts, best and worst cohort, non-monotonic count."""
+    curve = shared(curve)
     steps = curve.withColumn("_prev", F.lag("retention_rate").over(W.partitionBy("cohort_month").orderBy("period")))
     per = steps.groupBy("cohort_month").agg(
         F.max("cohort_size").alias("size"), F.max("period").alias("last_period"), F.max_by("retention_rate", "period").alias("last_rate"),

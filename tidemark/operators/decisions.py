@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expr import add, bound, chain
-from ..functions.ordered import min_max_scaled, quantile_row
+from ..functions.ordered import cheap, min_max_scaled, quantile_row, shared
 from .scoring import customer_segment
 
 KEY = "customer_id"
@@ -253,11 +253,11 @@ def candidate_pool(df: DataFrame, *, threshold: float = 0.5, survival: DataFrame
         "roi_rank_score": "expected_roi", "profit_rank_score": "expected_incremental_profit", "clv_rank_score": "clv",
         "timing_rank_score": "timing_urgency_score", "_window": "intervention_window_days", "intensity_fit_rank_score": "intensity_effect_multiplier",
         "optimization_rank_score": "optimization_score"})
-    return chain(
+    return cheap(chain(
         pool, window_rank_score="1 - _window",
         priority_score="0.18 * roi_rank_score + 0.18 * profit_rank_score + 0.14 * churn_probability + 0.10 * uplift_score + 0.10 * clv_rank_score "
                        "+ 0.12 * timing_rank_score + 0.08 * window_rank_score + 0.10 * intensity_fit_rank_score",
-        selection_score="0.55 * priority_score + 0.45 * optimization_rank_score").drop("_window")
+        selection_score="0.55 * priority_score + 0.45 * optimization_rank_score").drop("_window"))
 
 
 POOL_ORDER = [("selection_score", False), ("priority_score", False), ("optimization_score", False), ("timing_urgency_score", False),
@@ -289,9 +289,11 @@ def high_value_rank(df: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def retention_targets(df: DataFrame, threshold: float = 0.5, top: int | None = None) -> DataFrame:
+    df = shared(df)
     med = quantile_row(df, {"_clv": "coalesce(clv, 0D)"}, [0.5])
     t = df.crossJoin(F.broadcast(med)).where(
         f"churn_probability >= {threshold} AND uplift_score > 0.08 AND clv > _clv_0 AND coalesce(uplift_segment, '') <> 'Sleeping Dogs'").drop("_clv_0")
+    t = shared(t)
     best = t.agg(F.expr("greatest(max(clv), 1D) AS _max"))
     out = t.crossJoin(F.broadcast(best)).withColumn("priority_score", F.expr(
         "0.45 * churn_probability + 0.25 * uplift_score + 0.30 * (clv / _max)")).drop("_max").orderBy(F.desc("priority_score"), F.desc("expected_roi"), KEY)

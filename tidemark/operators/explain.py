@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expr import add
-from ..functions.ordered import pct_ranks
+from ..functions.ordered import pct_ranks, shared
 
 KEY = "customer_id"
 # Rules as (feature, direction, percent-rank threshold, code).
@@ -42,6 +42,7 @@ def _hits(rules, have, take: str) -> str:
 def operational_reasons(df: DataFrame) -> DataFrame:
     """First three risk, two lever and two guardrail reasons in rule order, with fallbacks."""
     have = [f for f, *_ in (*RISK_RULES, *LEVER_RULES, *GUARDRAIL_RULES) if f in df.columns]
+    df = shared(df)
     ranks = pct_ranks(df, KEY, {f"_p_{f}": f"coalesce({f}, 0)" for f in have})
     out = df.join(ranks, KEY)
     out = add(out, _risk=_hits(RISK_RULES, have, "code"), _lever=_hits(LEVER_RULES, have, "code"), _guard=_hits(GUARDRAIL_RULES, have, "code"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.expr import (
     add, at, count_where, days_between, days_sql, div_null, in_window, ratio_null, ratio_zero, shift_days, ts, whole_days, win,
 )
-from ..functions.ordered import cut_lineage, exact_quantiles, group_median, previous_row
+from ..functions.ordered import cut_lineage, exact_quantiles, group_median, previous_row, shared
 
 KEY = "customer_id"
 # The event vocabulary, the statuses that mean risk, and types that are no activity.
@@ -198,6 +198,7 @@ def journey_stage(snapshots: DataFrame, as_of) -> DataFrame:
     """
     hist = snapshots.where(F.col("snapshot_date") <= _at(as_of))
     extra = [x for x in ("inactivity_days", "recent_visit_score", "recent_purchase_score", "recent_exposure_score") if x in snapshots.columns]
+    hist = shared(hist)
     latest = hist.groupBy(KEY).agg(F.max_by(F.struct("current_status", "snapshot_date", *extra), "snapshot_date").alias("l"))
     j = hist.select(KEY, "snapshot_date", "current_status").join(latest, KEY)
     other = F.max(F.when(F.col("current_status") != F.col("l.current_status"), F.col("snapshot_date")))
@@ -261,6 +262,7 @@ def winsorize_impute(df: DataFrame, skip=(KEY, "label")) -> tuple[DataFrame, Dat
 
     Also returns the clip and fill values in long form.
     """
+    df = shared(df)
     numeric = [n for n, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint") and n not in skip]
     text = [n for n, t in df.dtypes if t == "string" and n not in skip]
     q = exact_quantiles(df, {n: n for n in numeric}, [0.01, 0.5, 0.99])
@@ -355,7 +357,7 @@ def build_customer_features(customers: DataFrame, events: DataFrame, orders: Dat
     )
     df = with_time_ratios(df, "weekend_purchases", "frequency_90d").drop("weekend_purchases", "coupon_cost_prev_30d")
     # the finished frame is read several times by the quantile passes: write it once
-    return winsorize_impute(cut_lineage(df)) if finish else (df, None)
+    return winsorize_impute(shared(df)) if finish else (df, None)
 
 
 def feature_metadata(features: DataFrame, as_of: str, horizon: int, label_source: str = "future_activity_horizon_no_activity") -> DataFrame:

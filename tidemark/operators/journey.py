@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.ordered import exact_quantiles, previous_row
+from ..functions.ordered import exact_quantiles, previous_row, shared
 
 KEY = "customer_id"
 # Event types that carry meaning, the reported types, the stage names.
@@ -15,6 +15,7 @@ STAGES = ("가입", "첫구매", "재구매", "충성", "이탈")
 
 def final_churn_run(snapshots: DataFrame) -> DataFrame:
     """Start of the unbroken churn_risk run at the end of the history, from aggregates only."""
+    snapshots = shared(snapshots.select(KEY, "snapshot_date", "current_status"))
     ends = snapshots.groupBy(KEY).agg(
         F.max("snapshot_date").alias("final_snapshot_date"),
         F.expr("max(snapshot_date) FILTER (WHERE current_status <> 'churn_risk') AS _other"))
@@ -50,6 +51,7 @@ def compressed_sequences(events: DataFrame, n: int = 5) -> DataFrame:
 
 
 def pre_churn_patterns(events: DataFrame, anchors: DataFrame, top: int = 5) -> DataFrame:
+    anchors = shared(anchors)
     seq = compressed_sequences(_before_anchor(events, anchors))
     per = anchors.select(KEY).join(seq, KEY, "left").selectExpr(KEY, "coalesce(pattern, 'no_history') AS pattern")
     total = anchors.agg(F.expr("greatest(count(1), 1) AS _n"))
@@ -80,11 +82,13 @@ def journey_funnel(customers: DataFrame, orders: DataFrame, churners: DataFrame)
 
 
 def churn_timing_by_stage(customers: DataFrame, orders: DataFrame, churners: DataFrame) -> DataFrame:
+    churners = shared(churners)
     before = orders.join(churners.select(KEY, "final_churn_start_date"), KEY).where("order_time <= final_churn_start_date").groupBy(KEY).agg(
         F.count(F.lit(1)).alias("_n"))
     t = churners.join(customers.select(KEY, "signup_date"), KEY, "left").join(before, KEY, "left").selectExpr(
         KEY, "CASE WHEN _n >= 3 THEN '충성' WHEN _n = 2 THEN '재구매' WHEN _n = 1 THEN '첫구매' ELSE '가입' END AS churn_stage",
         "greatest(floor((unix_micros(cast(final_churn_start_date AS timestamp)) - unix_micros(cast(signup_date AS timestamp))) / 86400000000), 0) AS d")
+    t = shared(t)
     med = exact_quantiles(t, {"d": "d"}, [0.5], by=["churn_stage"])
     total = t.agg(F.expr("greatest(count(1), 1) AS _t"))
     g = t.groupBy("churn_stage").agg(F.count_distinct(KEY).alias("churned_customers"), F.avg("d").alias("avg_days_to_churn"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expr import add, bound, chain
-from ..functions.ordered import cut_lineage, exact_quantiles, pct_ranks, previous_row, quantile_row, row_index
+from ..functions.ordered import cut_lineage, exact_quantiles, pct_ranks, previous_row, quantile_row, row_index, shared
 from . import onboarding_words as words
 from .scoring import uplift_by_median
 
@@ -285,6 +285,7 @@ def estimate_churn_probability(df: DataFrame, label: str | None = None) -> DataF
     tie = f"(pmod(xxhash64({KEY}), 1000003) / 1000003D)"
     src = {"_rec": z("recency_days"), "_ina": z("inactivity_days") if "inactivity_days" in have else z("recency_days"), "_fre": z("frequency"), "_mon": z("monetary")}
     eng = [c for c in ("avg_session_duration_sec_uploaded", "pageviews_per_session_uploaded") if c in have]
+    df = shared(df)
     ranks = pct_ranks(df, KEY, {**{k: f"{e} + 1e-7 * {tie}" for k, e in src.items()}, **{f"_e{i}": c for i, c in enumerate(eng)}})
     d = df.join(ranks, KEY)
     e = "0.5D"
@@ -304,6 +305,7 @@ def estimate_churn_probability(df: DataFrame, label: str | None = None) -> DataF
 
 
 def assign_persona(df: DataFrame) -> DataFrame:
+    df = shared(df)
     ranks = pct_ranks(df, KEY, {"_m": "coalesce(monetary, 0D)", "_f": "coalesce(frequency, 0)"})
     return df.join(ranks, KEY).withColumn("persona", F.expr(
         "CASE WHEN _m >= 0.80 AND _f >= 0.70 THEN 'vip_loyal' WHEN _m >= 0.50 AND _f >= 0.50 THEN 'regular_loyal' WHEN churn_probability >= 0.60 THEN 'churn_progressing' "
@@ -311,6 +313,7 @@ def assign_persona(df: DataFrame) -> DataFrame:
 
 
 def assign_uplift_by_median(df: DataFrame) -> DataFrame:
+    df = shared(df)
     med = quantile_row(df, {"_med": "coalesce(monetary, 0D)"}, [0.5])
     return df.crossJoin(F.broadcast(med)).withColumn("uplift_segment", F.expr(uplift_by_median("churn_probability", "monetary", "_med_0"))).drop("_med_0")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.ordered import pct_ranks
+from ..functions.ordered import pct_ranks, shared
 
 KEY = "customer_id"
 # Browse-like events, finance labels of categories and reasons.
@@ -51,6 +51,7 @@ def global_popularity(orders: DataFrame) -> DataFrame:
 
 
 def risk_targets(summary: DataFrame, limit: int | None = 100, min_churn: float = 0.45) -> DataFrame:
+    summary = shared(summary)
     ranks = pct_ranks(summary, KEY, {"_u": "coalesce(uplift_score, 0D)", "_v": "coalesce(clv, 0D)"}, zero_when_constant=True)
     out = summary.join(ranks, KEY).withColumn("recommendation_priority", F.expr(
         "0.45 * least(greatest(coalesce(churn_probability, 0D), 0D), 1D) + 0.25 * _u + 0.30 * _v")).drop("_u", "_v").where(
@@ -68,6 +69,7 @@ def given_targets(summary: DataFrame, targets: DataFrame, limit: int | None = 10
     if "churn_score" in df.columns:
         df = df.withColumn("churn_probability", F.expr("coalesce(churn_score, churn_probability)"))
     z = lambda n, d="0D": f"coalesce({n}, {d})" if n in df.columns else d
+    df = shared(df)
     ranks = pct_ranks(df, KEY, {"_p": z("priority_score"), "_u": z("uplift_score"), "_v": z("clv"), "_r": f"greatest({z('expected_roi')}, 0D)"}, zero_when_constant=True)
     df = df.join(ranks, KEY).withColumn("recommendation_priority", F.expr(
         f"least(greatest(0.30 * _p + 0.22 * least(greatest({z('churn_probability')}, 0D), 1D) + 0.14 * _u + 0.14 * _v + 0.10 * _r "
@@ -84,6 +86,7 @@ def recommend_topk(targets: DataFrame, orders: DataFrame, events: DataFrame, sum
     The catalog has a few hundred categories at most; a customer's window spans
     the catalog, never their history.
     """
+    targets = shared(targets)
     glob = global_popularity(orders)
     seen = events.where(F.col("item_category").isNotNull() & F.lower("event_type").isin(*BROWSE_TYPES)).select("item_category")
     cats = glob.select("item_category").unionByName(seen).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expr import at, bound, chain
-from ..functions.ordered import pct_ranks, quantile_row
+from ..functions.ordered import pct_ranks, quantile_row, shared
 from .scoring import uplift_band
 
 KEY = "customer_id"
@@ -20,6 +20,7 @@ def _case(col: str, values: dict) -> str:
 
 def calibrate_by_rank(df: DataFrame, raw: str, inactivity: str, threshold: int, out: str = "churn_probability") -> DataFrame:
     """Logistic of the percent rank, centred so that the share above one half fits the observed inactivity."""
+    df = shared(df)
     share = df.agg(F.expr(f"least(greatest(avg(CASE WHEN {inactivity} >= {threshold} THEN 1D ELSE 0D END), 0.15), 0.25) AS _share"))
     ranks = pct_ranks(df, KEY, {"_pct": raw})
     j = df.join(ranks, KEY, "left").crossJoin(F.broadcast(share))
@@ -56,6 +57,7 @@ def build_customer_summary(customers: DataFrame, assignments: DataFrame, events:
         uplift_score=bound(f"0.55 * ({latent}) + 0.20 * (coupon_redeem_count + 1D) / (coupon_exposure_count + 4D) "
                            "+ CASE WHEN coupon_exposure_count > 0 THEN 0.08 ELSE 0D END", -0.15, 0.42),
     )
+    df = shared(df)
     p95 = quantile_row(df, {"_m95": "monetary", "_f95": "frequency"}, [0.95])
     scaled = lambda x, top: bound(f"{x} / greatest({top}, 1D)", "0D", "1D")
     raw = (

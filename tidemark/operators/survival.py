@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.expr import add, at
-from ..functions.ordered import cut_lineage, exact_quantiles, pct_ranks, previous_row, row_index, running_totals
+from ..functions.ordered import cut_lineage, exact_quantiles, pct_ranks, previous_row, row_index, running_totals, shared
 
 KEY = "customer_id"
 
@@ -61,6 +61,7 @@ def kaplan_meier(df: DataFrame, group: str = "risk_group") -> DataFrame:
 
 def risk_groups(df: DataFrame, score: str = "predicted_hazard_ratio") -> DataFrame:
     """Percent rank and thirds of the rank (ties by customer)."""
+    df = shared(df)
     ranks = pct_ranks(df, KEY, {"risk_percentile": score})
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     idx = row_index(cut_lineage(df.select(KEY, F.col(score).alias("_s"))), [("_s", True), (KEY, True)], "_r").select(KEY, "_r").crossJoin(F.broadcast(n))

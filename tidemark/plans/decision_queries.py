@@ -18,9 +18,9 @@ _POLICY_OK = "(SELECT * FROM t_policy WHERE coupon_cost > 0 AND expected_revenue
 
 
 def segments(v):
-    from ..functions.ordered import quantile_row
+    from ..functions.ordered import quantile_row, shared
 
-    s = v.summary()
+    s = shared(v.summary())
     p80 = quantile_row(s, {"_clv": "clv"}, [0.8])
     s = s.crossJoin(F.broadcast(p80)).selectExpr(
         "*", "clv AS predicted_clv_12m", "uplift_score AS predicted_uplift", "clv >= _clv_0 AS is_high_value_top20pct",
