@@ -102,7 +102,7 @@ def concordance_index(df: DataFrame, hazard: str = "predicted_hazard_ratio") ->
     cum = running_totals(both, [("h", True)], {"cum": F.col("n")}, small_by="s")
     total = both.groupBy("s").agg(F.sum("n").alias("tot"))
     j = cum.where("k > 0").join(F.broadcast(total), "s")
-    return j.agg(F.expr("sum(k * (cum - n) + 0.5 * k * n) AS concordant"), F.expr("sum(k * tot) AS comparable")).selectExpr(
+    return j.agg(F.expr("sum(k * (cum - n) + 0.5D * k * n) AS concordant"), F.expr("sum(k * tot) AS comparable")).selectExpr(
         "cast(comparable AS bigint) AS comparable_pairs", "concordant / nullif(comparable, 0) AS concordance_index")
 
 
