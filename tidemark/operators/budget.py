@@ -156,7 +156,10 @@ BAND_START, BAND_FULL, BAND_LOW, BAND_FALLING, BAND_GROW, BAND_STEP = (
 
 
 def budget_sensitivity(candidates: DataFrame, order, base_budget: int, *, step: int = 1_000_000, **kw) -> DataFrame:
-    """Marginal profit and ROI per budget level; all levels are selected in the same rounds."""
+    """Marginal profit and ROI per budget level; all levels are selected in the same rounds.
+
+    Equal picks may add up to sums a rounding error apart, so "no added profit" has a tiny margin.
+    """
     budgets = {str(b): b for b in sensitivity_grid(base_budget, step)}
     t = budget_totals(greedy_select(candidates, order, budgets, **kw), budgets).selectExpr(
         "budget", "spent", "greatest(budget - spent, 0D) AS remaining", "num_targeted AS target_count", "expected_incremental_profit",
@@ -171,7 +174,7 @@ def budget_sensitivity(candidates: DataFrame, order, base_budget: int, *, step:
     t = t.selectExpr("*", "CASE WHEN added_budget > 0 THEN added_profit / added_budget * 1000000 ELSE 0D END AS marginal_profit_per_1m",
                      "CASE WHEN added_spend > 0 THEN added_profit / added_spend ELSE 0D END AS marginal_roi")
     return t.withColumn("budget_status", F.expr(
-        f"CASE WHEN _p_budget IS NULL THEN '{BAND_START}' WHEN added_profit <= 0 AND added_target_count <= 0 THEN '{BAND_FULL}' "
+        f"CASE WHEN _p_budget IS NULL THEN '{BAND_START}' WHEN added_profit <= 1e-6 AND added_target_count <= 0 THEN '{BAND_FULL}' "
         f"WHEN marginal_roi < 0.2 THEN '{BAND_LOW}' WHEN average_roi < _p_average_roi THEN '{BAND_FALLING}' "
         f"WHEN marginal_roi >= average_roi THEN '{BAND_GROW}' ELSE '{BAND_STEP}' END")).drop(*[f"_p_{n}" for n in prev])
 
