@@ -149,7 +149,7 @@ f AS (SELECT *, CASE WHEN ab > 0 THEN ap / ab * 1000000 ELSE 0 END AS m1, CASE W
 
 @query("budget_sensitivity", _SENS + """ SELECT budget, round(spent, 2) AS spent, round(greatest(budget - spent, 0), 2) AS remaining, target_count, round(profit, 1) AS expected_incremental_profit, round(roi, 5) AS average_roi,
   ab AS added_budget, round(asp, 2) AS added_spend, atc AS added_target_count, round(ap, 1) AS added_profit, round(m1, 1) AS marginal_profit_per_1m, round(mr, 5) AS marginal_roi,
-  CASE WHEN pb IS NULL THEN '기준 구간' WHEN ap <= 0 AND atc <= 0 THEN '포화 또는 낭비 주의' WHEN mr < 0.2 THEN '효율 낮음' WHEN roi < pr THEN 'ROI 하락 시작' WHEN mr >= roi THEN '확대 검토 가능' ELSE '점진 확대 가능' END AS budget_status FROM f""")
+  CASE WHEN pb IS NULL THEN '기준 구간' WHEN round(ap, 6) <= 0 AND atc <= 0 THEN '포화 또는 낭비 주의' WHEN mr < 0.2 THEN '효율 낮음' WHEN roi < pr THEN 'ROI 하락 시작' WHEN mr >= roi THEN '확대 검토 가능' ELSE '점진 확대 가능' END AS budget_status FROM f""")
 def _(v):
     t = bu.budget_sensitivity(pool(v), de.POOL_ORDER, BUDGET)
     return rounded(t, {"spent": 2, "remaining": 2, "average_roi": 5, "added_spend": 2, "marginal_roi": 5}, default=1)
