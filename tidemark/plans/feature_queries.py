@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import change_rate, in_window, micros, ratio_null, ratio_zero, repair_timestamp, slug, ts
+from ..functions.expr import change_rate, micros, ratio_null, ratio_zero, repair_timestamp, slug, ts
 from ..operators import features as fe, scoring
 from ..sources import tables as tb
 from ..sources.views import E_AS_OF, T_AS_OF
@@ -375,4 +375,3 @@ def _(v):
                                   F.coalesce(p("persona"), p("page"), F.lit("unknown")).alias("first_alias"))
 
 
-_UNUSED = in_window
