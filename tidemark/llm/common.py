@@ -62,6 +62,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def once(df: DataFrame, *fields: Column) -> DataFrame:
+    """``df`` with further columns that are computed once per row.
+
+    A generator's output stands between them and later filters, which would otherwise be
+    pushed below the projection and compute the same expressions again.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*fields))))
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` in order; none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
