@@ -8,13 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, html_text, langid, packing, pii, quality, simhash
+from . import decontaminate, html_text, langid, licenses, packing, pii, quality, secret_scan, simhash, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _of_kind(spans: str, k: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["k"] == k)).cast("long")
+
+
+def _sha(spans: Column) -> Column:
+    return F.sha2(spans, 256)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -23,6 +31,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
@@ -32,6 +44,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    counts = [_of_kind("_base", k).alias(f"n_{kind}") for k, kind in enumerate(secret_scan.KINDS[:3])]
+    return found.select("doc_id", *counts, _sha(secret_scan.written(F.col("_base"))).alias("base_sha256"), secret_scan.written(F.col("_spans")).alias("spans"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
@@ -52,20 +70,17 @@ FROM ds JOIN iz USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING
 """
 
 
-def _of_kind(spans: str, k: int) -> Column:
-    return F.size(F.filter(spans, lambda s: s["k"] == k)).cast("long")
-
-
-def _sha(spans: Column) -> Column:
-    return F.sha2(spans, 256)
-
-
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     counts = [_of_kind("_base", k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, _sha(pii.written(F.col("_base"))).alias("base_sha256"), pii.written(F.col("_spans")).alias("spans"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.size("sentence_ids").cast("long").alias("n_sentences"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -73,11 +88,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html_text": op2_html_text,
+    "op3_url_rules": op3_url_rules,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
     "op7_language": op7_language,
     "op8_decontamination": op8_decontamination,
     "op9_personal_data": op9_personal_data,
+    "op10_licenses": op10_licenses,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op8_decontamination": OP8_SQL}
