@@ -66,8 +66,8 @@ SEQUENCES = (
 ) + tuple((name, (f"is-{name.lower()}",)) for name in NAMES)
 #: A text with a known sentence holds one of these.
 GATE = "(?i)" + "|".join(("licens", "licenc", "permission", "copyright", "redistribut", "warrant", r"public\s+domain", r"rights\s+reserved", r"(?:licensed|released|distributed|available|published)\s+under", r"gnu\s+general", "spdx", "mozilla"))
-ENDS = r"[.!?:;]+(?=\s|$)|[.!?:;]*\s*\n"
-WRAPPED_ENDS = r"[.!?:;]+(?=\s|$)|\n\s*\n"
+ENDS = r"[.!?]+(?=\s|$)|[.!?:;]*\s*\n"
+WRAPPED_ENDS = r"[.!?]+(?=\s|$)|[:;]?\s*\n\s*\n"
 
 
 def known() -> dict[str, str]:
@@ -100,7 +100,7 @@ def _sentence_ids(text: Column, ends: str, table: dict[str, str]) -> Column:
 def scan(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of every row of ``docs`` with ``licenses`` (array, by rule order) and ``sentence_ids`` (array, in text order).
 
-    Texts are cut into sentences at line ends and at closing punctuation before white space;
+    Texts are cut into sentences at line ends and at full stops before white space;
     a second cut joins lines that are only wrapped, and the one that knows more sentences is
     used (the first if equal).  The identifiers' sequence is matched by the ordered rules:
     longer sequences come before their parts, and what a rule matched is not matched again.
