@@ -56,3 +56,13 @@ def test_equals_sequential_walk(spark, seed):
 def test_sensitivity_grid():
     assert bu.sensitivity_grid(5_000_000)[:3] == [0, 1_000_000, 2_000_000] and 10_000_000 in bu.sensitivity_grid(5_000_000)
     assert min(bu.sensitivity_grid(50_500_000)[1:]) == 40_500_000
+
+
+def test_equal_rows_stay_within_the_budget(spark):
+    row = (1, "low", 100.0, 0.9, 500.0)
+    schema = "customer_id bigint, intervention_intensity string, coupon_cost double, expected_roi double, expected_incremental_profit double"
+    df = spark.createDataFrame([row, row, row, (2, "low", 100.0, 0.8, 400.0)], schema)
+    order = [("expected_roi", False), ("customer_id", True)]
+    got = bu.select_under_budget(df, order, 150, high_share=None).collect()
+    assert [(r["customer_id"], r["coupon_cost"]) for r in got] == [(1, 100.0)]
+    assert len(bu.select_under_budget(df, order, 500, high_share=None).collect()) == 2

@@ -140,3 +140,19 @@ def test_churn_estimate_is_deterministic_and_bounded(spark):
 def test_leaky_names():
     assert cm.name_leaks("churn_probability") and cm.name_leaks("ext_num__future_spend_sum") and not cm.name_leaks("frequency_90d")
     assert not cm.name_leaks("recency_days") and cm.name_leaks("recency_days", "inactivity_rule")
+
+
+def test_uploads_lose_no_rows(spark):
+    df = spark.createDataFrame([(i, 7, i * 60, ["checkout now", None, "mobile_banking_login_transfer_ok", "insurance_apply_start", "zzz"][i % 5]) for i in range(40)], "row_id bigint, customer_id bigint, s bigint, action string").selectExpr(
+        "row_id", "customer_id", "cast(timestamp_seconds(s) AS timestamp_ntz) AS ts", "action")
+    got = ob.extract_events(df, event_type="action").collect()
+    assert len(got) == 40 and sorted(r["event_id"] for r in got) == sorted(f"EVT-{i}" for i in range(40))
+    by = {r["event_type_original"]: r["event_type"] for r in got}
+    assert by == {"checkout now": "purchase", None: "other", "mobile_banking_login_transfer_ok": "visit", "insurance_apply_start": "other", "zzz": "other"}
+    assert ob.event_type_map(spark.createDataFrame([("card_statement_view",)], "raw string")).first()["event_type"] == "page_view"
+
+
+def test_ids_with_a_common_prefix_are_coded_in_order(spark):
+    df = spark.createDataFrame([(f"CUSTOMER-{i:05d}",) for i in range(500)], "name string")
+    got = {r["customer_id_original"]: r["customer_id"] for r in ob.encode_customer_id(df, "name").collect()}
+    assert [got[f"CUSTOMER-{i:05d}"] for i in range(500)] == list(range(1, 501))

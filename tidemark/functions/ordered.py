@@ -20,14 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from .expr import c
 
-MAX_RANGES = 256
 _LOCAL: str | None = None
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A fresh path under the folder the cluster names; a temporary one only where none is set, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A fresh path under the folder the cluster names; a temporary one only with a local master, as in tests."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         global _LOCAL
         _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="tidemark-")
         folder = _LOCAL
@@ -63,14 +64,32 @@ def cheap(df: DataFrame) -> DataFrame:
 
 
 def range_count(spark: SparkSession) -> int:
-    return max(4, min(MAX_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _borders(df: DataFrame, names, by: str | None, n: int) -> dict:
+def _as_number(name: str, kind: str, prefix: int = 0) -> str:
+    """A double that sorts like the column: times in microseconds, dates in days, six bytes of a text after its common prefix."""
+    if kind == "date":
+        return f"cast(unix_date(`{name}`) AS double)"
+    if kind.startswith("timestamp"):
+        return f"cast(unix_micros(cast(`{name}` AS timestamp)) AS double)"
+    if kind == "string":
+        return f"cast(conv(rpad(hex(substr(encode(`{name}`, 'UTF-8'), {prefix + 1}, 6)), 12, '0'), 16, 10) AS double)"
+    return f"cast(`{name}` AS double)"
+
+
+def _common_prefix(df: DataFrame, name: str) -> int:
+    """Bytes that all values of a text column start with (least and greatest value decide)."""
+    low, high = df.agg(F.min(name), F.max(name)).first()
+    a, b = (low or "").encode(), (high or "").encode()
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def _borders(df: DataFrame, names: dict[str, str], by: str | None, n: int) -> dict:
     """Quantile borders per key; a later key is only read when an earlier one has a dominating value."""
     out: dict = {}
-    for k in names:
-        q = F.expr(f"percentile_approx(cast(`{k}` AS double), array({', '.join(f'{i / n!r}D' for i in range(1, n))}), {max(1000, 20 * n)}) AS q")
+    for k, number in names.items():
+        q = F.expr(f"percentile_approx({number}, array({', '.join(f'{i / n!r}D' for i in range(1, n))}), {max(1000, 20 * n)}) AS q")
         rows = (df.groupBy(by).agg(q) if by else df.agg(q)).collect()
         for r in rows:
             out.setdefault(r[by] if by else None, {})[k] = [float(x) for x in (r["q"] or [])]
@@ -87,7 +106,7 @@ def _tree(v: str, borders: list[float], lo: int) -> str:
     return f"CASE WHEN {v} > {borders[m]!r}D THEN {above} ELSE {below} END"
 
 
-def _range_path(order, borders: dict[str, list[float]]) -> Column:
+def _range_path(order, borders: dict[str, list[float]], numbers: dict[str, str]) -> Column:
     """Range index of a row as an array that sorts like the ordering itself.
 
     A value that fills several quantiles gets a range of its own, which is then
@@ -100,7 +119,7 @@ def _range_path(order, borders: dict[str, list[float]]) -> Column:
         marks = borders[name]
         distinct = sorted(set(marks))
         heavy = ", ".join(f"{x!r}D" for x in distinct if marks.count(x) > 1)
-        v = f"cast(`{name}` AS double)"
+        v = numbers[name]
         is_heavy = f"coalesce({v} IN ({heavy}), false)" if heavy else "false"
         idx = f"CASE WHEN {v} IS NULL THEN -1 ELSE 2 * {_tree(v, distinct, 0)} + cast({is_heavy} AS int) END"
         path.append(f"CASE WHEN {live} THEN {'' if asc else '-'}({idx}) ELSE 0 END")
@@ -117,22 +136,21 @@ def with_range(df: DataFrame, order, small_by: str | None = None, out: str = "_r
     that gets its own borders.
     """
     n = n or range_count(df.sparkSession)
-    types = dict(df.dtypes)
-    numeric = []
+    types, numbers = dict(df.dtypes), {}
     for name, _ in order:
-        if types[name] in ("string", "boolean", "binary") or types[name].startswith(("array", "struct", "map")):
+        if types[name] in ("boolean", "binary") or types[name].startswith(("array", "struct", "map")) or types[name] == "string" and small_by is not None:
+            break
+        numbers[name] = _as_number(name, types[name], _common_prefix(df, name) if types[name] == "string" else 0)
+        if types[name] == "string":
             break
-        numeric.append(name)
-    if small_by is not None:
-        n = max(16, n // 8)
-    marks = _borders(df, numeric, small_by, n)
+    marks = _borders(df, numbers, small_by, n)
     if small_by is None:
-        return df.withColumn(out, _range_path(order, marks.get(None, {})))
+        return df.withColumn(out, _range_path(order, marks.get(None, {}), numbers))
     # one small row per metric: its borders of the first key
     first, asc = order[0]
     table = df.sparkSession.createDataFrame(
         [(k, sorted(set(b.get(first, [])))) for k, b in marks.items()], f"{small_by} string, _marks array<double>")
-    idx = F.size(F.filter(F.col("_marks"), lambda x: x < F.col(first).cast("double")))
+    idx = F.size(F.filter(F.col("_marks"), lambda x: x < F.expr(numbers.get(first, f"cast(`{first}` AS double)"))))
     return df.join(F.broadcast(table), small_by).withColumn(out, F.array(idx if asc else -idx)).drop("_marks")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.ordered import cut_lineage, min_max_scaled, range_count, row_index, running_totals, shared
+from ..functions.ordered import cut_lineage, min_max_scaled, range_count, row_index, running_totals
 
 KEY = "customer_id"
 # Display order of segments and intensities.
@@ -32,11 +32,12 @@ def greedy_select(candidates: DataFrame, order, budgets: dict[str, int], *, max_
     Money is counted in whole cents; sums are therefore exact in any order.
     """
     spark = candidates.sparkSession
-    # the pool is read by the border pass, the ranking and the final join: written once at most
-    pool = shared(candidates)
+    # written once with a row id: rows that are equal in every column stay apart, and ties of the order have an end
+    pool = cut_lineage(candidates.withColumn("_rid", F.monotonically_increasing_id()))
+    order = [*order, ("_rid", True)]
     keys = list(dict.fromkeys([n for n, _ in order] + [KEY, "coupon_cost"]))
     extra = [c for c in ("intervention_intensity",) if c in pool.columns and c not in keys]
-    ranked = cut_lineage(row_index(pool.where("coupon_cost > 0").select(*keys, *extra), order, "_pos"))
+    ranked = cut_lineage(row_index(pool.where("coupon_cost > 0").select(*keys, *extra), order, "_pos").select("_pos", "_rid", KEY, "coupon_cost", *[c for c in ("intervention_intensity",) if c in pool.columns]))
     size = ranked.agg(F.count(F.lit(1)), F.count_distinct(KEY)).first()
     base = max_customers or (size[0] if high_base == "rows" else size[1])
     high_cap = max(1, int(max(base, 1) * high_share)) if high_share else None
@@ -46,7 +47,7 @@ def greedy_select(candidates: DataFrame, order, budgets: dict[str, int], *, max_
         ("cast(lower(intervention_intensity) = 'high' AS int)" if has_high else "0") + " AS _high")
     state = {b: {"left": int(v) * 100, "n": 0, "high": 0} for b, v in budgets.items() if int(v) > 0}
     if not state:
-        return pool.limit(0).selectExpr("*", "'' AS budget_id", "cast(0 AS bigint) AS pick_order")
+        return candidates.limit(0).selectExpr("*", "'' AS budget_id", "cast(0 AS bigint) AS pick_order")
 
     def limits() -> DataFrame:
         return F.broadcast(spark.createDataFrame(
@@ -92,14 +93,12 @@ def greedy_select(candidates: DataFrame, order, budgets: dict[str, int], *, max_
     else:
         raise RuntimeError(f"budget selection did not finish in {max_rounds} rounds")
     if not picked:
-        return pool.limit(0).selectExpr("*", "'' AS budget_id", "cast(0 AS bigint) AS pick_order")
+        return candidates.limit(0).selectExpr("*", "'' AS budget_id", "cast(0 AS bigint) AS pick_order")
     chosen = picked[0]
     for p in picked[1:]:
         chosen = chosen.unionByName(p)
-    # the order ends in a unique key, so its columns identify the row
-    hits = chosen.join(ranked, "_pos").select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, *extra]], "budget_id", F.col("_pos").alias("pick_order"))
-    same = [pool[c].eqNullSafe(hits[f"_k_{c}"]) for c in [*keys, *extra]]
-    return pool.join(hits, same).drop(*[f"_k_{c}" for c in [*keys, *extra]])
+    hits = chosen.join(ranked.select("_pos", "_rid"), "_pos").select("_rid", "budget_id", F.col("_pos").alias("pick_order"))
+    return pool.join(hits, "_rid").select(*candidates.columns, "budget_id", "pick_order")
 
 
 def select_under_budget(candidates: DataFrame, order, budget: int, **kw) -> DataFrame:
@@ -224,4 +223,4 @@ def baseline_budget(df: DataFrame, budget: int, *, threshold: float = 0.5, max_c
     c = baseline_candidates(df, threshold)
     if max_customers:
         c = c.orderBy(*[F.col(n) if asc else F.desc(n) for n, asc in BASELINE_ORDER]).limit(max_customers)
-    return select_under_budget(c, BASELINE_ORDER, budget, one_per_customer=False, high_share=None)
+    return select_under_budget(c, BASELINE_ORDER, budget, high_share=None)

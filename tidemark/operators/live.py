@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expr import add, bound, chain
-from ..functions.ordered import previous_row, running_totals
+from ..functions.ordered import cut_lineage, previous_row, running_totals
 from . import budget as bu
 
 KEY = "customer_id"
@@ -48,19 +48,24 @@ def live_score(states: DataFrame, base: str = "0.5D") -> DataFrame:
                  realtime_churn_score=bound(f"{base} + behavioral_risk", 0.001, 0.999), score_delta=f"realtime_churn_score - {base}")
 
 
+#: Days of one stretch of history: weights grow from its start, which no half-life of hours can overflow in that time.
+STRETCH_DAYS = 300
+
+
 def states_per_event(events: DataFrame, event_id: str = "event_id") -> DataFrame:
-    """Signals right after every event, as running sums per customer cut by day.
+    """Signals right after every event, as running sums per customer cut by day, for histories of any length.
 
-    Weights grow from the customer's first event, which is safe for histories up
-    to about a thousand half-lives; longer ones use ``decayed_signals``.
+    Weights are counted from the start of a stretch of calendar days.  What the stretch
+    before left behind is carried over its end; what is older has shrunk below 1e-20 by then.
     """
-    first = events.groupBy(KEY).agg(F.min("timestamp").alias("_t0"))
-    e = events.select(KEY, event_id, "timestamp", "event_type").join(first, KEY).withColumns({
-        "_h": F.expr("(unix_micros(cast(timestamp AS timestamp)) - unix_micros(cast(_t0 AS timestamp))) / 3600000000D"), "_day": F.to_date("timestamp")})
-    sums = {f"_{s}": F.expr(f"CASE WHEN event_type = '{t}' THEN pow(2D, _h / {h}) ELSE 0D END") for s, t, h, _ in SIGNALS}
-    r = running_totals(e, [("timestamp", True), (event_id, True)], sums, by=[KEY], range_col="_day")
-    out = r.selectExpr(KEY, event_id, "timestamp", "event_type", "_day", *[f"_{s} * pow(2D, -_h / {h}) AS {s}" for s, _, h, _ in SIGNALS], "0D AS days_since_last_event")
-    return out
+    hours = "unix_micros(cast(timestamp AS timestamp)) / 3600000000D"
+    e = events.select(KEY, event_id, "timestamp", "event_type").withColumns({
+        "_stretch": F.expr(f"cast(floor({hours} / {24 * STRETCH_DAYS}) AS bigint)"), "_day": F.to_date("timestamp")}).withColumn("_h", F.expr(f"{hours} - _stretch * {24 * STRETCH_DAYS}D"))
+    grown = {s: f"CASE WHEN event_type = '{t}' THEN pow(2D, _h / {h}) ELSE 0D END" for s, t, h, _ in SIGNALS}
+    r = running_totals(e, [("timestamp", True), (event_id, True)], {f"_{s}": F.expr(x) for s, x in grown.items()}, by=[KEY, "_stretch"], range_col="_day")
+    left = e.groupBy(KEY, F.expr("_stretch + 1").alias("_stretch")).agg(*[F.expr(f"sum({x}) * pow(2D, -{24 * STRETCH_DAYS}D / {h})").alias(f"_c_{s}") for (s, x), (_, _, h, _) in zip(grown.items(), SIGNALS)])
+    return r.join(left, [KEY, "_stretch"], "left").selectExpr(
+        KEY, event_id, "timestamp", "event_type", "_day", *[f"(_{s} + coalesce(_c_{s}, 0D)) * pow(2D, -_h / {h}) AS {s}" for s, _, h, _ in SIGNALS], "0D AS days_since_last_event")
 
 
 def reoptimize_triggers(scored: DataFrame, *, high: float = 0.80, customer: float = 0.65, jump: float = 0.12) -> DataFrame:
@@ -106,25 +111,41 @@ def trigger_actions(triggers: DataFrame, candidates: DataFrame, *, used: DataFra
         "+ 0.23 * least(greatest(timing_urgency_score, 0D), 1D) + 0.15 * realtime_churn_score")).drop("_p0", "_p1", "_r0", "_r1")
 
 
-QUEUE_ORDER = [("_time", True), ("event_id", True), ("action_priority", False), ("expected_incremental_profit", False), ("coupon_cost", True)]
+def held_triggers(triggers: DataFrame, candidates: DataFrame, *, used: DataFrame | None = None) -> DataFrame:
+    """Triggered customers without an action left, with status ``hold`` and why: no profitable action at all, or each one used before."""
+    t = triggers.groupBy(KEY).agg(F.expr("max_by(struct(timestamp, event_id), struct(timestamp, event_id)) AS t")).select(KEY, "t.*")
+    c = candidates.where("coupon_cost > 0 AND expected_incremental_profit > 0").select(KEY, "intervention_intensity")
+    free = c if used is None else c.join(used.select(KEY, "intervention_intensity"), [KEY, "intervention_intensity"], "left_anti")
+    known = c.select(KEY).distinct().withColumn("_known", F.lit(True))
+    idle = t.join(free.select(KEY).distinct(), KEY, "left_anti").join(known, KEY, "left")
+    return idle.selectExpr(KEY, "event_id", "timestamp", "CASE WHEN _known THEN 'all_intensities_already_used' ELSE 'candidate_actions_missing' END AS trigger_reason",
+                           "cast(NULL AS string) AS intervention_intensity", "0D AS coupon_cost", "0D AS expected_incremental_profit", "0D AS action_priority", "'hold' AS action_queue_status")
+
+
+#: Triggers in event order; of one trigger the best action: priority, profit, return, cost, then name.
+QUEUE_ORDER = [("_time", True), ("event_id", True), ("action_priority", False), ("expected_incremental_profit", False), ("expected_roi", False), ("coupon_cost", True), ("intervention_intensity", True)]
+_BEST = "struct(-action_priority, -expected_incremental_profit, -expected_roi, coupon_cost, intervention_intensity)"
 
 
 def queue_under_ledger(actions: DataFrame, *, remaining_budget: int, remaining_capacity: int) -> DataFrame:
-    """Walks the triggers in event order: first affordable action each, until budget or channel capacity is used up."""
+    """Walks the triggers in event order: first affordable action each, until budget or channel capacity is used up.
+
+    A customer not served is deferred by the limit met at its own place in the walk: the
+    budget if nothing of it was left or no action was affordable, the channel if all its
+    slots were taken.
+    """
     a = actions.withColumn("_time", F.expr("unix_micros(cast(timestamp AS timestamp))"))
-    best = a.groupBy(KEY).agg(F.expr("max_by(struct(event_id, timestamp, trigger_reason, intervention_intensity, coupon_cost, expected_incremental_profit, action_priority), "
-                                     "struct(action_priority, expected_incremental_profit)) AS b")).select(KEY, "b.*")
-    if remaining_budget > 0 and remaining_capacity > 0:
-        got = bu.greedy_select(a, QUEUE_ORDER, {"ledger": remaining_budget}, max_customers=remaining_capacity, high_share=None)
-        got = got.selectExpr(KEY, "event_id", "timestamp", "trigger_reason", "intervention_intensity", "coupon_cost", "expected_incremental_profit", "action_priority", "'queued' AS action_queue_status")
-        n = got.count()
-        full = n >= remaining_capacity
-    else:
-        got, full = None, remaining_budget > 0
-    status = "deferred_channel_guardrail" if full else "deferred_budget_guardrail"
-    late = best if got is None else best.join(got.select(KEY), KEY, "left_anti")
-    late = late.withColumn("action_queue_status", F.lit(status))
-    return late if got is None else got.unionByName(late)
+    cols = [KEY, "event_id", "timestamp", "trigger_reason", "intervention_intensity", "coupon_cost", "expected_incremental_profit", "action_priority"]
+    best = a.groupBy(KEY).agg(F.expr(f"min_by(struct({', '.join(cols[1:])}), {_BEST}) AS b")).select(KEY, "b.*")
+    if remaining_budget <= 0 or remaining_capacity <= 0:
+        return best.withColumn("action_queue_status", F.lit("deferred_budget_guardrail" if remaining_budget <= 0 else "deferred_channel_guardrail"))
+    got = bu.greedy_select(a, QUEUE_ORDER, {"ledger": remaining_budget}, max_customers=remaining_capacity, high_share=None)
+    got = cut_lineage(got.selectExpr(*cols, "'queued' AS action_queue_status"))
+    end = got.agg(F.count(F.lit(1)).alias("n"), F.sum("coupon_cost").alias("s"), F.expr("max(struct(unix_micros(cast(timestamp AS timestamp)) AS t, event_id AS e))").alias("last"))
+    late = best.join(got.select(KEY), KEY, "left_anti").crossJoin(F.broadcast(end))  # one row
+    after = "struct(unix_micros(cast(timestamp AS timestamp)) AS t, event_id AS e) > last"
+    late = late.withColumn("action_queue_status", F.expr(f"CASE WHEN {after} AND s < {remaining_budget} AND n >= {remaining_capacity} THEN 'deferred_channel_guardrail' ELSE 'deferred_budget_guardrail' END"))
+    return got.unionByName(late.select(*cols, "action_queue_status"))
 
 
 def risk_ranking(states: DataFrame, top: int = 100) -> DataFrame:

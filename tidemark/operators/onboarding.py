@@ -89,21 +89,26 @@ def relevance_score(roles: DataFrame, rows: int) -> DataFrame:
 
 
 # ---- event types ------------------------------------------------------
-def event_type_map(values: DataFrame, column: str = "raw") -> DataFrame:
-    """Standard type of each distinct value: the exact word, else the longest word of four letters or more inside it."""
-    n = f"regexp_replace(regexp_replace(regexp_replace(lower(trim({column})), '[^a-z0-9가-힣]', '_'), '_+', '_'), '^_|_$', '')"
+def standard_event_type(column: str = "raw") -> str:
+    """Standard type of a value as an expression: the exact word, else the longest word of four letters or more inside it; ``other`` for null."""
+    n = f"regexp_replace(regexp_replace(regexp_replace(lower(trim(cast({column} AS string))), '[^a-z0-9가-힣]', '_'), '_+', '_'), '^_|_$', '')"
     exact, inside = [], []
     for i, (std, syn) in enumerate(words.EVENT_WORDS.items()):
-        exact.append(f"WHEN _n IN ({', '.join(chr(39) + w + chr(39) for w in syn)}) THEN '{std}'")
-        inside += [f"struct({-len(w)} AS a, '{std}' AS std, '{w}' AS w)" for w in syn if len(w) >= 4]
-    hit = f"array_min(filter(array({', '.join(inside)}), s -> contains(_n, s.w))).std"
-    return values.select(column).distinct().withColumn("_n", F.expr(n)).selectExpr(
-        column, f"CASE WHEN _n IS NULL OR _n = '' THEN 'other' {' '.join(exact)} ELSE coalesce({hit}, 'other') END AS event_type")
+        exact.append(f"WHEN n IN ({', '.join(chr(39) + w + chr(39) for w in syn)}) THEN '{std}'")
+        inside += [f"struct({-len(w)} AS a, {i} AS i, '{std}' AS std, '{w}' AS w)" for w in syn if len(w) >= 4]
+    hit = f"array_min(filter(array({', '.join(inside)}), s -> contains(n, s.w))).std"
+    return f"transform(array({n}), n -> CASE WHEN n IS NULL OR n = '' THEN 'other' {' '.join(exact)} ELSE coalesce({hit}, 'other') END)[0]"
+
+
+def event_type_map(values: DataFrame, column: str = "raw") -> DataFrame:
+    """Standard type of each distinct value."""
+    return values.select(column).distinct().withColumn("event_type", F.expr(standard_event_type(column)))
 
 
 def event_mapping_report(values: DataFrame, column: str = "raw") -> DataFrame:
-    n = values.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    j = n.join(event_type_map(values, column), column)
+    """Rows and standard type of each value, and the share of rows with a type; null values are no values and are not counted."""
+    n = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+    j = cut_lineage(n.withColumn("event_type", F.expr(standard_event_type(column))))
     total = j.agg(F.expr("1 - coalesce(sum(rows) FILTER (WHERE event_type = 'other'), 0) / greatest(sum(rows), 1) AS coverage_rate"))
     return j.crossJoin(F.broadcast(total)).selectExpr(f"{column} AS value", "event_type", "rows", "event_type = 'other' AS is_unmapped", "coverage_rate")
 
@@ -115,9 +120,7 @@ def encode_customer_id(df: DataFrame, id_column: str) -> DataFrame:
     if bad == 0:
         return df.withColumn(KEY, F.expr(f"try_cast({id_column} AS bigint)"))
     ids = df.select(F.expr(f"cast({id_column} AS string) AS customer_id_original")).where("customer_id_original IS NOT NULL").distinct()
-    # text has no numeric borders: cut the order by the first letters
-    ids = cut_lineage(ids.withColumn("_h", F.expr("ascii(customer_id_original) * 65536L + ascii(substr(customer_id_original, 2, 1)) * 256L + ascii(substr(customer_id_original, 3, 1))")))
-    coded = row_index(ids, [("_h", True), ("customer_id_original", True)], KEY).drop("_h")
+    coded = row_index(cut_lineage(ids), [("customer_id_original", True)], KEY)
     return df.drop(*([KEY] if KEY in df.columns and KEY != id_column else [])).withColumn("customer_id_original", F.expr(f"cast({id_column} AS string)")).drop(
         *([KEY] if id_column == KEY else [])).join(coded, "customer_id_original", "left")
 
@@ -320,11 +323,9 @@ def assign_uplift_by_median(df: DataFrame) -> DataFrame:
 
 # ---- events and orders ------------------------------------------------
 def extract_events(df: DataFrame, *, time: str = "ts", event_type: str = "event_type", row_id: str = "row_id", category: str | None = None, user_map: dict | None = None) -> DataFrame:
-    """Standard events; ids follow (customer, time, source row)."""
-    sub = df.where(f"{time} IS NOT NULL AND {KEY} IS NOT NULL")
-    m = event_type_map(sub, event_type).withColumnRenamed("event_type", "_std") if event_type != "event_type" else event_type_map(sub.withColumnRenamed("event_type", "raw"), "raw").withColumnRenamed("event_type", "_std")
-    key = event_type if event_type != "event_type" else "raw"
-    j = sub.withColumn("raw", F.col(event_type)).join(m.withColumnRenamed(key, "raw") if key != "raw" else m, "raw")
+    """Standard events; ids follow (customer, time, source row). A null type is ``other``; only types mapped to ignore or skip are left out."""
+    raw = F.col(event_type)
+    j = df.where(f"{time} IS NOT NULL AND {KEY} IS NOT NULL").withColumn("raw", raw).withColumn("_std", F.expr(standard_event_type("raw")))
     if user_map:
         pairs = ", ".join(f"'{k}', '{v}'" for k, v in user_map.items())
         j = j.withColumn("_std", F.expr(f"coalesce(try_element_at(map({pairs}), raw), _std)"))

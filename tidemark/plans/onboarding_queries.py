@@ -53,7 +53,7 @@ def _(v):
 _WORDS = ", ".join(f"({i}, '{s}', '{w}')" for i, (s, ws) in enumerate(words.EVENT_WORDS.items()) for w in ws)
 _MAP = f"""wd(o, std, w) AS (VALUES {_WORDS}),
 nv AS (SELECT DISTINCT raw, regexp_replace(regexp_replace(regexp_replace(lower(trim(raw)), '[^a-z0-9가-힣]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS n FROM vals),
-mp AS (SELECT raw, coalesce((SELECT std FROM wd WHERE w = n ORDER BY o LIMIT 1), (SELECT std FROM wd WHERE length(w) >= 4 AND contains(n, w) ORDER BY length(w) DESC, std, w LIMIT 1), 'other') AS event_type FROM nv)"""
+mp AS (SELECT raw, coalesce((SELECT std FROM wd WHERE w = n ORDER BY o LIMIT 1), (SELECT std FROM wd WHERE length(w) >= 4 AND contains(n, w) ORDER BY length(w) DESC, o, w LIMIT 1), 'other') AS event_type FROM nv)"""
 
 
 @query("normalize_event_type", f"WITH vals AS (SELECT p_type AS raw FROM part UNION ALL SELECT event_type || '-' || (event_id % 5) FROM events), {_MAP} SELECT raw, event_type FROM mp")

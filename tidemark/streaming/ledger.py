@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.ordered import cut_lineage
-from ..operators.live import KEY, queue_under_ledger, trigger_actions
+from ..operators.live import KEY, held_triggers, queue_under_ledger, trigger_actions
 
 
 @dataclass
@@ -27,22 +27,42 @@ class QueueLedger:
         return self.spark.read.parquet(f"{self.root}/queue").where(F.col("batch_id") < batch_id)
 
     def __call__(self, scored: DataFrame, batch_id: int) -> None:
+        """Queues the actions of one batch, a day at a time: capacity is counted per event day, over all batches.
+
+        What is spent is the cost of the customers' latest rows that are queued: a newer
+        row replaces the older one, and one that is held or deferred gives the cost back
+        to later batches.  Each customer gets one row a batch.
+        """
         hits = cut_lineage(scored.where("trigger_reason <> ''"))
         if hits.isEmpty():
             return
-        before = self._before(batch_id)
-        spent, used, today = 0, None, 0
+        before, used, spent, filled = self._before(batch_id), None, 0, {}
         if before is not None:
-            q = before.where("action_queue_status = 'queued'")
-            day = hits.agg(F.max(F.to_date("timestamp"))).first()[0]
-            row = q.agg(F.expr("coalesce(sum(coupon_cost), 0D) AS s"), F.count(F.when(F.to_date("timestamp") == F.lit(day), 1)).alias("n")).first()
-            spent, today, used = int(row["s"]), row["n"], q.select(KEY, "intervention_intensity").distinct()
-        acts = trigger_actions(hits, self.candidates, used=used)
-        queued = queue_under_ledger(cut_lineage(acts), remaining_budget=self.budget - spent, remaining_capacity=self.daily_capacity - today)
-        queued.write.mode("overwrite").parquet(f"{self.root}/queue/batch_id={batch_id}")
+            queued = before.where("action_queue_status = 'queued'")
+            used = cut_lineage(queued.select(KEY, "intervention_intensity").distinct())
+            spent = int(self._latest(before).where("action_queue_status = 'queued'").agg(F.expr("coalesce(sum(coupon_cost), 0D)")).first()[0])
+            filled = {r[0]: r[1] for r in queued.groupBy(F.to_date("timestamp")).count().collect()}  # one row a day
+        acts = cut_lineage(trigger_actions(hits, self.candidates, used=used).withColumn("_day", F.to_date("timestamp")))
+        parts = [held_triggers(hits, self.candidates, used=used)]
+        for (day,) in sorted(acts.select("_day").distinct().collect()):
+            part = cut_lineage(queue_under_ledger(acts.where(F.col("_day") == F.lit(day)).drop("_day"), remaining_budget=self.budget - spent, remaining_capacity=self.daily_capacity - filled.get(day, 0)))
+            spent += int(part.where("action_queue_status = 'queued'").agg(F.expr("coalesce(sum(coupon_cost), 0D)")).first()[0])
+            parts.append(part)
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        out.write.mode("overwrite").parquet(f"{self.root}/queue/batch_id={batch_id}")
         scored.groupBy(KEY).agg(F.max_by("realtime_churn_score", F.struct("timestamp", "event_id")).alias("realtime_churn_score"), F.max("timestamp").alias("last_event_at")).write.mode(
             "overwrite").parquet(f"{self.root}/scores/batch_id={batch_id}")
 
+    @staticmethod
+    def _latest(queue: DataFrame) -> DataFrame:
+        return queue.groupBy(KEY).agg(F.max_by(F.struct("*"), "batch_id").alias("r")).select("r.*")
+
+    def open_actions(self) -> DataFrame:
+        """Each customer's newest row: what the budget is committed to."""
+        return self._latest(self.queue())
+
     def queue(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/queue")
 
