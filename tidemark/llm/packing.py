@@ -19,8 +19,8 @@ GRAIN = 8
 END_ID = 1
 #: Share of a sequence by which a new pattern must pay for itself; at the end the program is within that share of its optimum.
 GAP = 1e-3
-#: Rows of one class that one task ranks.
-RANKED_ROWS = 20_000
+#: Rows of one class that one task ranks: its even share, within these bounds.
+RANKED_ROWS = (500, 20_000)
 
 _encoders: dict = {}
 
@@ -222,7 +222,9 @@ def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, length: int
     for c, (_, full) in sorted(histogram.items()):
         totals.append((c, begin))
         begin += full
-    slices = max(1, -(-max((n for n, _ in histogram.values()), default=0) // RANKED_ROWS))
+    share = sum(n for n, _ in histogram.values()) // int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = min(max(share, RANKED_ROWS[0]), RANKED_ROWS[1])
+    slices = max(1, -(-max((n for n, _ in histogram.values()), default=0) // share))
     ranked = rows.withColumn("slice", F.pmod(F.xxhash64("rid"), F.lit(slices)))
     before = W.partitionBy("class").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     tops = ranked.groupBy("class", "slice").agg(F.count("*").alias("n"), F.sum("full").alias("f"))
