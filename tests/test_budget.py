@@ -66,3 +66,15 @@ def test_equal_rows_stay_within_the_budget(spark):
     got = bu.select_under_budget(df, order, 150, high_share=None).collect()
     assert [(r["customer_id"], r["coupon_cost"]) for r in got] == [(1, 100.0)]
     assert len(bu.select_under_budget(df, order, 500, high_share=None).collect()) == 2
+
+
+def test_rounds_and_the_closing_walk_pick_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(rng.randint(1, 120), rng.choice(["low", "mid", "high"]), float(rng.randint(1, 90)), rng.random(), float(rng.randint(1, 999))) for _ in range(400)]
+    schema = "customer_id bigint, intervention_intensity string, coupon_cost double, expected_roi double, expected_incremental_profit double"
+    df = spark.createDataFrame(rows, schema)
+    order, budgets = [("expected_roi", False), ("customer_id", True)], {"a": 40, "b": 700, "c": 2500, "d": 10 ** 6}
+    pick = lambda: sorted((r["budget_id"], r["customer_id"], r["coupon_cost"], r["expected_roi"]) for r in bu.greedy_select(df, order, budgets, high_share=0.1).collect())
+    short = pick()
+    monkeypatch.setattr(bu, "WALK_ROWS", -1)
+    assert pick() == short and {b for b, *_ in short} == set(budgets)

@@ -245,9 +245,26 @@ def quantile_row(df: DataFrame, cols: dict, ps) -> DataFrame:
     return q.agg(*[F.expr(f"max(q_{i}) FILTER (WHERE metric = '{m}') AS {m}_{i}") for m in cols for i in range(len(ps))])
 
 
+#: Values of one group that a task may sort for its median; larger groups go through value ranges.
+GROUP_VALUES = 100_000
+
+
 def group_median(df: DataFrame, by, value, out: str) -> DataFrame:
-    q = exact_quantiles(df, {"v": value}, [0.5], by=by)
-    return q.select(*by, F.col("q_0").alias(out))
+    """Exact median per group.
+
+    Groups are counted first: ordinary ones take the built-in percentile in one grouping,
+    groups beyond GROUP_VALUES are ranked by value ranges.  Groups without a value give no row.
+    """
+    by = list(by)
+    rows = cut_lineage(df.select(*by, c(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    large = cut_lineage(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP_VALUES).drop("_n"))
+    median = F.expr("percentile(_v, 0.5D)").alias(out)
+    if large.isEmpty():
+        return rows.groupBy(*by).agg(median)
+    same = lambda a, b: [a[x].eqNullSafe(b[x]) for x in by]
+    usual = rows.join(large, same(rows, large), "left_anti").groupBy(*by).agg(median)
+    ranked = exact_quantiles(rows.join(large, same(rows, large), "left_semi"), {"v": "_v"}, [0.5], by=by)
+    return usual.unionByName(ranked.select(*by, F.col("q_0").alias(out)))
 
 
 def previous_row(df: DataFrame, by, order, cols, range_col: str, prefix: str = "prev_") -> DataFrame:

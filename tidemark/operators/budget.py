@@ -18,6 +18,24 @@ def _spread(df: DataFrame, n_rows: int) -> DataFrame:
     return df.withColumn("_slice", F.expr(f"cast(_pos / {size} AS int)"))
 
 
+#: Rows left to choose from that are walked one by one instead of in further rounds.
+WALK_ROWS = 20_000
+
+
+def _walk(rows, state: dict, max_customers: int | None, high_cap: int | None, one_per_customer: bool) -> list[tuple[str, int]]:
+    """The plain walk over the few rows that still fit after the first rounds."""
+    out, served = [], set()
+    for r in sorted(rows, key=lambda r: (r["budget_id"], r["_pos"])):
+        s, who = state[r["budget_id"]], (r["budget_id"], r[KEY])
+        full = max_customers and s["n"] >= max_customers or r["_high"] and high_cap and s["high"] >= high_cap
+        if r["_cost"] > s["left"] or full or one_per_customer and who in served:
+            continue
+        s["left"], s["n"], s["high"] = s["left"] - r["_cost"], s["n"] + 1, s["high"] + r["_high"]
+        served.add(who)
+        out.append((r["budget_id"], r["_pos"]))
+    return out
+
+
 def greedy_select(candidates: DataFrame, order, budgets: dict[str, int], *, max_customers: int | None = None, high_share: float | None = 0.35,
                   high_base: str = "rows", one_per_customer: bool = True, max_rounds: int = 2000) -> DataFrame:
     """Same picks as walking the sorted rows one by one, for several budgets at once.
@@ -49,29 +67,47 @@ def greedy_select(candidates: DataFrame, order, budgets: dict[str, int], *, max_
     if not state:
         return candidates.limit(0).selectExpr("*", "'' AS budget_id", "cast(0 AS bigint) AS pick_order")
 
-    def limits() -> DataFrame:
+    def limits(only: set | None = None) -> DataFrame:
         return F.broadcast(spark.createDataFrame(
-            [(b, s["left"], (max_customers - s["n"]) if max_customers else None, (high_cap - s["high"]) if high_cap else None) for b, s in state.items()],
+            [(b, s["left"], (max_customers - s["n"]) if max_customers else None, (high_cap - s["high"]) if high_cap else None) for b, s in state.items() if only is None or b in only],
             "budget_id string, _left bigint, _slots bigint, _high_left bigint"))
 
     def possible(df: DataFrame) -> DataFrame:
         return df.where("_cost <= _left AND (_slots IS NULL OR _slots > 0) AND (_high = 0 OR _high_left IS NULL OR _high_left > 0)")
 
-    picked, alive = [], possible(narrow.crossJoin(limits())).select("budget_id", KEY, "_pos", "_cost", "_high")
-    for _ in range(max_rounds):
-        heads = alive
-        if one_per_customer:
-            heads = alive.groupBy("budget_id", KEY).agg(F.expr("min_by(struct(_pos, _cost, _high), _pos) AS h")).select("budget_id", KEY, "h.*")
-        cum = running_totals(_spread(heads, size[0]), [("_pos", True)], {"_c": F.col("_cost"), "_n": F.lit(1).cast("long"), "_h": F.col("_high")},
-                             by=["budget_id"], range_col="_slice").drop("_slice")
-        marked = cut_lineage(cum.join(limits(), "budget_id").withColumn("_bad", F.expr(
-            "_c > _left OR (_slots IS NOT NULL AND _n > _slots) OR (_high = 1 AND _high_left IS NOT NULL AND _h > _high_left)")))
+    sums = {"_c": F.col("_cost"), "_n": F.lit(1).cast("long"), "_h": F.col("_high")}
+    bad = F.expr("_c > _left OR (_slots IS NOT NULL AND _n > _slots) OR (_high = 1 AND _high_left IS NOT NULL AND _h > _high_left)")
+    dearest = narrow.agg(F.max("_cost")).first()[0] or 0
+    # budgets that every row fits into start with the same sums: these are added up once, without a row for each budget
+    alike = {b for b, s in state.items() if s["left"] >= dearest}
+    picked, alive, waiting = [], None, None
+    if len(alike) < len(state):
+        waiting = possible(narrow.crossJoin(limits(set(state) - alike))).select("budget_id", KEY, "_pos", "_cost", "_high")
+    for turn in range(max_rounds):
+        if turn == 0 and alike:
+            heads = narrow
+            if one_per_customer:
+                heads = narrow.groupBy(KEY).agg(F.expr("min_by(struct(_pos, _cost, _high), _pos) AS h")).select(KEY, "h.*")
+            cum = cut_lineage(running_totals(_spread(heads, size[0]), [("_pos", True)], sums, range_col="_slice").drop("_slice"))
+            marked, alive = cum.crossJoin(limits(alike)).withColumn("_bad", bad), narrow.crossJoin(limits(alike).select("budget_id"))
+        else:
+            if waiting is not None:
+                alive, waiting = waiting if alive is None else alive.unionByName(waiting), None
+            heads = alive
+            if one_per_customer:
+                heads = alive.groupBy("budget_id", KEY).agg(F.expr("min_by(struct(_pos, _cost, _high), _pos) AS h")).select("budget_id", KEY, "h.*")
+            cum = running_totals(_spread(heads, size[0]), [("_pos", True)], sums, by=["budget_id"], range_col="_slice").drop("_slice")
+            marked = cut_lineage(cum.join(limits(), "budget_id").withColumn("_bad", bad))
         # one small row per budget comes back: where the walk stops and what was used
         rows = marked.groupBy("budget_id").agg(
             F.expr("min_by(struct(_pos, _c - _cost AS c, _n - 1 AS n, _h - _high AS h), _pos) FILTER (WHERE _bad) AS stop"),
             F.expr("max_by(struct(_c AS c, _n AS n, _h AS h), _pos) AS all")).collect()
         if not rows:
-            break
+            if waiting is None:
+                break
+            state = {b: s for b, s in state.items() if b not in alike}
+            alive = None
+            continue
         stops = {}
         for r in rows:
             use = r["stop"] or r["all"]
@@ -83,13 +119,19 @@ def greedy_select(candidates: DataFrame, order, budgets: dict[str, int], *, max_
         cut = F.broadcast(spark.createDataFrame(list(stops.items()), "budget_id string, _stop bigint"))
         taken = marked.join(cut, "budget_id").where("_stop IS NULL OR _pos < _stop")
         picked.append(taken.select("budget_id", "_pos"))
-        state = {b: s for b, s in state.items() if stops.get(b) is not None}
+        state = {b: s for b, s in state.items() if stops.get(b) is not None or waiting is not None and b not in alike}
         if not state:
             break
-        rest = alive.join(cut, "budget_id").where("_pos > _stop").drop("_stop")
+        # what no longer fits goes before the join, which leaves little of the rows behind each budget's stop
+        rest = possible(alive.join(cut, "budget_id").where("_pos > _stop").drop("_stop").join(limits(), "budget_id")).select("budget_id", KEY, "_pos", "_cost", "_high")
         if one_per_customer:
             rest = rest.join(taken.select("budget_id", KEY), ["budget_id", KEY], "left_anti")
-        alive = cut_lineage(possible(rest.join(limits(), "budget_id")).select("budget_id", KEY, "_pos", "_cost", "_high"))
+        alive = cut_lineage(rest)
+        if waiting is None and alive.count() <= WALK_ROWS:
+            walked = _walk(alive.collect(), state, max_customers, high_cap, one_per_customer)
+            if walked:
+                picked.append(spark.createDataFrame(walked, "budget_id string, _pos bigint"))
+            break
     else:
         raise RuntimeError(f"budget selection did not finish in {max_rounds} rounds")
     if not picked:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.ordered import shared
+from ..functions.ordered import cut_lineage, shared
 
 KEY = "customer_id"
 # What counts as activity.
@@ -29,11 +29,12 @@ def cohort_retention_all(customers: DataFrame, events: DataFrame, *, periods: in
     presets = presets or ACTIVITY_PRESETS
     spark = events.sparkSession
     defs = spark.createDataFrame([(d, t) for d, types in presets.items() for t in types], "activity_definition string, event_type string")
-    base = customers.selectExpr(KEY, "acquisition_month AS cohort_month",
-                                "cast(substr(acquisition_month, 1, 4) AS int) * 12 + cast(substr(acquisition_month, 6, 2) AS int) AS _cm")
+    base = cut_lineage(customers.selectExpr(KEY, "acquisition_month AS cohort_month",
+                                            "cast(substr(acquisition_month, 1, 4) AS int) * 12 + cast(substr(acquisition_month, 6, 2) AS int) AS _cm"))
     monthly = events.selectExpr(KEY, "event_type", "year(timestamp) * 12 + month(timestamp) AS _em").where("_em IS NOT NULL").groupBy(
         KEY, "event_type", "_em").agg(F.count(F.lit(1)).alias("_n"))
-    active = monthly.join(F.broadcast(defs), "event_type").groupBy("activity_definition", KEY, "_em").agg(F.sum("_n").alias("_n"))
+    # read by the end of each definition and by both modes: written once
+    active = cut_lineage(monthly.join(F.broadcast(defs), "event_type").groupBy("activity_definition", KEY, "_em").agg(F.sum("_n").alias("_n")))
     last = active.groupBy("activity_definition").agg(F.max("_em").alias("_end"))
     hits = (
         active.where(F.col("_n") >= min_events).join(base, KEY).withColumn("period", F.expr("_em - _cm"))
@@ -46,7 +47,7 @@ def cohort_retention_all(customers: DataFrame, events: DataFrame, *, periods: in
         "activity_definition", "cohort_month", "period").agg(F.sum("_c").alias("_k")).withColumn("retention_mode", F.lit("rolling"))
     sizes = base.groupBy("cohort_month", "_cm").agg(F.count_distinct(KEY).alias("cohort_size"))
     names = spark.createDataFrame([(d, m) for d in presets for m in modes], "activity_definition string, retention_mode string")
-    top = customers.selectExpr("max(cast(substr(acquisition_month, 1, 4) AS int) * 12 + cast(substr(acquisition_month, 6, 2) AS int)) AS _top")
+    top = base.selectExpr("max(_cm) AS _top")
     # the grid has cohorts x periods x definitions rows: as many as there are months
     grid = (
         sizes.crossJoin(F.broadcast(names)).join(F.broadcast(last), "activity_definition", "left").crossJoin(F.broadcast(top))

@@ -144,8 +144,8 @@ def sessions(events: DataFrame, as_of: str, days: int = 60) -> DataFrame:
 
 def session_features(events: DataFrame, orders: DataFrame, as_of: str) -> DataFrame:
     end = at(as_of)
-    s = sessions(events, as_of).withColumn("_span", F.expr(
-        f"CASE WHEN {win('session_start', end, 30)} THEN '30d' ELSE 'prev_30d' END"))
+    s = cut_lineage(sessions(events, as_of).withColumn("_span", F.expr(
+        f"CASE WHEN {win('session_start', end, 30)} THEN '30d' ELSE 'prev_30d' END")))
     aggs = []
     for span in ("30d", "prev_30d"):
         hit = f"FILTER (WHERE _span = '{span}')"
@@ -154,8 +154,8 @@ def session_features(events: DataFrame, orders: DataFrame, as_of: str) -> DataFr
             ("support_contact", "support_contacts_per_session"))]
         aggs.append(f"nullif(count_if(_span = '{span}'), 0) AS sessions_{span}")
     per = s.groupBy(KEY).agg(*[F.expr(x) for x in aggs], F.expr("count_if(search > 0) AS _ss"))
-    med = exact_quantiles(s, {"d": "duration"}, [0.5], by=[KEY, "_span"]).groupBy(KEY).agg(*[
-        F.expr(f"max(q_0) FILTER (WHERE _span = '{x}') AS median_session_duration_sec_{x}") for x in ("30d", "prev_30d")])
+    med = group_median(s, [KEY, "_span"], "duration", "_m").groupBy(KEY).agg(*[
+        F.expr(f"max(_m) FILTER (WHERE _span = '{x}') AS median_session_duration_sec_{x}") for x in ("30d", "prev_30d")])
     days = orders.where(win("order_time", end, 60)).groupBy(KEY).agg(F.expr("size(collect_set(to_date(order_time))) AS _days"))
     out = per.join(med, KEY, "left").join(days, KEY, "left")
     return out.withColumn("search_to_purchase_conversion_total", F.expr(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.ordered import cut_lineage
+
 KEY = "customer_id"
 
 
@@ -20,15 +22,16 @@ def activity_snapshots(customers: DataFrame, events: DataFrame, orders: DataFram
     ordered, so the window of even the busiest customer is bounded by the calendar.
     """
     act = activity_times(events, orders)
+    # one row per customer, day and "exactly at midnight"; every total below comes from these
+    days = cut_lineage(act.groupBy(KEY, F.expr("to_date(activity_time) AS _date"), F.expr("activity_time = date_trunc('day', cast(activity_time AS timestamp)) AS _midnight")).agg(
+        F.expr("count_if(kind = 'visit') AS v"), F.expr("count_if(kind = 'purchase') AS p"), F.min("activity_time").alias("_first"), F.max("activity_time").alias("last_any"),
+        F.expr("max(activity_time) FILTER (WHERE kind = 'purchase') AS last_buy")))
     # totals count the whole day; "last activity" at a midnight sees only what happened before it
-    totals = act.groupBy(KEY, F.expr("to_date(activity_time) AS day")).agg(
-        F.expr("count_if(kind = 'visit') AS v"), F.expr("count_if(kind = 'purchase') AS p"))
-    seen = act.groupBy(KEY, F.expr("CASE WHEN activity_time = date_trunc('day', cast(activity_time AS timestamp)) THEN to_date(activity_time) "
-                                   "ELSE date_add(to_date(activity_time), 1) END AS day")).agg(
-        F.max("activity_time").alias("last_any"), F.expr("max(activity_time) FILTER (WHERE kind = 'purchase') AS last_buy"))
+    totals = days.groupBy(KEY, F.col("_date").alias("day")).agg(F.sum("v").alias("v"), F.sum("p").alias("p"))
+    seen = days.groupBy(KEY, F.expr("CASE WHEN _midnight THEN _date ELSE date_add(_date, 1) END AS day")).agg(F.max("last_any").alias("last_any"), F.max("last_buy").alias("last_buy"))
     daily = totals.join(seen, [KEY, "day"], "full").withColumn("grid", F.lit(0))
-    spans = act.groupBy(KEY).agg(F.min("activity_time").alias("_a"), F.max("activity_time").alias("_b"))
-    end = act.agg(F.expr("to_date(max(activity_time)) AS _end"))
+    spans = days.groupBy(KEY).agg(F.min("_first").alias("_a"), F.max("last_any").alias("_b"))
+    end = days.agg(F.expr("to_date(max(last_any)) AS _end"))
     base = customers.join(spans, KEY, "left").crossJoin(F.broadcast(end)).withColumn("_signup", F.expr("coalesce(signup_date, _a, _end)"))
     start, stop = "to_date(least(_signup, _a))", "greatest(to_date(_b), _end, to_date(least(_signup, _a)))"
     grid = base.selectExpr(
