@@ -204,3 +204,8 @@ def chain(df: DataFrame, **steps: str) -> DataFrame:
 def add(df: DataFrame, **cols: str) -> DataFrame:
     """Adds or replaces columns computed side by side."""
     return df.withColumns({k: F.expr(v) for k, v in cols.items()})
+
+
+def first_rows(df, n: int | None):
+    """The first ``n`` rows of an ordered frame, all of them without ``n``."""
+    return df if n is None else df.limit(n)

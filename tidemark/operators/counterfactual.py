@@ -24,7 +24,7 @@ def _aliases(df: DataFrame, names, default: str) -> str:
     return f"coalesce({', '.join([*have, default])})"
 
 
-def counterfactual_pool(customers: DataFrame, selected: DataFrame | None = None, survival: DataFrame | None = None, *, threshold: float = 0.5, top: int | None = 100) -> DataFrame:
+def counterfactual_pool(customers: DataFrame, selected: DataFrame | None = None, survival: DataFrame | None = None, *, threshold: float = 0.5, top: int | None = None) -> DataFrame:
     """At-risk customers and already selected ones, one row each, best ranked first."""
     base = add(
         customers,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expr import add
+from ..functions.expr import add, first_rows
 from ..functions.ordered import pct_ranks, shared
 
 KEY = "customer_id"
@@ -61,12 +61,13 @@ def operational_reasons(df: DataFrame) -> DataFrame:
         "coalesce(expected_roi, 0D) AS expected_roi", "coalesce(expected_incremental_profit, 0D) AS expected_incremental_profit")
 
 
-def reason_frequency(explained: DataFrame, column: str, top: int = 10) -> DataFrame:
-    return explained.selectExpr(f"explode(split({column}, ', ')) AS code").where("code <> ''").groupBy("code").agg(F.count(F.lit(1)).alias("count")).orderBy(
-        F.desc("count"), "code").limit(top)
+def reason_frequency(explained: DataFrame, column: str, top: int | None = None) -> DataFrame:
+    out = explained.selectExpr(f"explode(split({column}, ', ')) AS code").where("code <> ''").groupBy("code").agg(F.count(F.lit(1)).alias("count")).orderBy(
+        F.desc("count"), "code")
+    return out.limit(top) if top else out
 
 
-def customer_explanations(customers: DataFrame, extras: list[DataFrame], top: int = 20) -> DataFrame:
+def customer_explanations(customers: DataFrame, extras: list[DataFrame], top: int | None = None) -> DataFrame:
     """Joins decision, recommendation, survival and live rows; reasons by fixed thresholds."""
     df = customers
     for e in extras:
@@ -91,7 +92,7 @@ def customer_explanations(customers: DataFrame, extras: list[DataFrame], top: in
         arr = f"slice(filter(array({', '.join(f'CASE WHEN {c} THEN {chr(39)}{t}{chr(39)} END' for c, t in rules)}), x -> x IS NOT NULL), 1, {n})"
         return f"CASE WHEN size({arr}) > 0 THEN concat_ws(', ', {arr}) ELSE '{empty}' END"
     sort = [F.desc(x) for x in ("selection_score", "realtime_churn_score", "churn_probability", "uplift_score", "clv") if x in df.columns]
-    return add(df.orderBy(*sort, KEY).limit(top), selection_reason=text(reasons, 4, NO_REASON), watchout=text(watch, 3, NO_WATCHOUT))
+    return add(first_rows(df.orderBy(*sort, KEY), top), selection_reason=text(reasons, 4, NO_REASON), watchout=text(watch, 3, NO_WATCHOUT))
 
 
 # ---- dimensions of live rows ------------------------------------------

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expr import add, bound, chain
+from ..functions.expr import add, bound, chain, first_rows
 from ..functions.ordered import cut_lineage, previous_row, running_totals
 from . import budget as bu
 
@@ -148,8 +148,8 @@ def queue_under_ledger(actions: DataFrame, *, remaining_budget: int, remaining_c
     return got.unionByName(late.select(*cols, "action_queue_status"))
 
 
-def risk_ranking(states: DataFrame, top: int = 100) -> DataFrame:
-    return states.orderBy(F.desc("realtime_churn_score"), KEY).limit(top)
+def risk_ranking(states: DataFrame, top: int | None = None) -> DataFrame:
+    return first_rows(states.orderBy(F.desc("realtime_churn_score"), KEY), top)
 
 
 def risk_counts(states: DataFrame) -> DataFrame:
@@ -251,15 +251,16 @@ def live_health(events: DataFrame, states: DataFrame, scores: DataFrame, queue:
             .crossJoin(scores.agg(F.count(F.lit(1)).alias("score_count"), F.max("scored_at").alias("latest_scored_at"))).crossJoin(queue.agg(F.expr("count_if(should_queue) AS queued_count"))))
 
 
-def new_customers(states: DataFrame, scores: DataFrame, limit: int = 100) -> DataFrame:
-    return states.where("event_count_total < 5 OR is_new_customer").join(scores.select(KEY, "churn_score", "clv", "risk_segment"), KEY, "left").orderBy(F.desc("last_event_time"), KEY).limit(limit)
+def new_customers(states: DataFrame, scores: DataFrame, limit: int | None = None) -> DataFrame:
+    out = states.where("event_count_total < 5 OR is_new_customer").join(scores.select(KEY, "churn_score", "clv", "risk_segment"), KEY, "left")
+    return first_rows(out.orderBy(F.desc("last_event_time"), KEY), limit)
 
 
-def filtered_view(df: DataFrame, *, equals: dict | None = None, newest: str | None = None, priority: str | None = None, limit: int = 100) -> DataFrame:
+def filtered_view(df: DataFrame, *, equals: dict | None = None, newest: str | None = None, priority: str | None = None, limit: int | None = None) -> DataFrame:
     for k, v in (equals or {}).items():
         df = df.where(F.col(k) == v)
     keys = [F.desc(x) for x in (priority, newest) if x]
-    return df.orderBy(*keys, KEY).limit(limit)
+    return first_rows(df.orderBy(*keys, "event_id" if "event_id" in df.columns else KEY), limit)
 
 
 def live_monitor_view(scores: DataFrame, actions: DataFrame) -> DataFrame:

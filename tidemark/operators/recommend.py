@@ -50,7 +50,7 @@ def global_popularity(orders: DataFrame) -> DataFrame:
     return orders.where("item_category IS NOT NULL").groupBy("item_category").agg(F.expr("sum(net_amount) + count(1) * 2000 AS global_popularity"))
 
 
-def risk_targets(summary: DataFrame, limit: int | None = 100, min_churn: float = 0.45) -> DataFrame:
+def risk_targets(summary: DataFrame, limit: int | None = None, min_churn: float = 0.45) -> DataFrame:
     summary = shared(summary)
     ranks = pct_ranks(summary, KEY, {"_u": "coalesce(uplift_score, 0D)", "_v": "coalesce(clv, 0D)"}, zero_when_constant=True)
     out = summary.join(ranks, KEY).withColumn("recommendation_priority", F.expr(
@@ -60,7 +60,7 @@ def risk_targets(summary: DataFrame, limit: int | None = 100, min_churn: float =
     return out.limit(limit) if limit else out
 
 
-def given_targets(summary: DataFrame, targets: DataFrame, limit: int | None = 100) -> DataFrame:
+def given_targets(summary: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
     """Targets chosen elsewhere; their newer values win over the summary."""
     extra = [x for x in targets.columns if x != KEY]
     j = summary.join(targets.select(KEY, *[F.col(x).alias(f"_t_{x}") for x in extra]), KEY)
@@ -111,9 +111,10 @@ def recommend_topk(targets: DataFrame, orders: DataFrame, events: DataFrame, sum
         "CASE WHEN segment_popularity > 0 THEN 'segment_popularity' END) ELSE 'global_popularity' END AS reason_tags")
 
 
-def recommendation_summary(recs: DataFrame) -> DataFrame:
-    return recs.groupBy("recommended_category").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(KEY).alias("customers")).orderBy(
-        F.desc("rows"), "recommended_category").limit(10)
+def recommendation_summary(recs: DataFrame, top: int | None = None) -> DataFrame:
+    out = recs.groupBy("recommended_category").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(KEY).alias("customers")).orderBy(
+        F.desc("rows"), "recommended_category")
+    return out.limit(top) if top else out
 
 
 def localize_categories(recs: DataFrame, column: str = "recommended_category") -> DataFrame:

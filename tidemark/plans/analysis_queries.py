@@ -52,7 +52,7 @@ def _(v):
 
 # ---- counterfactual ----------------------------------------------------
 _CFP = f"""cp AS (SELECT *, 0.34 * churn_probability + 0.26 * greatest(u, 0) + 0.20 * {norm('clv')} + 0.20 * timing_urgency_score AS rk FROM ({timing_sql("(SELECT *, least(greatest(uplift_score, -0.30), 0.60) AS u FROM t_summary WHERE churn_probability >= 0.2)")})
-   ORDER BY rk DESC, churn_probability DESC, clv DESC, customer_id LIMIT 400)"""
+   ORDER BY rk DESC, churn_probability DESC, clv DESC, customer_id)"""
 # urgency and window of the pool use the pool's own hazard range
 _A = f"""s1 AS (SELECT *, {norm('clv')} AS vv, {norm('coupon_affinity')} AS ca, {norm('price_sensitivity')} AS ps, {norm('discount_pressure_score')} AS fa, {norm('brand_sensitivity')} AS br, greatest(CAST(intervention_window_days AS DOUBLE), 1) AS dd FROM cp),
 s2 AS (SELECT * FROM s1, (VALUES (0, 'no_action', 0.0, 0.0), (1, 'coupon_5000', 5000.0, 1.0), (2, 'consult_call', 12000.0, 1.18), (3, 'push_email', 800.0, 0.42), (4, 'wait_7d', 0.0, 0.0)) a(ao, action_id, action_cost, mul)),
@@ -63,7 +63,7 @@ sc AS (SELECT *, clv * (1 - tc) + ov - action_cost AS net FROM s4)"""
 
 
 def cf_pool(v):
-    return cf.counterfactual_pool(v.summary(), None, v.survival(), threshold=0.2, top=400)
+    return cf.counterfactual_pool(v.summary(), None, v.survival(), threshold=0.2)
 
 
 @query("counterfactual_pool", f"WITH {_CFP} SELECT customer_id, round(churn_probability, 6) AS churn_probability, round(u, 6) AS uplift_score, round(timing_urgency_score, 6) AS timing_urgency_score FROM cp")
@@ -124,11 +124,11 @@ def _(v):
 
 _PCT = lambda x: f"(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0) / count(*) OVER ()"
 _TG = f"""tg AS (SELECT *, 0.45 * churn_probability + 0.25 * ({_PCT('uplift_score')}) + 0.30 * ({_PCT('clv')}) AS pri FROM t_summary),
-tt AS (SELECT * FROM tg WHERE churn_probability >= 0.3 ORDER BY pri DESC, clv DESC, customer_id LIMIT 100)"""
+tt AS (SELECT * FROM tg WHERE churn_probability >= 0.3 ORDER BY pri DESC, clv DESC, customer_id)"""
 
 
 def rec_targets(v):
-    return rc.risk_targets(v.summary(), 100, min_churn=0.3)
+    return rc.risk_targets(v.summary(), min_churn=0.3)
 
 
 @query("recommendation_targets", f"WITH {_TG} SELECT customer_id, round(pri, 6) AS recommendation_priority FROM tt")
@@ -166,7 +166,7 @@ def _(v):
 
 @query("recommendation_summary", _TOP + " SELECT item_category AS recommended_category, count(*) AS rows, count(DISTINCT customer_id) AS customers FROM r WHERE rn <= 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def _(v):
-    return rc.recommendation_summary(recs(v))
+    return rc.recommendation_summary(recs(v), 10)
 
 
 @query("localize_categories", f"""WITH m(k, l) AS (VALUES {', '.join(f"('{k}', '{x}')" for k, x in rc.FINANCE_CATEGORIES.items())}),
@@ -201,12 +201,12 @@ _RS = """list_filter([CASE WHEN churn_probability >= 0.6 THEN '이탈 위험이
 
 
 @query("customer_explanations", f"""WITH b AS (SELECT t.*, coalesce(x.n, 0) AS xc FROM ({timing_sql('t_summary')}) t LEFT JOIN (SELECT customer_id, count(*) AS n FROM t_exposures GROUP BY 1) x USING (customer_id)),
-r AS (SELECT *, {_RS} AS rr, list_filter([CASE WHEN xc >= 3 THEN '과도한 쿠폰 학습 가능성' END, CASE WHEN price_sensitivity >= 0.8 THEN '할인 없이는 반응 저하 가능' END], lambda x: x IS NOT NULL) AS ww FROM b ORDER BY churn_probability DESC, uplift_score DESC, clv DESC, customer_id LIMIT 200)
+r AS (SELECT *, {_RS} AS rr, list_filter([CASE WHEN xc >= 3 THEN '과도한 쿠폰 학습 가능성' END, CASE WHEN price_sensitivity >= 0.8 THEN '할인 없이는 반응 저하 가능' END], lambda x: x IS NOT NULL) AS ww FROM b ORDER BY churn_probability DESC, uplift_score DESC, clv DESC, customer_id)
 SELECT customer_id, CASE WHEN len(rr) > 0 THEN array_to_string(rr, ', ') ELSE '핵심 신호를 종합해 관찰 대상에 포함' END AS selection_reason, CASE WHEN len(ww) > 0 THEN array_to_string(ww, ', ') ELSE '가격·서비스·타이밍 리스크를 함께 점검' END AS watchout FROM r""")
 def _(v):
     x = v.exposures().groupBy("customer_id").agg(F.count(F.lit(1)).alias("coupon_exposure_count"))
     t = de.survival_timing(v.summary(), v.survival()).select("customer_id", "intervention_window_days")
-    return xp.customer_explanations(v.summary(), [t, x], 200).select("customer_id", "selection_reason", "watchout")
+    return xp.customer_explanations(v.summary(), [t, x]).select("customer_id", "selection_reason", "watchout")
 
 
 @query("restore_dimensions", """WITH b AS (SELECT customer_id, CASE customer_id % 4 WHEN 0 THEN persona WHEN 1 THEN 'live' END AS persona, CASE WHEN customer_id % 3 = 0 THEN 'gold' END AS tier, CASE WHEN customer_id % 5 > 0 THEN region END AS region,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions.ordered import cut_lineage, scratch_path
@@ -62,7 +60,7 @@ def _(v):
     """The same rows from a real stream: files, keyed state, one run over what is there."""
     src, out = _write_stream(v), scratch_path(v.spark)
     scored = st.scored_stream(ss.unique_events(ss.event_stream(v.spark, src, files_per_trigger=100, watermark="40 days"), "event_id"))
-    ss.replay(scored.select(*_PE_COLS), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), tempfile.mkdtemp(prefix="tidemark-cp-"))
+    ss.replay(scored.select(*_PE_COLS), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), scratch_path(v.spark))
     return rounded(v.spark.read.parquet(out).select(*_PE_COLS))
 
 
@@ -79,7 +77,7 @@ def _(v):
 def _(v):
     src, out = _write_stream(v), scratch_path(v.spark)
     counts = st.counter_stream(ss.event_stream(v.spark, src, files_per_trigger=2, watermark="40 days"))
-    ss.replay(counts, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), tempfile.mkdtemp(prefix="tidemark-cp-"), mode="update")
+    ss.replay(counts, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), scratch_path(v.spark), mode="update")
     got = v.spark.read.parquet(out)
     last = got.groupBy("customer_id").agg(F.expr("max_by(struct(*), batch) AS r")).select("r.*").drop("batch", "last_event_time", "first_event_time")
     return rounded(last, default=3)
@@ -130,7 +128,7 @@ def _(v):
     base = cut_lineage(live_summary(v))
     led = sl.QueueLedger(v.spark, scratch_path(v.spark), cut_lineage(de.action_candidates(base)), budget=400_000, daily_capacity=50)
     scored = st.scored_stream(ss.event_stream(v.spark, src, files_per_trigger=2, watermark="40 days"), base.select("customer_id", "churn_probability"))
-    ss.replay(scored, led, tempfile.mkdtemp(prefix="tidemark-cp-"))
+    ss.replay(scored, led, scratch_path(v.spark))
     return led.queue().select("customer_id", "event_id", "intervention_intensity", "coupon_cost", "action_queue_status", "batch_id")
 
 
@@ -229,7 +227,7 @@ def _(v):
     return policy_rows(lv.filtered_view(lv.live_policy(score_rows(v)), equals={"intervention_intensity": "medium"}, priority="priority_score", limit=25))
 
 
-@query("event_query", """SELECT event_id, customer_id, event_type FROM e_events WHERE event_type = 'purchase' ORDER BY "timestamp" DESC, customer_id LIMIT 40""")
+@query("event_query", """SELECT event_id, customer_id, event_type FROM e_events WHERE event_type = 'purchase' ORDER BY "timestamp" DESC, event_id LIMIT 40""")
 def _(v):
     return lv.filtered_view(v.live_events(), equals={"event_type": "purchase"}, newest="timestamp", limit=40).select("event_id", "customer_id", "event_type")
 

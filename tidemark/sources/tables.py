@@ -14,13 +14,12 @@ ENCODINGS = ("utf-8", "cp949", "euc-kr", "latin-1")
 SPARK_CHARSET = {"utf-8": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR", "latin-1": "ISO-8859-1"}
 
 
-def probe_encoding(spark: SparkSession, path: str, sample_lines: int = 20000) -> str:
-    """First encoding that decodes a bounded binary sample of the file."""
-    sample = (
-        spark.read.option("encoding", "ISO-8859-1").text(path).limit(sample_lines)
-        .select(F.encode("value", "ISO-8859-1").alias("b"))
-    )
-    for name in ENCODINGS[:-1]:
+def probe_encoding(spark: SparkSession, path: str) -> str:
+    """First encoding that decodes every line of the file."""
+    lines = spark.read.option("encoding", "ISO-8859-1").text(path).select(F.encode("value", "ISO-8859-1").alias("b"))
+    if lines.where("NOT is_valid_utf8(cast(b AS string))").isEmpty():
+        return ENCODINGS[0]
+    for name in ENCODINGS[1:-1]:
         def bad(it, name=name):
             import pandas as pd
 
@@ -32,7 +31,7 @@ def probe_encoding(spark: SparkSession, path: str, sample_lines: int = 20000) ->
                     except UnicodeDecodeError:
                         return True
                 yield pd.DataFrame({"n": [int(pdf["b"].map(fails).sum())]})
-        if (sample.mapInPandas(bad, "n long").agg(F.sum("n")).first()[0] or 0) == 0:
+        if (lines.mapInPandas(bad, "n long").agg(F.sum("n")).first()[0] or 0) == 0:
             return name
     return ENCODINGS[-1]
 
@@ -120,7 +119,7 @@ SORTABLE = ("customer_id", "churn_probability", "clv", "uplift_score", "expected
 
 
 def list_customers(summary: DataFrame, *, persona=None, uplift_segment=None, treatment_group=None,
-                   min_churn_probability=None, sort_by="customer_id", descending=False, limit=100, offset=0) -> DataFrame:
+                   min_churn_probability=None, sort_by="customer_id", descending=False, limit=None, offset=0) -> DataFrame:
     df = summary
     for name, v in (("persona", persona), ("uplift_segment", uplift_segment), ("treatment_group", treatment_group)):
         if v:
@@ -129,7 +128,8 @@ def list_customers(summary: DataFrame, *, persona=None, uplift_segment=None, tre
         df = df.where(F.col("churn_probability") >= float(min_churn_probability))
     key = sort_by if sort_by in SORTABLE and sort_by in df.columns else "customer_id"
     first = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
-    return df.orderBy(first, F.col("customer_id")).offset(offset).limit(limit)
+    out = df.orderBy(first, F.col("customer_id")).offset(offset)
+    return out if limit is None else out.limit(limit)
 
 
 def normalize_customer_id(df: DataFrame, aliases=("customer_id", "user_id", "cust_id", "client_id", "id")) -> DataFrame:
@@ -138,13 +138,17 @@ def normalize_customer_id(df: DataFrame, aliases=("customer_id", "user_id", "cus
 
 
 def merge_on_customer(frames: list[DataFrame], order_col: str | None = None) -> DataFrame:
-    """Full outer merge of several frames, one row per customer; the left value wins."""
+    """Full outer merge of several frames, one row per customer; the left value wins.
+
+    Of repeated ids the row that is greatest by ``order_col``, then by all columns, stays.
+    """
     merged = None
     for raw in frames:
         df = normalize_customer_id(raw)
-        if order_col and order_col in df.columns:
-            cols = [x for x in df.columns if x != "customer_id"]
-            df = df.groupBy("customer_id").agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("r")).select(
+        cols = [x for x in df.columns if x != "customer_id"]
+        if cols:
+            newest = [order_col] if order_col and order_col in df.columns else []
+            df = df.groupBy("customer_id").agg(F.max_by(F.struct(*cols), F.struct(*newest, *cols)).alias("r")).select(
                 "customer_id", *[F.col(f"r.{x}").alias(x) for x in cols])
         if merged is None:
             merged = df
