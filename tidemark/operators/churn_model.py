@@ -102,7 +102,7 @@ def constant_columns(df: DataFrame) -> DataFrame:
 
 def group_split(df: DataFrame, *, test_size: float = 0.2, tries: int = 50, seed: int = 42, label: str = "label") -> DataFrame:
     """Customer-level split: of many hash splits the one whose positive rate is closest. One pass scores all tries."""
-    share = f"pmod(xxhash64({KEY}, {{i}}), 10000) < {int(test_size * 10000)}"
+    share = f"(pmod({KEY}, 2147483647) * 48271 + {{i}} * 69621) % 2147483647 % 10000 < {int(test_size * 10000)}"
     aggs = [F.expr(f"avg({label}) AS a")] + [F.expr(f"avg({label}) FILTER (WHERE {share.format(i=seed + i)}) AS t{i}") for i in range(tries)]
     row = df.agg(*aggs).first()
     best = min((i for i in range(tries) if row[f"t{i}"] not in (None, 0.0, 1.0)), key=lambda i: abs(row[f"t{i}"] - row["a"]), default=0)

@@ -53,11 +53,13 @@ def granularity(df: DataFrame, id_column: str) -> DataFrame:
 
 
 def detect_column_roles(df: DataFrame) -> DataFrame:
-    """Role and confidence per column: by name, else by what the values look like (one aggregate for all columns)."""
-    aggs = []
+    """Role and confidence per column: by name, else by what the values look like (one aggregate for all columns, distinct values counted exactly)."""
+    numeric_kinds = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    aggs, unnamed = [], [c for c, t in df.dtypes if (t in numeric_kinds or t.startswith("decimal")) and not any(_norm(c) in syn or any(w in _norm(c) or _norm(c) in w for w in syn) for syn in words.ROLE_WORDS.values())]
+    distinct = {r["column_name"]: r["distinct_values"] for r in profile_columns(df.select(*unnamed)).collect()} if unnamed else {}
     for i, c in enumerate(df.columns):
         v = f"cast(`{c}` AS string)"
-        aggs += [f"count(`{c}`) AS n{i}", f"approx_count_distinct(`{c}`) AS u{i}", f"avg(CASE WHEN {v} RLIKE '{_DATE}' THEN 1D ELSE 0D END) FILTER (WHERE `{c}` IS NOT NULL) AS d{i}",
+        aggs += [f"count(`{c}`) AS n{i}", f"avg(CASE WHEN {v} RLIKE '{_DATE}' THEN 1D ELSE 0D END) FILTER (WHERE `{c}` IS NOT NULL) AS d{i}",
                  f"bool_and({v} IN ('0', '1', 'true', 'false', 'yes', 'no', 'Y', 'N')) AS b{i}"]
     row = df.agg(*[F.expr(x) for x in aggs]).first()
     out = []
@@ -68,8 +70,7 @@ def detect_column_roles(df: DataFrame) -> DataFrame:
             if s > score:
                 role, score = r, s
         if score < 0.5 and row[f"n{i}"]:
-            numeric = t in ("int", "bigint", "double", "float")
-            if numeric and row[f"u{i}"] / row[f"n{i}"] > 0.9:
+            if c in distinct and distinct[c] / row[f"n{i}"] > 0.9:
                 role, score = "potential_id", 0.3
             elif t == "string" and (row[f"d{i}"] or 0) > 0.7:
                 role, score = "timestamp", 0.6

@@ -100,25 +100,42 @@ def live_summary(v):
     return m.selectExpr("*", "clv * uplift_score AS expected_incremental_profit", "clv * uplift_score / coupon_cost AS expected_roi", f"{uplift_band()} AS uplift_segment")
 
 
-@query("trigger_actions")
+@query("trigger_actions_policy")
 def _(v):
     hits = cut_lineage(lv.scored_events(v.live_events(), live_summary(v)).where("trigger_reason <> ''"))
     return lv.trigger_actions(hits, de.action_candidates(live_summary(v)))
 
 
-@query("queue_under_ledger", f"""WITH RECURSIVE {_PE}, tg AS (SELECT customer_id, arg_max(sc, (epoch_us("timestamp"), event_id)) AS sc, arg_max(event_id, (epoch_us("timestamp"), event_id)) AS event_id, max(epoch_us("timestamp")) AS tm FROM tr WHERE sc - pv >= 0.05 GROUP BY 1),
+_TRIGGERS = f"""tg AS (SELECT customer_id, arg_max(sc, (epoch_us("timestamp"), event_id)) AS sc, arg_max(event_id, (epoch_us("timestamp"), event_id)) AS event_id, max(epoch_us("timestamp")) AS tm FROM tr WHERE sc - pv >= 0.05 GROUP BY 1),
 ca AS (SELECT tg.*, i, CAST(CASE i WHEN 'low' THEN 2000 WHEN 'mid' THEN 3000 ELSE 4500 END + (customer_id % 7) * 100 AS DOUBLE) AS coupon_cost, CAST((customer_id % 11) * 500 + CASE i WHEN 'low' THEN 1000 WHEN 'mid' THEN 1800 ELSE 2500 END AS DOUBLE) AS pf FROM tg, (SELECT unnest(['low', 'mid', 'high']) AS i)),
-cr AS (SELECT *, pf / coupon_cost AS roi FROM ca), cp AS (SELECT *, 0.34 * (pf - min(pf) OVER k) / (max(pf) OVER k - min(pf) OVER k) + 0.28 * CASE WHEN max(roi) OVER k - min(roi) OVER k < 1e-12 THEN 0 ELSE (roi - min(roi) OVER k) / (max(roi) OVER k - min(roi) OVER k) END + 0.15 * sc AS ap FROM cr WINDOW k AS (PARTITION BY customer_id)), """
-       + greedy_sql("cp", "tm, event_id, ap DESC, pf DESC, coupon_cost", [("ledger", 150_000)], cap=60)[len("WITH RECURSIVE "):]
-       + " SELECT customer_id, i AS intervention_intensity, coupon_cost, 'queued' AS action_queue_status FROM sel")
-def _(v):
+cr AS (SELECT *, pf / coupon_cost AS roi FROM ca), cp AS (SELECT *, 0.34 * (pf - min(pf) OVER k) / (max(pf) OVER k - min(pf) OVER k) + 0.28 * CASE WHEN max(roi) OVER k - min(roi) OVER k < 1e-12 THEN 0 ELSE (roi - min(roi) OVER k) / (max(roi) OVER k - min(roi) OVER k) END + 0.15 * sc AS ap FROM cr WINDOW k AS (PARTITION BY customer_id))"""
+
+
+def _offers(v):
     hits = lv.scored_events(v.live_events()).where("realtime_churn_score - prev_score >= 0.05")
     cand = v.live_events().select("customer_id").distinct().selectExpr("customer_id", "explode(array('low', 'mid', 'high')) AS intervention_intensity").selectExpr(
         "*", "cast(CASE intervention_intensity WHEN 'low' THEN 2000 WHEN 'mid' THEN 3000 ELSE 4500 END + (customer_id % 7) * 100 AS double) AS coupon_cost",
         "cast((customer_id % 11) * 500 + CASE intervention_intensity WHEN 'low' THEN 1000 WHEN 'mid' THEN 1800 ELSE 2500 END AS double) AS expected_incremental_profit").selectExpr(
         "*", "expected_incremental_profit / coupon_cost AS expected_roi", "0D AS timing_urgency_score")
-    q = lv.queue_under_ledger(cut_lineage(lv.trigger_actions(cut_lineage(hits), cand)), remaining_budget=150_000, remaining_capacity=60)
-    return q.where("action_queue_status = 'queued'").select("customer_id", "intervention_intensity", "coupon_cost", "action_queue_status")
+    return cut_lineage(lv.trigger_actions(cut_lineage(hits), cand))
+
+
+@query("trigger_actions", f"WITH {_PE}, {_TRIGGERS} SELECT customer_id, event_id, i AS intervention_intensity, coupon_cost, round(ap, 6) AS action_priority FROM cp")
+def _(v):
+    return rounded(_offers(v).select("customer_id", "event_id", "intervention_intensity", "coupon_cost", "action_priority"))
+
+
+_WALK = "tm, event_id, ap DESC, pf DESC, roi DESC, coupon_cost, i"
+
+
+@query("queue_under_ledger", f"WITH RECURSIVE {_PE}, {_TRIGGERS}, " + greedy_sql("cp", _WALK, [("ledger", 150_000)], cap=40)[len("WITH RECURSIVE "):]
+       + """, en AS (SELECT count(*) AS n, sum(coupon_cost) AS s, max(tm) AS ltm, arg_max(event_id, (tm, event_id)) AS lev FROM sel),
+bs AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY ap DESC, pf DESC, roi DESC, coupon_cost, i) AS rn FROM cp WHERE customer_id NOT IN (SELECT customer_id FROM sel))
+SELECT customer_id, i AS intervention_intensity, coupon_cost, 'queued' AS action_queue_status FROM sel UNION ALL
+SELECT customer_id, i, coupon_cost, CASE WHEN (tm > ltm OR tm = ltm AND event_id > lev) AND s < 150000 AND n >= 40 THEN 'deferred_channel_guardrail' ELSE 'deferred_budget_guardrail' END FROM bs, en WHERE rn = 1""")
+def _(v):
+    q = lv.queue_under_ledger(_offers(v), remaining_budget=150_000, remaining_capacity=40)
+    return q.select("customer_id", "intervention_intensity", "coupon_cost", "action_queue_status")
 
 
 @query("stream_action_queue")

@@ -293,9 +293,11 @@ def _(v):
     return rounded(cm.business_threshold(curve(v)))
 
 
-@query("group_split")
+@query("group_split", f"""WITH {_LB}, t AS (SELECT i, avg(label) FILTER ((customer_id * 48271 + (42 + i) * 69621) % 2147483647 % 10000 < 2000) AS r, avg(label) AS a FROM lb, (SELECT unnest(range(50)) AS i) GROUP BY 1),
+b AS (SELECT i FROM t WHERE r IS NOT NULL AND r NOT IN (0.0, 1.0) ORDER BY abs(r - a), i LIMIT 1)
+SELECT (customer_id * 48271 + (42 + i) * 69621) % 2147483647 % 10000 < 2000 AS is_test, count(*) AS customers, round(avg(label), 6) AS positive_rate FROM lb, b GROUP BY 1""")
 def _(v):
-    return cm.group_split(labelled(v)).groupBy("is_test").agg(F.count(F.lit(1)).alias("customers"), F.avg("label").alias("positive_rate"))
+    return rounded(cm.group_split(labelled(v)).groupBy("is_test").agg(F.count(F.lit(1)).alias("customers"), F.avg("label").alias("positive_rate")))
 
 
 _TF = ("frequency", "monetary", "price_sensitivity", "coupon_affinity", "clv", "recency_days")

@@ -21,15 +21,17 @@ def upload(v):
         "CASE WHEN event_id % 2 = 0 THEN cast(event_id % 7 AS string) END AS shelf")
 
 
-@query("detect_column_roles")
+# literal expectations for this upload: exact names 1.0, contained words 0.7, two-valued text 0.3
+@query("detect_column_roles", """SELECT column_name, role, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('row_id', 'customer_id', 0.7), ('customer_id', 'customer_id', 1.0), ('ts', 'timestamp', 1.0), ('action', 'event_type', 1.0), ('amount', 'amount', 1.0),
+  ('discount_amount', 'amount', 0.7), ('coupon_used', 'potential_binary', 0.3), ('channel', 'event_type', 0.7), ('refund_reason', 'unknown', 0.0), ('shelf', 'unknown', 0.0)) t(column_name, role, confidence)""")
 def _(v):
     return ob.detect_column_roles(upload(v))
 
 
-@query("relevance_score")
+@query("relevance_score", "SELECT CAST(0.8 AS DOUBLE) AS relevance_score, false AS is_unrelated, count(*) >= 10 AS is_valid FROM events")
 def _(v):
     u = upload(v)
-    return ob.relevance_score(ob.detect_column_roles(u), u.count())
+    return rounded(ob.relevance_score(ob.detect_column_roles(u), u.count()))
 
 
 _COLS = (("action", "text"), ("channel", "text"), ("coupon_used", "text"), ("shelf", "text"), ("row_id", "numeric"), ("customer_id", "numeric"))
