@@ -20,7 +20,7 @@ END_ID = 1
 #: Share of a sequence by which a new pattern must pay for itself; at the end the program is within that share of its optimum.
 GAP = 1e-3
 #: Rows of one class that one task ranks: its even share, within these bounds.
-RANKED_ROWS = (500, 20_000)
+RANKED_ROWS = (100, 20_000)
 
 _encoders: dict = {}
 
