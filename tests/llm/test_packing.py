@@ -68,3 +68,10 @@ def test_patterns_cover_demand_near_the_bound():
         assert sum(p.bins for p in got) <= -(-sum(c * k for c, k in demand.items()) // room) * 1.02 + 1
     assert packing.patterns({}, 128) == []
     assert sum(p.bins for p in packing.patterns({128: 9, 65: 4}, 128)) == 13
+
+
+def test_long_runs_of_blanks_are_encoded():
+    vocabulary = packing.default_vocabulary()
+    slow = Tokenizer.from_file(vocabulary[0])
+    text = "a" + " " * 700_000 + "b"
+    assert packing._encoder(vocabulary)(text).tolist() == slow.encode(text, add_special_tokens=False).ids

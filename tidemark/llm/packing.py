@@ -37,7 +37,8 @@ def _encoder(vocabulary: tuple[str, str]):
 
     Texts of Latin-1 characters go through tiktoken, which has the same vocabulary and the
     same ids and is several times faster; texts with others, where the character classes of
-    the two libraries may differ in age, go through the tokenizers library itself.
+    the two libraries may differ in age, and those on whose long runs of blanks the pattern
+    of tiktoken gives up, go through the tokenizers library itself.
     """
     if vocabulary in _encoders:
         return _encoders[vocabulary]
@@ -57,9 +58,9 @@ def _encoder(vocabulary: tuple[str, str]):
     def ids(text: str) -> np.ndarray:
         try:
             text.encode("latin-1")
-        except UnicodeEncodeError:
+            return np.array(fast.encode(text, allowed_special="all"), np.uint32)
+        except ValueError:  # another character, or a run beyond the pattern's stack
             return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(fast.encode(text, allowed_special="all"), np.uint32)
 
     _encoders[vocabulary] = ids
     return ids
