@@ -67,6 +67,39 @@ def orphan_customers(df: DataFrame, summary: DataFrame) -> DataFrame:
     return df.join(summary.select(KEY), KEY, "left_anti").select(KEY).distinct()
 
 
+def value_mix(df: DataFrame, columns) -> DataFrame:
+    """``dimension, value, count, share`` of each column's values; rows without one count as ``unknown``."""
+    pairs = ", ".join(f"struct('{c}' AS dimension, coalesce(cast({c} AS string), 'unknown') AS value)" for c in columns)
+    counts = df.selectExpr(f"inline(array({pairs}))").groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("count"))
+    rows = df.agg(F.expr("greatest(count(1), 1) AS _t"))
+    return counts.crossJoin(F.broadcast(rows)).selectExpr("dimension", "value", "count", "count / _t AS share")
+
+
+def diagnostic_checks(summary: DataFrame, tables: dict[str, DataFrame], covering: dict[str, DataFrame], scores=("churn_probability", "uplift_score", "clv")) -> DataFrame:
+    """``check, value, expected, ok``: repeated customers, orphans per table, coverage of the ``covering`` tables, missing scores.
+
+    An empty covering table is not a fault.
+    """
+    nulls = " + ".join(f"count_if({s} IS NULL)" for s in scores)
+    own = summary.agg(F.count_distinct(KEY).alias("_ids"), F.expr(f"count(1) - count(DISTINCT {KEY}) AS _again"), F.expr(f"{nulls} AS _nulls"))
+    parts = [own.selectExpr("inline(array(struct('repeated_customers' AS check, _again AS value, 0L AS expected, _again = 0 AS ok), struct('missing_scores' AS check, _nulls AS value, 0L AS expected, _nulls = 0 AS ok)))")]
+    for name, df in tables.items():
+        parts.append(orphan_customers(df, summary).agg(F.count(F.lit(1)).alias("value")).selectExpr(f"'{name}_orphans' AS check", "value", "0L AS expected", "value = 0 AS ok"))
+    for name, df in covering.items():
+        seen = df.agg(F.count_distinct(KEY).alias("value"))
+        parts.append(seen.crossJoin(own).selectExpr(f"'{name}_coverage' AS check", "value", "_ids AS expected", "value = 0 OR value = greatest(_ids, 1) AS ok"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def coupon_totals(summary: DataFrame, exposures: DataFrame) -> DataFrame:
+    """One row: exposed customers, exposures, opens and redemptions with their rates, and what was spent."""
+    s = summary.agg(*[F.expr(x) for x in (
+        "count_if(coalesce(coupon_exposure_count, 0) > 0) AS exposed_customers", "count_if(coalesce(coupon_exposure_count, 0) >= 3) AS high_exposure_customers",
+        "coalesce(sum(coupon_exposure_count), 0) AS total_exposures", "try_divide(coalesce(sum(coupon_opens), 0), sum(coupon_exposure_count)) AS open_rate",
+        "try_divide(coalesce(sum(coupon_redeem_count), 0), sum(coupon_exposure_count)) AS redeem_rate")])
+    return s.crossJoin(exposures.agg(F.expr("coalesce(sum(coupon_cost), 0D) AS coupon_spend_total")))
+
+
 def coupon_risk(summary: DataFrame) -> DataFrame:
     """Exposure and redemption per persona with a total row."""
     aggs = [F.expr(x) for x in (

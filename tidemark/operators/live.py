@@ -190,17 +190,28 @@ def cold_scores(states: DataFrame) -> DataFrame:
     return out.withColumn("expected_incremental_profit", F.expr("clv * uplift_score"))
 
 
+#: Fixed value: events after which a new customer is scored like the others.
+WARM_EVENTS = 5
+
+
 def score_changed(changed: DataFrame, states: DataFrame, existing: DataFrame, warm: DataFrame | None = None, costs: DataFrame | None = None) -> DataFrame:
-    """New scores of changed customers only: cold ones by formula, warm ones from the model, else the old values."""
+    """New scores of changed customers only.
+
+    A customer without a score, or with one of a new customer, is cold until five events
+    and gets the closed formula; the others get the model's values, else the earlier ones,
+    else the formula.  ``existing`` tells new customers by ``risk_segment``, if it has one.
+    """
     st = states.join(changed.select(KEY).distinct(), KEY, "left_semi")
     cold = cold_scores(st).select(KEY, F.col("churn_score").alias("_c"), F.col("clv").alias("_v"), F.col("uplift_score").alias("_u"))
-    j = st.join(existing.select(KEY, F.col("churn_score").alias("_oc"), F.col("clv").alias("_ov"), F.col("uplift_score").alias("_ou"), F.lit(True).alias("_known")), KEY, "left").join(cold, KEY, "left")
+    was_new = F.expr("coalesce(risk_segment = 'new', false)") if "risk_segment" in existing.columns else F.lit(False)
+    old = existing.select(KEY, F.col("churn_score").alias("_oc"), F.col("clv").alias("_ov"), F.col("uplift_score").alias("_ou"), was_new.alias("_was_new"))
+    j = st.join(old, KEY, "left").join(cold, KEY, "left").withColumn("_cold", F.expr(f"coalesce(_was_new, true) AND event_count_total < {WARM_EVENTS}"))
     if warm is not None:
         j = j.join(warm.select(KEY, F.col("churn_score").alias("_wc"), F.col("clv").alias("_wv"), F.col("uplift_score").alias("_wu")), KEY, "left")
     w = (lambda x: f"_w{x}") if warm is not None else (lambda x: "NULL")
-    pick = lambda x: f"CASE WHEN _known THEN coalesce({w(x)}, _o{x}) ELSE _{x} END"
+    pick = lambda x: f"CASE WHEN _cold THEN _{x} ELSE coalesce({w(x)}, _o{x}, _{x}) END"
     out = chain(j, churn_score=pick("c"), clv=pick("v"), uplift_score=pick("u"), expected_incremental_profit="clv * uplift_score",
-                risk_segment=f"CASE WHEN _known THEN {risk_band('churn_score')} ELSE 'new' END")
+                risk_segment=f"CASE WHEN _cold THEN 'new' ELSE {risk_band('churn_score')} END")
     if costs is not None:
         out = out.join(costs.select(KEY, F.col("coupon_cost").alias("_k")), KEY, "left").withColumn("expected_roi", F.expr("CASE WHEN _k > 0 THEN expected_incremental_profit / _k END"))
     return out.select(*[c for c in out.columns if not c.startswith("_")])
@@ -257,10 +268,11 @@ def new_customers(states: DataFrame, scores: DataFrame, limit: int | None = None
 
 
 def filtered_view(df: DataFrame, *, equals: dict | None = None, newest: str | None = None, priority: str | None = None, limit: int | None = None) -> DataFrame:
+    """Rows with the given values, first by priority, then newest; equal ones by the newest event, else by customer."""
     for k, v in (equals or {}).items():
         df = df.where(F.col(k) == v)
     keys = [F.desc(x) for x in (priority, newest) if x]
-    return first_rows(df.orderBy(*keys, "event_id" if "event_id" in df.columns else KEY), limit)
+    return first_rows(df.orderBy(*keys, F.desc("event_id") if "event_id" in df.columns else KEY), limit)
 
 
 def live_monitor_view(scores: DataFrame, actions: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.ordered import pct_ranks, shared
+from ..functions.ordered import cut_lineage, pct_ranks, shared
 
 KEY = "customer_id"
 # Browse-like events, finance labels of categories and reasons.
@@ -80,22 +80,28 @@ def given_targets(summary: DataFrame, targets: DataFrame, limit: int | None = No
     return out.limit(limit) if limit else out
 
 
+#: Categories up to which the catalog and its popularity are broadcast.
+CATALOG_ROWS = 20_000
+
+
 def recommend_topk(targets: DataFrame, orders: DataFrame, events: DataFrame, summary: DataFrame, k: int = 3) -> DataFrame:
     """Targets x all categories, each signal min-max scaled per customer.
 
-    The catalog has a few hundred categories at most; a customer's window spans
-    the catalog, never their history.
+    A customer's window spans the catalog, never their history.  The catalog is counted
+    and broadcast only up to CATALOG_ROWS categories.
     """
     targets = shared(targets)
     glob = global_popularity(orders)
     seen = events.where(F.col("item_category").isNotNull() & F.lower("event_type").isin(*BROWSE_TYPES)).select("item_category")
-    cats = glob.select("item_category").unionByName(seen).distinct()
-    base = targets.select(KEY, "persona", "uplift_segment", F.expr("coalesce(coupon_affinity, 0D) AS _ca")).crossJoin(F.broadcast(cats))
+    cats = cut_lineage(glob.select("item_category").unionByName(seen).distinct())
+    small = cats.count() <= CATALOG_ROWS
+    sized = lambda df: F.broadcast(df) if small else df
+    base = targets.select(KEY, "persona", "uplift_segment", F.expr("coalesce(coupon_affinity, 0D) AS _ca")).crossJoin(sized(cats))
     keys = targets.select(KEY)
     pref = category_preferences(orders).join(keys, KEY, "left_semi")
     view = interest_scores(events).join(keys, KEY, "left_semi")
     j = (base.join(pref, [KEY, "item_category"], "left").join(view, [KEY, "item_category"], "left")
-         .join(segment_popularity(summary, orders), ["persona", "uplift_segment", "item_category"], "left").join(F.broadcast(glob), "item_category", "left"))
+         .join(segment_popularity(summary, orders), ["persona", "uplift_segment", "item_category"], "left").join(sized(glob), "item_category", "left"))
     signals = ("customer_pref_score", "view_score", "segment_popularity", "global_popularity")
     j = j.na.fill(0.0, list(signals))
     w = W.partitionBy(KEY)

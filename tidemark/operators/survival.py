@@ -151,6 +151,19 @@ def encode_survival(df: DataFrame, *, numeric, categorical, max_features: int =
 
 
 # ---- Cox regression ---------------------------------------------------
+EFRON_BLOCK = 1 << 20
+
+
+def _efron(m: int, at_risk: float, dying: float) -> tuple[float, ...]:
+    """Sums over a day's m events of ln d, 1/d, f/d, 1/d^2, f/d^2 and f^2/d^2, with f = j/m and d = at_risk - f * dying; a block of events at a time."""
+    out = np.zeros(6)
+    for lo in range(0, m, EFRON_BLOCK):
+        f = np.arange(lo, min(m, lo + EFRON_BLOCK)) / m
+        d = at_risk - f * dying
+        out += (np.log(d).sum(), (1 / d).sum(), (f / d).sum(), (1 / d**2).sum(), (f / d**2).sum(), (f * f / d**2).sum())
+    return tuple(out)
+
+
 def _gram(part: DataFrame, features: list[str], weight: str) -> np.ndarray:
     """Sum of w x x' over all rows: one d x d block per task, added up on Spark."""
     d = len(features)
@@ -176,7 +189,8 @@ def cox_fit(df: DataFrame, features: list[str], *, penalizer: float = 0.1, max_i
 
     Durations are whole days up to the horizon, so one pass per step gives the
     sums by day (a few hundred numbers); a second gives the weighted Gram matrix.
-    Only those sums reach the driver.
+    Only those sums reach the driver; tied events of a day enter as six sums.  A fit that
+    has not settled after ``max_iter`` steps is an error.
     """
     stats = df.agg(*[F.expr(x) for i, c in enumerate(features) for x in (f"avg(`{c}`) AS m{i}", f"stddev_samp(`{c}`) AS s{i}")], F.count(F.lit(1)).alias("n")).first()
     mean = [float(stats[f"m{i}"] or 0.0) for i in range(len(features))]
@@ -210,19 +224,18 @@ def cox_fit(df: DataFrame, features: list[str], *, penalizer: float = 0.1, max_i
         for i in range(len(days)):
             m = a["n"][i]
             if m:
-                f = np.arange(m) / m
-                den = s0[i] - f * a["w"][i, 1]
-                num = s1[i][None, :] - f[:, None] * a["wx"][i, 1][None, :]
-                ratio = num / den[:, None]
-                ll += float(a["sx"][i] @ b - np.log(den).sum())
-                grad += a["sx"][i] - ratio.sum(0)
-                outer += ratio.T @ ratio
-                run += float((1 / den).sum())
-                own_b[i] = float((f / den).sum())
+                logs, inv, f_inv, inv2, f_inv2, f2_inv2 = _efron(int(m), float(s0[i]), float(a["w"][i, 1]))
+                all_x, own_x = s1[i], a["wx"][i, 1]
+                cross = np.outer(all_x, own_x)
+                ll += float(a["sx"][i] @ b - logs)
+                grad += a["sx"][i] - inv * all_x + f_inv * own_x
+                outer += inv2 * np.outer(all_x, all_x) - f_inv2 * (cross + cross.T) + f2_inv2 * np.outer(own_x, own_x)
+                run += inv
+                own_b[i] = f_inv
             cum_a[i] = run
         return days, a, s0, ll, grad, outer, cum_a, own_b, w
 
-    last = None
+    last, done = None, False
     for _ in range(max_iter):
         days, a, s0, ll, grad, outer, cum_a, own_b, w = likelihood_parts(beta)
         table = F.broadcast(df.sparkSession.createDataFrame([(int(t), float(x), float(y)) for t, x, y in zip(days, cum_a, own_b)], "t int, ca double, cb double"))
@@ -232,10 +245,11 @@ def cox_fit(df: DataFrame, features: list[str], *, penalizer: float = 0.1, max_i
         step = np.linalg.solve(hess, g)
         beta = beta + step
         if np.abs(step).max() < tol or (last is not None and abs(ll - last) < 1e-9 * abs(ll)):
+            done = True
             break
         last = ll
-    if not np.isfinite(beta).all():
-        raise ValueError("Cox regression did not converge")
+    if not done or not np.isfinite(beta).all():
+        raise ValueError(f"Cox regression did not converge in {max_iter} steps")
     days, a, s0, *_ = likelihood_parts(beta)
     hazard = np.cumsum([a["n"][i] / s0[i] if a["n"][i] else 0.0 for i in range(len(days))])
     horizon = max(days)

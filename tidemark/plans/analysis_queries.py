@@ -271,6 +271,32 @@ def _(v):
     return rounded(au.coupon_risk(v.summary().join(x, "customer_id", "left").join(r, "customer_id", "left")))
 
 
+@query("diagnostic_checks", """WITH k AS (SELECT * FROM t_summary WHERE customer_id % 50 > 0), n AS (SELECT count(DISTINCT customer_id) AS n FROM k),
+x AS (SELECT 'repeated_customers' AS "check", (SELECT count(*) - count(DISTINCT customer_id) FROM k) AS value, 0 AS expected
+UNION ALL SELECT 'missing_scores', (SELECT count(*) FILTER (churn_probability IS NULL) + count(*) FILTER (uplift_score IS NULL) + count(*) FILTER (clv IS NULL) FROM k), 0
+UNION ALL SELECT 'events_orphans', (SELECT count(DISTINCT customer_id) FROM t_events WHERE customer_id NOT IN (SELECT customer_id FROM k)), 0
+UNION ALL SELECT 'orders_orphans', (SELECT count(DISTINCT customer_id) FROM t_orders WHERE customer_id NOT IN (SELECT customer_id FROM k)), 0
+UNION ALL SELECT 'assignments_coverage', (SELECT count(DISTINCT customer_id) FROM t_assign), n FROM n)
+SELECT "check", value, expected, CASE WHEN "check" LIKE '%_coverage' THEN value = 0 OR value = expected ELSE value = 0 END AS ok FROM x""")
+def _(v):
+    return au.diagnostic_checks(v.summary().where("customer_id % 50 > 0"), {"events": v.events(), "orders": v.orders()}, {"assignments": v.assignments()})
+
+
+@query("customer_mix", """SELECT 'persona' AS dimension, persona AS value, count(*) AS count, count(*) / CAST((SELECT count(*) FROM t_summary) AS DOUBLE) AS share FROM t_summary GROUP BY persona
+UNION ALL SELECT 'uplift_segment', uplift_segment, count(*), count(*) / CAST((SELECT count(*) FROM t_summary) AS DOUBLE) FROM t_summary GROUP BY uplift_segment""")
+def _(v):
+    return au.value_mix(v.summary(), ("persona", "uplift_segment"))
+
+
+@query("coupon_totals", f"""WITH {_CR}, o AS (SELECT customer_id, count(*) AS op FROM t_exposures WHERE customer_id % 3 = 0 GROUP BY 1)
+SELECT count(*) FILTER (xc > 0) AS exposed_customers, count(*) FILTER (xc >= 3) AS high_exposure_customers, CAST(sum(xc) AS BIGINT) AS total_exposures, round(sum(coalesce(op, 0)) / CAST(sum(xc) AS DOUBLE), 6) AS open_rate, round(sum(rd) / CAST(sum(xc) AS DOUBLE), 6) AS redeem_rate,
+  (SELECT round(CAST(sum(coupon_cost) AS DOUBLE), 3) FROM t_exposures) AS coupon_spend_total FROM b LEFT JOIN o USING (customer_id)""")
+def _(v):
+    x = v.exposures().groupBy("customer_id").agg(F.count(F.lit(1)).alias("coupon_exposure_count"), F.expr("count_if(customer_id % 3 = 0) AS coupon_opens"))
+    r = v.orders().where("coupon_used = 1 AND order_time >= timestamp_ntz'2001-01-01 00:00:00'").groupBy("customer_id").agg(F.count(F.lit(1)).alias("coupon_redeem_count"))
+    return rounded(au.coupon_totals(v.summary().join(x, "customer_id", "left").join(r, "customer_id", "left"), v.exposures()), {"coupon_spend_total": 3})
+
+
 @query("operations_overview", "SELECT persona, count(*) AS customers, round(avg(churn_probability), 6) AS avg_churn_probability, round(avg(uplift_score), 6) AS avg_uplift_score, round(avg(clv), 3) AS avg_clv FROM t_summary GROUP BY 1")
 def _(v):
     return rounded(au.operations_overview(v.summary()), {"avg_clv": 3})

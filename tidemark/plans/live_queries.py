@@ -47,11 +47,16 @@ def _(v):
     return rounded(lv.scored_events(v.live_events()).select(*_PE_COLS))
 
 
+#: Files of one week, which is one trigger of the streams below.
+_FILES = 8
+
+
 def _write_stream(v):
-    """The month as one folder of files in time order."""
+    """The month as one folder, a week at a time: files are read in the order they were written in."""
     path = scratch_path(v.spark)
-    e = v.live_events().selectExpr("event_id", "customer_id", "cast(timestamp AS timestamp) AS timestamp", "event_type", "amount")
-    e.withColumn("part", F.expr("weekofyear(timestamp)")).repartition("part").sortWithinPartitions("timestamp").write.parquet(path)
+    e = cut_lineage(v.live_events().selectExpr("event_id", "customer_id", "cast(timestamp AS timestamp) AS timestamp", "event_type", "amount").withColumn("_week", F.date_trunc("week", "timestamp")))
+    for (week,) in e.select("_week").distinct().orderBy("_week").collect():  # one row a week
+        e.where(F.col("_week") == F.lit(week)).drop("_week").repartition(_FILES, "customer_id").write.mode("append").parquet(path)
     return path
 
 
@@ -59,7 +64,7 @@ def _write_stream(v):
 def _(v):
     """The same rows from a real stream: files, keyed state, one run over what is there."""
     src, out = _write_stream(v), scratch_path(v.spark)
-    scored = st.scored_stream(ss.unique_events(ss.event_stream(v.spark, src, files_per_trigger=100, watermark="40 days"), "event_id"))
+    scored = st.scored_stream(ss.unique_events(ss.event_stream(v.spark, src, files_per_trigger=_FILES, watermark="40 days"), "event_id"))
     ss.replay(scored.select(*_PE_COLS), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), scratch_path(v.spark))
     return rounded(v.spark.read.parquet(out).select(*_PE_COLS))
 
@@ -76,7 +81,7 @@ def _(v):
 @query("stream_counters", _CNT_SQL)
 def _(v):
     src, out = _write_stream(v), scratch_path(v.spark)
-    counts = st.counter_stream(ss.event_stream(v.spark, src, files_per_trigger=2, watermark="40 days"))
+    counts = st.counter_stream(ss.event_stream(v.spark, src, files_per_trigger=_FILES, watermark="40 days"))
     ss.replay(counts, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), scratch_path(v.spark), mode="update")
     got = v.spark.read.parquet(out)
     last = got.groupBy("customer_id").agg(F.expr("max_by(struct(*), batch) AS r")).select("r.*").drop("batch", "last_event_time", "first_event_time")
@@ -144,7 +149,7 @@ def _(v):
     src = _write_stream(v)
     base = cut_lineage(live_summary(v))
     led = sl.QueueLedger(v.spark, scratch_path(v.spark), cut_lineage(de.action_candidates(base)), budget=400_000, daily_capacity=50)
-    scored = st.scored_stream(ss.event_stream(v.spark, src, files_per_trigger=2, watermark="40 days"), base.select("customer_id", "churn_probability"))
+    scored = st.scored_stream(ss.event_stream(v.spark, src, files_per_trigger=_FILES, watermark="40 days"), base.select("customer_id", "churn_probability"))
     ss.replay(scored, led, scratch_path(v.spark))
     return led.queue().select("customer_id", "event_id", "intervention_intensity", "coupon_cost", "action_queue_status", "batch_id")
 
@@ -175,7 +180,7 @@ def _(v):
 
 
 @query("score_changed_customers", f"""WITH {_COLD}, k AS (SELECT customer_id, 0.3 + 0.6 * (customer_id % 10) / 10.0 AS cs, 1000.0 + customer_id AS cv, 0.05 AS cu FROM (SELECT DISTINCT customer_id FROM e_events) WHERE customer_id % 3 > 0),
-j AS (SELECT cd.customer_id, coalesce(cs, least(greatest(0.60 - 0.06 * n, 0.15), 0.70)) AS cs, coalesce(cv, CASE WHEN r > 0 THEN r * 6 ELSE 50000 END) AS cv, coalesce(cu, 0.12) AS cu, k.customer_id IS NOT NULL AS known FROM cd LEFT JOIN k USING (customer_id) WHERE cd.customer_id % 2 = 0)
+j AS (SELECT cd.customer_id, coalesce(cs, least(greatest(0.60 - 0.06 * n, 0.15), 0.70)) AS cs, coalesce(cv, CASE WHEN r > 0 THEN r * 6 ELSE 50000 END) AS cv, coalesce(cu, 0.12) AS cu, k.customer_id IS NOT NULL OR n >= 5 AS known FROM cd LEFT JOIN k USING (customer_id) WHERE cd.customer_id % 2 = 0)
 SELECT customer_id, round(cs, 6) AS churn_score, round(cv, 3) AS clv, round(cu, 6) AS uplift_score, round(cv * cu, 4) AS expected_incremental_profit, CASE WHEN NOT known THEN 'new' WHEN cs >= 0.85 THEN 'critical' WHEN cs >= 0.70 THEN 'high' WHEN cs >= 0.50 THEN 'medium' ELSE 'low' END AS risk_segment FROM j""")
 def _(v):
     s = lv.feature_state_counters(v.live_events())
@@ -244,11 +249,77 @@ def _(v):
     return policy_rows(lv.filtered_view(lv.live_policy(score_rows(v)), equals={"intervention_intensity": "medium"}, priority="priority_score", limit=25))
 
 
-@query("event_query", """SELECT event_id, customer_id, event_type FROM e_events WHERE event_type = 'purchase' ORDER BY "timestamp" DESC, event_id LIMIT 40""")
+@query("event_query", """SELECT event_id, customer_id, event_type FROM e_events WHERE event_type = 'purchase' ORDER BY "timestamp" DESC, event_id DESC LIMIT 40""")
 def _(v):
     return lv.filtered_view(v.live_events(), equals={"event_type": "purchase"}, newest="timestamp", limit=40).select("event_id", "customer_id", "event_type")
 
 
+@query("candidate_query", f"WITH {_LS} SELECT {_LP_COLS} FROM lp WHERE cat = 'message' ORDER BY p DESC, customer_id LIMIT 40")
+def _(v):
+    return policy_rows(lv.filtered_view(lv.live_policy(score_rows(v)), equals={"recommended_category": "message"}, priority="priority_score", limit=40))
+
+
+@query("state_query", """SELECT customer_id, count(*) AS event_count_total, max("timestamp") AS last_event_time FROM e_events GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 40""")
+def _(v):
+    return lv.filtered_view(lv.feature_state_counters(v.live_events()), newest="last_event_time", limit=40).select("customer_id", "event_count_total", "last_event_time")
+
+
+@query("replay_ticks", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY "timestamp", event_id) AS position FROM e_events), n AS (SELECT count(*) AS n FROM e_events)
+SELECT 1 AS tick, event_id, position FROM r, n WHERE position <= n // 2 UNION ALL SELECT 2, event_id, position FROM r, n WHERE position > n // 2 AND position <= 2 * (n // 2)
+UNION ALL SELECT 3, event_id, position FROM r, n WHERE position > 2 * (n // 2) OR n % 2 = 0 AND position <= n // 2 UNION ALL SELECT 4, event_id, position FROM r, n WHERE n % 2 = 1 AND position <= n // 2 OR n % 2 = 0 AND position > n // 2 AND position <= n""")
+def _(v):
+    """Four ticks of half the log; the last ones begin anew."""
+    e = cut_lineage(v.live_events().select("event_id", "timestamp"))
+    size, offset, parts = e.count() // 2, 0, []
+    for tick in range(1, 5):
+        rows, offset, _ = ss.replay_tick(e, offset, size)
+        parts.append(rows.select(F.lit(tick).alias("tick"), "event_id", "position"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+_TXT = """SELECT CASE WHEN event_id % 97 = 0 THEN 'customer' WHEN event_id % 101 = 0 THEN 'timestamp' ELSE 'none' END AS reject_reason, event_type, count(*) AS events FROM e_events GROUP BY 1, 2"""
+
+
+@query("stream_text_events", _TXT)
+def _(v):
+    """Text events from a stream; what cannot be read is counted by reason."""
+    src, out = scratch_path(v.spark), scratch_path(v.spark)
+    v.live_events().selectExpr(
+        "cast(event_id AS string) AS event_id", "CASE WHEN event_id % 97 = 0 THEN 'nobody' ELSE cast(customer_id AS string) END AS customer_id",
+        "CASE WHEN event_id % 101 = 0 THEN 'soon' ELSE date_format(timestamp, \"yyyy-MM-dd'T'HH:mm:ss\") || 'Z.' END AS timestamp",
+        "' ' || upper(event_type) AS event_type", "cast(amount AS string) AS amount").write.option("header", True).csv(src)
+    ss.replay(ss.text_stream(v.spark, src, files_per_trigger=4), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), scratch_path(v.spark))
+    return v.spark.read.parquet(out).groupBy(F.coalesce("reject_reason", F.lit("none")).alias("reject_reason"), "event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("stream_serving_tables", f"""WITH {_COLD}, k AS (SELECT customer_id, 0.3 + 0.6 * (customer_id % 10) / 10.0 AS cs, 1000.0 + customer_id AS cv, 0.05 AS cu FROM (SELECT DISTINCT customer_id FROM e_events) WHERE customer_id % 3 > 0)
+SELECT customer_id, n AS event_count_total, round(cs, 6) AS churn_score, round(cv, 3) AS clv, CASE WHEN cs >= 0.85 THEN 'critical' WHEN cs >= 0.70 THEN 'high' WHEN cs >= 0.50 THEN 'medium' ELSE 'low' END AS risk_segment FROM cd JOIN k USING (customer_id)""")
+def _(v):
+    """Known customers keep their scores over all batches of the counter stream, whose counters grow."""
+    from ..streaming.serving import ServingTables
+
+    src = _write_stream(v)
+    known = v.live_events().select("customer_id").distinct().where("customer_id % 3 > 0").selectExpr("customer_id", "0.3D + 0.6D * (customer_id % 10) / 10D AS churn_score", "1000D + customer_id AS clv", "0.05D AS uplift_score")
+    tables = ServingTables(v.spark, scratch_path(v.spark), cut_lineage(known))
+    ss.replay(st.counter_stream(ss.event_stream(v.spark, src, files_per_trigger=_FILES, watermark="40 days")), tables, scratch_path(v.spark), mode="update")
+    out = tables.latest().where("customer_id % 3 > 0").select("customer_id", "event_count_total", "churn_score", "clv", "risk_segment")
+    return rounded(out, {"clv": 3})
+
+
+@query("live_status_mix", f"""WITH {_LS}, q AS (SELECT ls.customer_id, CASE WHEN lp.customer_id IS NULL THEN 'not_queued' ELSE 'queued' END AS s FROM ls LEFT JOIN (SELECT * FROM lp WHERE cs >= 0.5 AND r >= 0 AND p >= 0) lp USING (customer_id))
+SELECT 'action_queue_status' AS dimension, s AS value, count(*) AS count, count(*) / CAST((SELECT count(*) FROM q) AS DOUBLE) AS share FROM q GROUP BY s""")
+def _(v):
+    s = score_rows(v)
+    return au.value_mix(lv.live_monitor_view(s, lv.live_policy(s).where("should_queue").withColumn("action_status", F.lit("queued"))), ["action_queue_status"])
+
+
+@query("live_trigger_mix", f"""WITH {_PE}, x AS (SELECT coalesce(nullif(arg_max(why, ("timestamp", event_id)), ''), 'unknown') AS value FROM tr GROUP BY customer_id)
+SELECT 'latest_trigger_reason' AS dimension, value, count(*) AS count, count(*) / CAST((SELECT count(*) FROM x) AS DOUBLE) AS share FROM x GROUP BY value""")
+def _(v):
+    last = lv.scored_events(v.live_events()).groupBy("customer_id").agg(F.expr("nullif(max_by(trigger_reason, struct(timestamp, event_id)), '') AS latest_trigger_reason"))
+    return au.value_mix(last, ["latest_trigger_reason"])
+
+
 @query("live_monitor_view", f"""WITH {_LS}, q AS (SELECT * FROM lp WHERE cs >= 0.5 AND r >= 0 AND p >= 0)
 SELECT ls.customer_id, round(ls.cs, 6) AS realtime_churn_score, CASE WHEN q.customer_id IS NULL THEN 'not_queued' ELSE 'queued' END AS action_queue_status, act AS queued_recommended_action, inten AS queued_intervention_intensity, coalesce(cost, 0.0) AS queued_coupon_cost FROM ls LEFT JOIN q USING (customer_id)""")
 def _(v):

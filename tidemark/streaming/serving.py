@@ -12,7 +12,10 @@ from ..operators.live import KEY, live_policy, score_changed
 
 @dataclass
 class ServingTables:
-    """foreachBatch sink for the counter stream: rescores only the customers of the batch."""
+    """foreachBatch sink for the counter stream: rescores only the customers of the batch.
+
+    What earlier batches scored goes before ``existing``; a repeated batch does not see its own rows.
+    """
 
     spark: SparkSession
     root: str
@@ -20,10 +23,19 @@ class ServingTables:
     warm_model: object | None = None
     costs: DataFrame | None = None
 
+    def _known(self, batch_id: int) -> DataFrame:
+        cols = [KEY, "churn_score", "clv", "uplift_score"]
+        given = self.existing.select(*cols, F.col("risk_segment") if "risk_segment" in self.existing.columns else F.lit(None).cast("string").alias("risk_segment"))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/live")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return given
+        scored = cut_lineage(self._newest(self.spark.read.parquet(f"{self.root}/live").where(F.col("batch_id") < batch_id)).select(*cols, "risk_segment"))
+        return scored.unionByName(given.join(scored.select(KEY), KEY, "left_anti"))
+
     def __call__(self, states: DataFrame, batch_id: int) -> None:
         states = cut_lineage(states)
         warm = self.warm_model.transform(states) if self.warm_model is not None else None
-        scores = score_changed(states, states, self.existing, warm, self.costs)
+        scores = score_changed(states, states, self._known(batch_id), warm, self.costs)
         scores = scores.withColumn("scored_at", F.col("last_event_time"))
         if "expected_roi" not in scores.columns:
             scores = scores.withColumn("expected_roi", F.lit(None).cast("double"))
@@ -31,6 +43,9 @@ class ServingTables:
 
     def latest(self) -> DataFrame:
         """Newest row per customer over all batches."""
-        t = self.spark.read.parquet(f"{self.root}/live")
+        return self._newest(self.spark.read.parquet(f"{self.root}/live"))
+
+    @staticmethod
+    def _newest(t: DataFrame) -> DataFrame:
         cols = [c for c in t.columns if c != KEY]
         return t.groupBy(KEY).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("r")).select(KEY, "r.*")

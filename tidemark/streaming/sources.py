@@ -16,15 +16,42 @@ def event_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1,
     return s.withWatermark("timestamp", watermark)
 
 
-def text_event_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1, watermark: str = "1 day") -> DataFrame:
-    """Events as strings (CSV); times are repaired, unreadable ones dropped and visible in the query's row counts."""
+RAW_SCHEMA = "event_id string, customer_id string, timestamp string, event_type string, amount string"
+
+
+def parsed_events(raw: DataFrame) -> DataFrame:
+    """Events of text columns with repaired times; ``reject_reason`` names what a row that cannot be used lacks, else null."""
     from ..functions.expr import repair_timestamp
 
-    raw = "event_id string, customer_id string, timestamp string, event_type string, amount string"
-    s = spark.readStream.schema(raw).option("header", True).option("maxFilesPerTrigger", files_per_trigger).csv(path)
-    s = s.select(F.expr("try_cast(event_id AS bigint) AS event_id"), F.expr("try_cast(customer_id AS bigint) AS customer_id"), repair_timestamp("timestamp").alias("timestamp"),
-                 F.lower(F.trim("event_type")).alias("event_type"), F.expr("try_cast(amount AS double) AS amount"))
-    return s.where("timestamp IS NOT NULL AND customer_id IS NOT NULL").withWatermark("timestamp", watermark)
+    out = raw.select(F.expr("try_cast(event_id AS bigint) AS event_id"), F.expr("try_cast(customer_id AS bigint) AS customer_id"), repair_timestamp("timestamp").alias("timestamp"),
+                     F.lower(F.trim("event_type")).alias("event_type"), F.expr("try_cast(amount AS double) AS amount"))
+    return out.withColumn("reject_reason", F.expr("CASE WHEN customer_id IS NULL THEN 'customer' WHEN timestamp IS NULL THEN 'timestamp' END"))
+
+
+def text_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1) -> DataFrame:
+    """Text events (CSV) with ``reject_reason``: a sink can count what ``text_event_stream`` leaves out."""
+    return parsed_events(spark.readStream.schema(RAW_SCHEMA).option("header", True).option("maxFilesPerTrigger", files_per_trigger).csv(path))
+
+
+def text_event_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1, watermark: str = "1 day") -> DataFrame:
+    """The usable rows of ``text_stream``."""
+    return text_stream(spark, path, files_per_trigger=files_per_trigger).where("reject_reason IS NULL").drop("reject_reason").withWatermark("timestamp", watermark)
+
+
+def replay_tick(events: DataFrame, offset: int, size: int) -> tuple[DataFrame, int, bool]:
+    """The next ``size`` events after ``offset`` in time order (ties by id) with their ``position``, the new offset, and whether the replay began anew.
+
+    An offset at or past the end starts again at the first event.
+    """
+    from ..functions.ordered import row_index
+
+    events = events.where("timestamp IS NOT NULL")
+    total = events.count()
+    wrapped = total > 0 and offset >= total
+    start = 0 if wrapped else offset
+    stop = min(start + max(size, 1), total)
+    rows = row_index(events, [("timestamp", True), ("event_id", True)], "position")
+    return rows.where(F.col("position").between(start + 1, stop)), stop, wrapped
 
 
 def unique_events(stream: DataFrame, key: str = "event_id") -> DataFrame:
