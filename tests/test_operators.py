@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import cohorts as co, experiments as ex, features as fe, journey as jo, live as lv, onboarding as ob, survival as sv, uplift as up
@@ -87,6 +89,21 @@ def test_cox_recovers_direction_and_matches_gradient_zero(spark):
     assert all(b >= a for a, b in zip(fit["baseline"], fit["baseline"][1:]))
 
 
+def test_cox_without_convergence_is_an_error(spark):
+    rows = [(i, 1 + i % 7, i % 2, float(i % 5), float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "customer_id bigint, duration_days int, event_observed int, x double, z double")
+    with pytest.raises(ValueError, match="did not converge"):
+        sv.cox_fit(df, ["x", "z"], max_iter=1)
+
+
+def test_efron_sums_do_not_depend_on_the_block(monkeypatch):
+    f = np.arange(1000) / 1000
+    d = 5000.0 - f * 900.0
+    want = [np.log(d).sum(), (1 / d).sum(), (f / d).sum(), (1 / d**2).sum(), (f / d**2).sum(), (f * f / d**2).sum()]
+    monkeypatch.setattr(sv, "EFRON_BLOCK", 7)
+    assert np.allclose(sv._efron(1000, 5000.0, 900.0), want, rtol=1e-12)
+
+
 def test_qini_small_case(spark):
     rows = [(1, 0.9, 1, 1), (2, 0.8, 0, 0), (3, 0.7, 1, 1), (4, 0.6, 1, 0)]
     c = up.qini_curve(spark.createDataFrame(rows, "customer_id bigint, uplift_score double, retained_60d int, treatment_flag int")).orderBy("k").collect()

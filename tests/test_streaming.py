@@ -124,3 +124,38 @@ def test_decay_of_long_histories_is_finite_and_exact(spark):
             value = value * 0.5 ** ((s - last) / 3600 / half) + (what == kind)
             last = s
             assert abs(got[k][name] - value) < 1e-9, (k, name)
+
+
+def test_new_customers_leave_the_cold_state_at_five_events(spark, tmp_path):
+    from tidemark.streaming.serving import ServingTables
+
+    known = spark.createDataFrame([(1, 0.9, 1000.0, 0.1)], "customer_id bigint, churn_score double, clv double, uplift_score double")
+    tables = ServingTables(spark, str(tmp_path), known)
+
+    def batch(i, *counts):
+        rows = [(c, n, 0.0, "2024-01-01 00:00:00") for c, n in counts]
+        tables(spark.createDataFrame(rows, "customer_id bigint, event_count_total bigint, revenue double, t string").selectExpr("customer_id", "event_count_total", "revenue", "timestamp(t) AS last_event_time"), i)
+        return {r["customer_id"]: (r["risk_segment"], round(r["churn_score"], 6)) for r in tables.latest().collect()}
+
+    assert batch(0, (1, 1), (2, 2)) == {1: ("critical", 0.9), 2: ("new", 0.48)}
+    assert batch(1, (2, 4))[2] == ("new", 0.36)
+    assert batch(1, (2, 4))[2] == ("new", 0.36)  # a repeated batch
+    assert batch(2, (2, 6), (3, 7)) == {1: ("critical", 0.9), 2: ("low", 0.36), 3: ("low", 0.18)}
+
+
+def test_replay_begins_anew_at_the_end(spark):
+    e = spark.createDataFrame([(3, 10), (1, 20), (2, 20), (4, None)], "event_id bigint, s bigint").selectExpr("event_id", "timestamp_seconds(s) AS timestamp")
+    ids = lambda rows: [r["event_id"] for r in rows.orderBy("position").collect()]
+    seen, offset = [], 0
+    for _ in range(3):
+        rows, offset, wrapped = ss.replay_tick(e, offset, 2)
+        seen.append((ids(rows), offset, wrapped))
+    assert seen == [([3, 1], 2, False), ([2], 3, False), ([3, 1], 2, True)]
+    assert ss.replay_tick(e.limit(0), 0, 5)[0].isEmpty()
+
+
+def test_unreadable_text_events_have_a_reason(spark):
+    raw = spark.createDataFrame([("1", "7", "2024-01-02T03:04:05Z.", " VISIT ", "1.5"), ("2", "x", "2024-01-02", "visit", None), ("3", "7", "soon", "visit", "?"), (None,) * 5],
+                                "event_id string, customer_id string, timestamp string, event_type string, amount string")
+    got = [(r["event_id"], r["event_type"], r["amount"], r["reject_reason"]) for r in ss.parsed_events(raw).collect()]
+    assert got == [(1, "visit", 1.5, None), (2, "visit", None, "customer"), (3, "visit", None, "timestamp"), (None, None, None, "customer")]
