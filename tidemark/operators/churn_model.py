@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordered import cut_lineage, pct_ranks, running_totals
+from ..functions.ordered import cut_lineage, pct_ranks, running_totals, shared
 
 KEY = "customer_id"
 # Names and name parts that reveal the target, risk-derived fields, identifiers.
@@ -57,8 +57,10 @@ def leakage_filter(df: DataFrame, label_source: str | None = None) -> tuple[Data
     rest = df.drop(*drop)
     text = [c for c, t in rest.dtypes if t == "string" and c not in fixed]
     if text:
-        row = rest.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(c, 0.01).alias(c) for c in text]).first()
-        wide = [c for c in text if row[c] > 50 and ("sequence" in c.lower() or row[c] / max(row["_n"], 1) >= 0.5)]
+        pairs = ", ".join(f"struct('{c}' AS feature, `{c}` AS v)" for c in text)
+        levels = rest.selectExpr(f"inline(array({pairs}))").where("v IS NOT NULL").distinct().groupBy("feature").count()
+        n, row = rest.count(), dict.fromkeys(text, 0) | {r["feature"]: r["count"] for r in levels.collect()}  # one row a column
+        wide = [c for c in text if row[c] > 50 and ("sequence" in c.lower() or row[c] / max(n, 1) >= 0.5)]
         rest, drop = rest.drop(*wide), drop + wide
     return rest, drop
 
@@ -131,6 +133,49 @@ def business_threshold(curve: DataFrame, *, tp_value: float = 120000.0, fp_cost:
     return best.select("b.*")
 
 
+_NUMERIC = ("double", "float", "bigint", "int", "smallint", "tinyint", "boolean", "decimal")
+
+
+def churn_columns(df: DataFrame, *, label_source: str | None = None, label: str = "label", cutoff: float = 0.995) -> tuple[DataFrame, dict[str, str]]:
+    """The frame that may be trained on, and what became of each column.
+
+    In turn: leaking and identifying columns go, dates become their parts, columns with one
+    value go, columns that give the target away go.  Columns are ``numeric`` or
+    ``category`` if they stay, else ``leakage``, ``constant`` or ``proxy``.
+    """
+    rest, leaking = leakage_filter(df, label_source)
+    rest = shared(datetime_parts(rest))
+    fate = dict.fromkeys(leaking, "leakage")
+    same = [r["feature"] for r in constant_columns(rest.drop(label)).where("is_constant").collect()]  # one row a column
+    rest = rest.drop(*same)
+    fate |= dict.fromkeys(same, "constant")
+    kinds = {c: "numeric" if t.startswith(_NUMERIC) else "category" for c, t in rest.dtypes if c not in (KEY, label)}
+    rest = rest.select(KEY, label, *[F.col(c).cast("double").alias(c) if k == "numeric" else F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c, k in kinds.items()])
+    side = lambda kind: [c for c, k in kinds.items() if k == kind]
+    strength = target_proxy_filter(rest, numeric=side("numeric"), categorical=side("category"), cutoff=cutoff, label=label)
+    given_away = [r["feature"] for r in strength.where("is_proxy").collect()]  # one row a column
+    return rest.drop(*given_away), fate | kinds | dict.fromkeys(given_away, "proxy")
+
+
+def train_churn_table(df: DataFrame, *, label_source: str | None = None, label: str = "label", folds: int = 3):
+    """From a labelled table of any columns to a model: ``churn_columns``, categories by frequency, then ``train_churn``.
+
+    Returns the model, the scored test side, the cross-validated AUC and the fate of each column.
+    """
+    from pyspark.ml.feature import StringIndexer
+
+    rest, fate = churn_columns(df, label_source=label_source, label=label)
+    features = [c for c, k in fate.items() if k == "numeric"]
+    categories = [c for c, k in fate.items() if k == "category"]
+    if categories:
+        coded = [f"{c}__code" for c in categories]
+        rest = StringIndexer(inputCols=categories, outputCols=coded, handleInvalid="keep").fit(rest).transform(rest)
+        features += coded
+    if not features:
+        raise ValueError("no column is left to train on")
+    return *train_churn(rest, features, label=label, folds=folds), fate
+
+
 def train_churn(df: DataFrame, features, *, label: str = "label", folds: int = 3):
     """Boosted trees and a forest, four settings each, chosen by AUC with customer folds and class weights."""
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier

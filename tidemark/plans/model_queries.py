@@ -309,6 +309,25 @@ def _(v):
     return test.select("customer_id", "label", "prediction", F.lit(score).alias("cv_auc"))
 
 
+def _training_table(v):
+    """The labelled summary with a column of one value, one that gives the label away, and one of identifiers."""
+    cols = ("customer_id", "label", "persona", "signup_date", "frequency", "monetary", "clv", "churn_probability", "recency_days", "coupon_affinity")
+    return labelled(v).selectExpr(*cols, "1 AS fixed_fee", "3D * label + 1 AS twin", "concat('k', label) AS plan_code", "concat('u', customer_id) AS free_text", "customer_id AS account_id")
+
+
+@query("churn_columns", """SELECT * FROM (VALUES ('persona', 'category'), ('signup_date_year', 'numeric'), ('signup_date_month', 'numeric'), ('signup_date_dayofweek', 'numeric'), ('frequency', 'numeric'), ('monetary', 'numeric'), ('clv', 'numeric'),
+('churn_probability', 'leakage'), ('recency_days', 'numeric'), ('coupon_affinity', 'numeric'), ('fixed_fee', 'constant'), ('twin', 'proxy'), ('plan_code', 'proxy'), ('free_text', 'leakage'), ('account_id', 'leakage')) t(feature, fate)""")
+def _(v):
+    _, fate = cm.churn_columns(_training_table(v))
+    return v.spark.createDataFrame(sorted(fate.items()), "feature string, fate string")
+
+
+@query("train_churn_table")
+def _(v):
+    model, test, score, _ = cm.train_churn_table(_training_table(v))
+    return test.select("customer_id", "label", "prediction", F.lit(score).alias("cv_auc"))
+
+
 @query("feature_importance")
 def _(v):
     from pyspark.ml.classification import RandomForestClassifier
