@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -85,6 +87,17 @@ def links(fps: DataFrame, scratch: Scratch, crowded: int = CROWDED) -> DataFrame
     return pairs.union(stars)
 
 
+def named(rows: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """``rows`` (``doc_id, fp``) with ``component_id``, the least id of those that ``edges`` (or what they are of the distinct ``fp``) connect, and ``root``."""
+    nodes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    roots = components(edges if isinstance(edges, DataFrame) else edges(nodes.select("fp")), scratch)
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = scratch.keep(rooted, "rooted")
+    least = scratch.keep(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    names = scratch.keep(rooted.join(least, "root").select("fp", "component_id", "root"), "named")
+    return rows.join(names, "fp").select("doc_id", "fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, crowded: int = CROWDED) -> DataFrame:
     """``doc_id, fingerprint, component_id, fp, root`` for every row of ``docs`` (``doc_id, text``).
 
@@ -96,14 +109,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, crowded: in
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = scratch.keep(docs.select(F.col("doc_id").cast("long"), fingerprint(F.col("text").cast("binary")).alias("fp")), "fingerprints")
-    nodes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(nodes.select("fp"), scratch, crowded), scratch)
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch.keep(rooted, "rooted")
-    least = scratch.keep(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
-    named = scratch.keep(rooted.join(least, "root").select("fp", "component_id", "root"), "named")
+    found = named(rows, lambda nodes: links(nodes, scratch, crowded), scratch)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id", "fp", "root")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id", "fp", "root")
 
 
 def one_per_group(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -114,6 +122,11 @@ def one_per_group(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(docs.sparkSession)
     names = scratch.keep(near_duplicates(docs, scratch).select("doc_id", "fp", "component_id", "root"), "classes")
+    return keep_named(docs, names, fingerprint(F.col("text").cast("binary")), scratch)
+
+
+def keep_named(docs: DataFrame, names: DataFrame, fp: Column, scratch: Scratch) -> DataFrame:
+    """One row of ``docs`` for each group of ``names`` (``doc_id, fp, component_id, root``); ``fp`` of a row is told by its text."""
     times = names.groupBy("doc_id").agg(F.count("*").alias("n"))
     chosen = names.where("doc_id <=> component_id").groupBy("root", "doc_id").agg(F.min("fp").alias("_fp"))
     chosen = scratch.keep(chosen.alias("c").join(times.alias("t"), F.expr("c.doc_id <=> t.doc_id")).selectExpr("c.doc_id AS _id", "_fp", "n = 1 AND c.doc_id IS NOT NULL AS plain"), "chosen")
@@ -121,6 +134,6 @@ def one_per_group(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     odd = chosen.where("NOT plain").select("_id", "_fp")
     if odd.isEmpty():
         return kept
-    rows = docs.join(odd.select("_id").distinct(), F.expr("doc_id <=> _id"), "left_semi").withColumn("_fp", fingerprint(F.col("text").cast("binary")))
+    rows = docs.join(odd.select("_id").distinct(), F.expr("doc_id <=> _id"), "left_semi").withColumn("_fp", fp)
     rows = rows.join(odd.withColumnRenamed("_fp", "_want"), F.expr("doc_id <=> _id AND _fp = _want"), "left_semi").dropDuplicates(["doc_id", "_fp"])
     return kept.unionByName(rows.select(*docs.columns))
