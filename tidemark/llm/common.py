@@ -71,6 +71,22 @@ def once(df: DataFrame, *fields: Column) -> DataFrame:
     return df.select("*", F.inline_outer(F.array(F.struct(*fields))))
 
 
+def rows_of(df: DataFrame, *more: str) -> DataFrame:
+    """``df`` as one struct column ``_row``, with the columns ``more`` beside it: names of ``df`` cannot clash with those of later steps."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *more)
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """The columns that ``rows_of`` put away."""
+    return [F.col(f"_row.`{c}`") for c in columns]
+
+
+def sampled(df: DataFrame, key: str, n: int, bound: int) -> DataFrame:
+    """About ``bound`` of the ``n`` rows of ``df``, chosen by a hash of ``key``; all of them if there are no more."""
+    whole = 1 << 30
+    return df if n <= bound else df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(whole)) < whole * bound // n)
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` in order; none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

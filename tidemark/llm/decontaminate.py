@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, let, once
+from .common import Scratch, let, once, rows_of, unpacked
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Rows up to which the item sketches (24 bytes a row) or the candidate ids (8 bytes) are broadcast; beyond, both sides are shuffled.
+#: Rows up to which the item sketches (24 bytes a row) or the candidate pairs (16 bytes) are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -43,7 +43,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
     values as the upper end of its size class may miss at the threshold, plus one: a
     document that holds enough of the item must hold one of them, so the search loses
     nothing.  Documents with fewer shingles than an item needs are passed over.  Candidates
-    are verified on the shingles themselves.
+    are verified on the shingles themselves, which are made after the candidate pairs have
+    met the raw texts: nothing but raw texts is ever shipped, and those only if the pairs
+    are too many to broadcast.
 
     Null or empty texts and items hold nothing and match nothing.  Null ids are compared like
     values.  ``text_hash`` tells rows that share a doc_id apart; identical rows give one.
@@ -60,12 +62,11 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
     probes = hashed.select("doc_id", F.size("_s").alias("_size"), F.explode_outer("_s").alias("_h"))
     found = probes.join(_bounded(sketch), "_h").where("_size >= _least").select("doc_id", "item_id").distinct()
     found = scratch.keep(found, "candidates")
-    ids = scratch.keep(found.select(F.col("doc_id").alias("_id")).distinct(), "ids")
-    texts = docs.select("doc_id", "text").join(_bounded(ids), F.expr("doc_id <=> _id"), "left_semi")
+    pairs = found.withColumnRenamed("doc_id", "_id")
+    texts = docs.select("doc_id", "text").join(_bounded(pairs), F.expr("doc_id <=> _id"))
     texts = once(texts, F.xxhash64("text").alias("text_hash"), F.array_distinct(let(_words(text), lambda w: _shingles(w, _joined))).alias("_doc")).drop("text")
     whole = sized.select("item_id", "_item", "_n")
-    pairs = found.withColumnRenamed("doc_id", "_id").join(F.broadcast(whole) if items_fit(sized) else whole, "item_id")
-    both = texts.join(pairs, F.expr("doc_id <=> _id"))
+    both = texts.join(F.broadcast(whole) if items_fit(sized) else whole, "item_id")
     shared = F.size(F.array_intersect("_item", "_doc"))
     out = once(both.select("doc_id", "text_hash", "item_id", "_n", "_item", "_doc"), shared.cast("long").alias("shared"))
     out = out.select("doc_id", "text_hash", "item_id", "shared", F.col("_n").cast("long").alias("item_shingles"), (F.col("shared") / F.col("_n")).alias("containment"))
@@ -78,7 +79,8 @@ def items_fit(sized: DataFrame) -> bool:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` without the rows that contain an item."""
+    """``docs`` without the rows that contain an item; all columns stay, whatever their names."""
     scratch = scratch or Scratch(docs.sparkSession)
     bad = scratch.keep(contained_items(docs, items, scratch=scratch).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    return docs.join(_bounded(bad), F.expr("doc_id <=> _id AND xxhash64(text) = _hash"), "left_anti")
+    clean = rows_of(docs).join(_bounded(bad), F.expr("_row.doc_id <=> _id AND xxhash64(_row.text) = _hash"), "left_anti")
+    return clean.select(*unpacked(docs.columns))

@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import Scratch
+from .common import Scratch, rows_of, unpacked
 from .components import components
 
 DISTANCE = 2
@@ -122,18 +122,19 @@ def one_per_group(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(docs.sparkSession)
     names = scratch.keep(near_duplicates(docs, scratch).select("doc_id", "fp", "component_id", "root"), "classes")
-    return keep_named(docs, names, fingerprint(F.col("text").cast("binary")), scratch)
+    return _keep_named(docs, names, scratch)
 
 
-def keep_named(docs: DataFrame, names: DataFrame, fp: Column, scratch: Scratch) -> DataFrame:
-    """One row of ``docs`` for each group of ``names`` (``doc_id, fp, component_id, root``); ``fp`` of a row is told by its text."""
+def _keep_named(docs: DataFrame, names: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row of ``docs`` for each group of ``names`` (``doc_id, fp, component_id, root``)."""
     times = names.groupBy("doc_id").agg(F.count("*").alias("n"))
     chosen = names.where("doc_id <=> component_id").groupBy("root", "doc_id").agg(F.min("fp").alias("_fp"))
     chosen = scratch.keep(chosen.alias("c").join(times.alias("t"), F.expr("c.doc_id <=> t.doc_id")).selectExpr("c.doc_id AS _id", "_fp", "n = 1 AND c.doc_id IS NOT NULL AS plain"), "chosen")
-    kept = docs.join(chosen.where("plain").select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
+    rows = rows_of(docs)
+    kept = rows.join(chosen.where("plain").select("_id"), F.expr("_row.doc_id = _id"), "left_semi").select(*unpacked(docs.columns))
     odd = chosen.where("NOT plain").select("_id", "_fp")
     if odd.isEmpty():
         return kept
-    rows = docs.join(odd.select("_id").distinct(), F.expr("doc_id <=> _id"), "left_semi").withColumn("_fp", fp)
-    rows = rows.join(odd.withColumnRenamed("_fp", "_want"), F.expr("doc_id <=> _id AND _fp = _want"), "left_semi").dropDuplicates(["doc_id", "_fp"])
-    return kept.unionByName(rows.select(*docs.columns))
+    rows = rows.join(odd.select("_id").distinct(), F.expr("_row.doc_id <=> _id"), "left_semi").withColumn("_fp", fingerprint(F.col("_row.text").cast("binary")))
+    rows = rows.withColumn("_doc", F.col("_row.doc_id")).join(odd.withColumnRenamed("_fp", "_want"), F.expr("_doc <=> _id AND _fp = _want"), "left_semi").dropDuplicates(["_doc", "_fp"])
+    return kept.unionByName(rows.select(*unpacked(docs.columns)))
