@@ -6,7 +6,7 @@ feeds the same functions micro-batch by micro-batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.expr import add, bound, chain, first_rows
 from ..functions.ordered import cut_lineage, previous_row, running_totals
@@ -96,6 +96,34 @@ def scored_events(events: DataFrame, base: DataFrame | None = None, event_id: st
     return reoptimize_triggers(sc).drop("_day", "prev_realtime_churn_score", *(["_base"] if base is not None else []))
 
 
+#: Days of silence from which ``extended_inactivity`` can hold (its signal reaches 0.75 after 10.3 days), and until which a silent customer is watched: every signal is worn off by then.
+IDLE_DAYS, KEPT_DAYS = 11, 130
+
+
+def silent_customers(events: DataFrame, until: str, base: DataFrame | None = None, event_id: str = "event_id") -> DataFrame:
+    """Silences that call for attention: for each event followed by no other in time, the first whole day on which ``extended_inactivity`` holds.
+
+    Silences end with the next event; what is open ends at ``until`` (SQL text of a
+    timestamp).  Signals and inactivity are those of that day, ``prev_score`` is the score
+    after the event.  The batch form of the stream's timers.
+    """
+    ev = scored_events(events, base, event_id).withColumn("_day", F.to_date("timestamp"))
+    state = ["timestamp", "realtime_churn_score", "base_churn_probability", *SIGNAL_NAMES]
+    before = previous_row(ev, [KEY], [("timestamp", True), (event_id, True)], state, "_day")
+    gaps = before.where("prev_timestamp IS NOT NULL").select(KEY, *[F.col(f"prev_{x}").alias(x) for x in state], F.col("timestamp").alias("_next"))
+    last = ev.groupBy(KEY).agg(F.max_by(F.struct(*state), F.struct("timestamp", event_id)).alias("s")).select(KEY, "s.*", F.lit(None).cast(dict(ev.dtypes)["timestamp"]).alias("_next"))
+    risk = " ".join(f"{'+' if w > 0 else '-'} {abs(w)} * {s} * pow(0.5D, k * 24 / {h}D)" for s, _, h, w in SIGNALS)
+    day = "make_dt_interval(k)"
+    ends = f"(_next IS NOT NULL AND timestamp + {day} < _next OR _next IS NULL AND timestamp + {day} <= {until})"
+    holds = f"purchase_signal * pow(0.5D, k * 24 / 72D) <= 0.10 AND least(greatest(base_churn_probability + 0.22 / (1 + exp(-(k - 7) / 3D)) {risk}, 0.001), 0.999) >= 0.65"
+    long = gaps.unionByName(last).where(f"_next IS NULL OR _next > timestamp + make_dt_interval({IDLE_DAYS})")
+    first = add(long, days_since_last_event=f"array_min(transform(sequence({IDLE_DAYS}, {KEPT_DAYS - 1}), k -> CASE WHEN {holds} THEN k END))")
+    hit = first.where("days_since_last_event IS NOT NULL").where(ends.replace("k)", "days_since_last_event)"))
+    worn = hit.selectExpr(KEY, f"timestamp + {day.replace('(k)', '(days_since_last_event)')} AS timestamp", "'inactivity' AS event_type", "cast(days_since_last_event AS double) AS days_since_last_event", "realtime_churn_score AS prev_score",
+                          "base_churn_probability", *[f"{s} * pow(0.5D, days_since_last_event * 24 / {h}D) AS {s}" for s, _, h, _ in SIGNALS])
+    return reoptimize_triggers(live_score(worn, "base_churn_probability"))
+
+
 def trigger_actions(triggers: DataFrame, candidates: DataFrame, *, used: DataFrame | None = None) -> DataFrame:
     """Actions each triggered customer may still get, with their priority. A group is one customer's few intensities."""
     t = triggers.groupBy(KEY).agg(F.expr("max_by(struct(realtime_churn_score, timestamp, event_id, trigger_reason), struct(timestamp, event_id)) AS t")).select(KEY, "t.*")
@@ -148,6 +176,81 @@ def queue_under_ledger(actions: DataFrame, *, remaining_budget: int, remaining_c
     return got.unionByName(late.select(*cols, "action_queue_status"))
 
 
+#: Actions left behind a budget's stop that are walked one by one instead of in further rounds.
+WALK_ROWS = 20_000
+
+
+def _first_affordable(rows, left: int, slots: dict, capacity: int) -> list[int]:
+    """The plain walk over few actions: ids of those that are queued."""
+    out, served = [], set()
+    for r in sorted(rows, key=lambda r: (r["_time"], r["event_id"], r[KEY], tuple(r["_rank"]))):
+        if r[KEY] in served or r["_cents"] > left or left <= 0 or slots.get(r["_day"], 0) >= capacity:
+            continue
+        served.add(r[KEY])
+        left -= r["_cents"]
+        slots[r["_day"]] = slots.get(r["_day"], 0) + 1
+        out.append(r["_rid"])
+    return out
+
+
+def queue_by_day(actions: DataFrame, *, remaining_cents: int, daily_capacity: int, filled: DataFrame | None = None) -> DataFrame:
+    """Walks the triggers of many days in event order under one budget in cents and a capacity a day: each takes its first affordable action.
+
+    ``filled`` (``day, n``) are slots taken before.  One round settles all days at once: of
+    every customer's best affordable action, the first of each day fill its free slots, and
+    running sums of their costs show how far the budget goes.  If it stops, everything
+    before the stop is settled, actions dearer than the rest of the budget are gone for
+    good, and the next round begins there; few actions left are walked plainly.
+
+    What is not served is deferred by the limit met at its own place in the walk: the budget
+    if nothing of it was left, the channel if its day was full, else the budget again, as
+    no action was affordable.
+    """
+    spark = actions.sparkSession
+    a = actions.selectExpr("*", "unix_micros(cast(timestamp AS timestamp)) AS _time", "cast(round(coupon_cost * 100) AS bigint) AS _cents", f"{_BEST} AS _rank", "monotonically_increasing_id() AS _rid")
+    a = cut_lineage(a.withColumn("_day", F.to_date("timestamp")))
+    cols = [KEY, "event_id", "timestamp", "trigger_reason", "intervention_intensity", "coupon_cost", "expected_incremental_profit", "action_priority"]
+    here, kinds = F.struct("_time", "event_id", KEY), dict(a.dtypes)
+    place = lambda row: F.struct(*[F.lit(row[x]).cast(kinds[x]).alias(x) for x in ("_time", "event_id", KEY)])
+    taken = (filled.select(F.col("day").alias("_day"), F.col("n").cast("long").alias("_n")) if filled is not None else spark.createDataFrame([], "_day date, _n bigint"))
+    taken, open_, left, picked = cut_lineage(taken), a, remaining_cents, []
+    while left > 0 and daily_capacity > 0:
+        best = open_.where(F.col("_cents") <= left).groupBy(KEY).agg(F.expr("min_by(struct(_day, _time, event_id, _cents, _rid), _rank) AS b")).select(KEY, "b.*")
+        in_day = W.partitionBy("_day").orderBy("_time", "event_id", KEY)
+        fits = best.withColumn("_i", F.row_number().over(in_day)).where(F.col("_i") <= daily_capacity).join(F.broadcast(taken), "_day", "left").where(f"_i <= {daily_capacity} - coalesce(_n, 0)")  # one row a day
+        sums = cut_lineage(running_totals(fits.drop("_i", "_n"), [("_time", True), ("event_id", True), (KEY, True)], {"_sum": F.col("_cents")}))
+        stop = sums.agg(F.min(F.when(F.col("_sum") > left, here))).first()[0]
+        got = sums if stop is None else sums.where(here < place(stop))
+        got = cut_lineage(got.select("_rid", "_day", "_cents"))
+        picked.append(got.select("_rid"))
+        left -= got.agg(F.sum("_cents")).first()[0] or 0
+        if stop is None:
+            break
+        taken = cut_lineage(taken.unionByName(got.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))).groupBy("_day").agg(F.sum("_n").alias("_n")))
+        open_ = cut_lineage(open_.where((here >= place(stop)) & (F.col("_cents") <= left)))
+        if open_.count() <= WALK_ROWS:
+            slots = {r["_day"]: r["_n"] for r in taken.join(open_.select("_day").distinct(), "_day", "left_semi").collect()}
+            rest = _first_affordable(open_.select(KEY, "event_id", "_time", "_day", "_cents", "_rank", "_rid").collect(), left, slots, daily_capacity)
+            picked.append(spark.createDataFrame([(x,) for x in rest], "_rid bigint"))
+            break
+    ids = picked[0] if picked else spark.createDataFrame([], "_rid bigint")
+    for p in picked[1:]:
+        ids = ids.unionByName(p)
+    got = cut_lineage(a.join(ids, "_rid", "left_semi").select(*cols, "_day", "_time", "_cents"))
+    ends = got.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"), F.max(here).alias("_last"))
+    before = cut_lineage(filled.select(F.col("day").alias("_day"), F.col("n").alias("_before"))) if filled is not None else spark.createDataFrame([], "_day date, _before bigint")
+    days = ends.join(before, "_day", "full").selectExpr("_day", f"coalesce(_n, 0) + coalesce(_before, 0) >= {daily_capacity} AS _full", "_last")
+    spent, end = got.agg(F.coalesce(F.sum("_cents"), F.lit(0)), F.max(here)).first()
+    late = a.join(got.select(KEY), KEY, "left_anti").groupBy(KEY).agg(F.expr(f"min_by(struct({', '.join(cols[1:])}, _day, _time), _rank) AS b")).select(KEY, "b.*")
+    if spent < remaining_cents:
+        broke = F.lit(False)
+    else:
+        broke = here > place(end) if end is not None else F.lit(True)
+    full = F.coalesce(F.col("_full") & (F.col("_last").isNull() | (here > F.col("_last"))), F.lit(daily_capacity <= 0))
+    late = late.join(F.broadcast(days), "_day", "left").withColumn("action_queue_status", F.when(broke, "deferred_budget_guardrail").when(full, "deferred_channel_guardrail").otherwise("deferred_budget_guardrail"))
+    return got.select(*cols).withColumn("action_queue_status", F.lit("queued")).unionByName(late.select(*cols, "action_queue_status"))
+
+
 def risk_ranking(states: DataFrame, top: int | None = None) -> DataFrame:
     return first_rows(states.orderBy(F.desc("realtime_churn_score"), KEY), top)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import cut_lineage, scratch_path
 from ..operators import audits as au, decisions as de, live as lv
-from ..streaming import ledger as sl, sources as ss, state as st
+from ..streaming import sources as ss, state as st
 from .decision_sql import greedy_sql
 from .registry import query, rounded
 
@@ -143,17 +143,6 @@ def _(v):
     return q.select("customer_id", "intervention_intensity", "coupon_cost", "action_queue_status")
 
 
-@query("stream_action_queue")
-def _(v):
-    """Stream to queue: scored events, triggers, candidates, shared ledger."""
-    src = _write_stream(v)
-    base = cut_lineage(live_summary(v))
-    led = sl.QueueLedger(v.spark, scratch_path(v.spark), cut_lineage(de.action_candidates(base)), budget=400_000, daily_capacity=50)
-    scored = st.scored_stream(ss.event_stream(v.spark, src, files_per_trigger=_FILES, watermark="40 days"), base.select("customer_id", "churn_probability"))
-    ss.replay(scored, led, scratch_path(v.spark))
-    return led.queue().select("customer_id", "event_id", "intervention_intensity", "coupon_cost", "action_queue_status", "batch_id")
-
-
 @query("risk_ranking", f"WITH {_ST} SELECT customer_id, round(score, 6) AS realtime_churn_score FROM sc ORDER BY score DESC, customer_id LIMIT 50")
 def _(v):
     return rounded(lv.risk_ranking(states(v), 50).select("customer_id", "realtime_churn_score"))
@@ -292,20 +281,6 @@ def _(v):
     return v.spark.read.parquet(out).groupBy(F.coalesce("reject_reason", F.lit("none")).alias("reject_reason"), "event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("stream_serving_tables", f"""WITH {_COLD}, k AS (SELECT customer_id, 0.3 + 0.6 * (customer_id % 10) / 10.0 AS cs, 1000.0 + customer_id AS cv, 0.05 AS cu FROM (SELECT DISTINCT customer_id FROM e_events) WHERE customer_id % 3 > 0)
-SELECT customer_id, n AS event_count_total, round(cs, 6) AS churn_score, round(cv, 3) AS clv, CASE WHEN cs >= 0.85 THEN 'critical' WHEN cs >= 0.70 THEN 'high' WHEN cs >= 0.50 THEN 'medium' ELSE 'low' END AS risk_segment FROM cd JOIN k USING (customer_id)""")
-def _(v):
-    """Known customers keep their scores over all batches of the counter stream, whose counters grow."""
-    from ..streaming.serving import ServingTables
-
-    src = _write_stream(v)
-    known = v.live_events().select("customer_id").distinct().where("customer_id % 3 > 0").selectExpr("customer_id", "0.3D + 0.6D * (customer_id % 10) / 10D AS churn_score", "1000D + customer_id AS clv", "0.05D AS uplift_score")
-    tables = ServingTables(v.spark, scratch_path(v.spark), cut_lineage(known))
-    ss.replay(st.counter_stream(ss.event_stream(v.spark, src, files_per_trigger=_FILES, watermark="40 days")), tables, scratch_path(v.spark), mode="update")
-    out = tables.latest().where("customer_id % 3 > 0").select("customer_id", "event_count_total", "churn_score", "clv", "risk_segment")
-    return rounded(out, {"clv": 3})
-
-
 @query("live_status_mix", f"""WITH {_LS}, q AS (SELECT ls.customer_id, CASE WHEN lp.customer_id IS NULL THEN 'not_queued' ELSE 'queued' END AS s FROM ls LEFT JOIN (SELECT * FROM lp WHERE cs >= 0.5 AND r >= 0 AND p >= 0) lp USING (customer_id))
 SELECT 'action_queue_status' AS dimension, s AS value, count(*) AS count, count(*) / CAST((SELECT count(*) FROM q) AS DOUBLE) AS share FROM q GROUP BY s""")
 def _(v):

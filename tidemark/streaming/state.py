@@ -80,3 +80,10 @@ def drift_stream(scored: DataFrame, window: str = "1 day") -> DataFrame:
     return scored.groupBy(F.window("timestamp", window)).agg(
         F.count(F.lit(1)).alias("events"), F.avg("realtime_churn_score").alias("avg_score"), F.stddev_samp("realtime_churn_score").alias("std_score"),
         F.expr("count_if(realtime_churn_score >= 0.7) AS high_risk_events"))
+
+
+def sliding_stream(events: DataFrame, days: int) -> DataFrame:
+    """Counters over the last ``days`` days per customer, as of every midnight; written when the watermark passes it."""
+    w = events.groupBy(KEY, F.window("timestamp", f"{days} days", "1 day").alias("w"))
+    return w.agg(F.count(F.lit(1)).alias("events"), F.expr("count_if(event_type = 'visit') AS visits"), F.expr("count_if(event_type = 'purchase') AS purchases"),
+                 F.expr("coalesce(sum(amount) FILTER (WHERE event_type = 'purchase'), 0D) AS revenue")).select(KEY, F.col("w.end").alias("as_of"), "events", "visits", "purchases", "revenue")
