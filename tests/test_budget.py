@@ -78,3 +78,22 @@ def test_rounds_and_the_closing_walk_pick_the_same(spark, monkeypatch):
     short = pick()
     monkeypatch.setattr(bu, "WALK_ROWS", -1)
     assert pick() == short and {b for b, *_ in short} == set(budgets)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("walk_rows", [0, 20_000])
+def test_curve_equals_the_walk_for_every_budget(spark, monkeypatch, seed, walk_rows):
+    monkeypatch.setattr(bu, "WALK_ROWS", walk_rows)
+    rng = random.Random(seed)
+    rows = [(c, i, round(rng.uniform(1, 40) * k, 2), float(rng.randint(0, 30))) for c in range(90) for i, k in (("low", 0.65), ("mid", 1.0), ("high", 1.45))]
+    df = spark.createDataFrame(rows, "customer_id bigint, intervention_intensity string, coupon_cost double, score double").selectExpr("*", "coupon_cost * 3 AS expected_revenue", "coupon_cost + 1 AS expected_incremental_profit")
+    budgets = {str(b): b for b in (0, 20, 100, 333, 900, 2000, 100_000)}
+    for cap, share in ((None, 0.35), (30, 0.2), (None, None), (25, None)):
+        got = {r["budget_id"]: r for r in bu.budget_curve(df, ORDER, budgets, max_customers=cap, high_share=share).collect()}
+        base = cap or len(rows)
+        for b, v in budgets.items():
+            want = walk(rows, v, cap, max(1, int(base * share)) if share else None)
+            spent = sum(x for _, _, x in want)
+            assert got[b]["num_targeted"] == len(want) and abs(got[b]["spent"] - spent) < 1e-6 and abs(got[b]["expected_revenue"] - 3 * spent) < 1e-6 and abs(got[b]["expected_incremental_profit"] - spent - len(want)) < 1e-6, (b, cap, share)
+    empty = bu.budget_curve(df.limit(0), ORDER, budgets).collect()
+    assert len(empty) == len(budgets) and all(r["num_targeted"] == 0 and r["spent"] == 0 for r in empty)

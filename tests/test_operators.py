@@ -173,3 +173,34 @@ def test_ids_with_a_common_prefix_are_coded_in_order(spark):
     df = spark.createDataFrame([(f"CUSTOMER-{i:05d}",) for i in range(500)], "name string")
     got = {r["customer_id_original"]: r["customer_id"] for r in ob.encode_customer_id(df, "name").collect()}
     assert [got[f"CUSTOMER-{i:05d}"] for i in range(500)] == list(range(1, 501))
+
+
+def test_topk_of_a_large_catalog_equals_the_whole_one(spark, monkeypatch):
+    from tidemark.operators import recommend as rc
+
+    rng = random.Random(6)
+    cats = [f"c{i:02d}" for i in range(40)]
+    o = frame(spark, [(rng.randrange(25), rng.choice(cats[:30]), f"2024-01-{rng.randint(1, 28):02d} 00:00:00", round(rng.uniform(1, 90), 2), 1.0) for _ in range(300)] + [(0, c, "2024-01-05 00:00:00", 9.0, 1.0) for c in cats],
+              "customer_id bigint, item_category string, order_time string, net_amount double, quantity double", "order_time")
+    e = frame(spark, [(rng.randrange(25), rng.choice(cats), f"2024-01-{rng.randint(1, 28):02d} 00:00:00", "search") for _ in range(200)], "customer_id bigint, item_category string, timestamp string, event_type string", "timestamp")
+    s = spark.createDataFrame([(c, rng.choice(["a", "b", None]), rng.choice(["x", "y"]), rng.random()) for c in range(30)], "customer_id bigint, persona string, uplift_segment string, coupon_affinity double")
+    rows = lambda: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rc.recommend_topk(s, o, e, s, 4).collect())
+    whole = rows()
+    monkeypatch.setattr(rc, "CATALOG_ROWS", 0)
+    assert rows() == whole and len(whole) == 120
+
+
+def test_long_column_names_that_meet_get_a_number():
+    long = "x" * 70
+    names = ob.slugs([long + "a", long + "b", "A b", "a-b", "c"])
+    assert len(set(names.values())) == 5 and names["A b"] == "a_b" and names["a-b"] == "a_b_2" and all(len(n) <= 64 for n in names.values())
+
+
+def test_concordance_equals_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(i, round(rng.choice([rng.random(), 0.5]), 2), rng.randint(1, 12), rng.randint(0, 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "customer_id bigint, predicted_hazard_ratio double, duration_days int, event_observed int")
+    got = sv.concordance_index(df).first()
+    pairs = [(a[1] > b[1]) + 0.5 * (a[1] == b[1]) for a in rows if a[3] for b in rows if b[2] > a[2] or b[2] == a[2] and not b[3]]
+    assert got["comparable_pairs"] == len(pairs) and abs(got["concordance_index"] - sum(pairs) / len(pairs)) < 1e-12
+    assert sv.concordance_index(df.where("event_observed = 0")).first()["comparable_pairs"] == 0

@@ -59,10 +59,6 @@ def clip(col, low=None, high=None) -> Column:
     return F.when(v.isNotNull(), out)
 
 
-def sigmoid(col) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-c(col)))
-
-
 def logit(col) -> Column:
     v = c(col)
     return F.log(v / (F.lit(1.0) - v))
@@ -84,10 +80,6 @@ def change_rate(recent, prev) -> Column:
     return ratio_null(c(recent) - c(prev), prev)
 
 
-def ratio_floor(n, d, floor: float) -> Column:
-    return c(n).cast("double") / F.greatest(c(d).cast("double"), F.lit(float(floor)))
-
-
 def first_of(df: DataFrame, aliases, default=None, positive: bool = False) -> Column:
     """First usable numeric value across the alias columns that exist."""
     cols = []
@@ -113,10 +105,6 @@ def pick_alias(columns, aliases) -> str | None:
     return None
 
 
-def num_or(df: DataFrame, name: str, default: float = 0.0) -> Column:
-    return num(name, default) if name in df.columns else F.lit(float(default))
-
-
 def in_window(col, end: Column, days: int, lag_days: int = 0) -> Column:
     """Half-open window (end-lag-days, end-lag]."""
     hi = shift_days(end, -lag_days) if lag_days else end
@@ -127,27 +115,6 @@ def count_where(cond: Column) -> Column:
     return F.count_if(cond)
 
 
-def sum_where(cond: Column, value) -> Column:
-    return F.coalesce(F.sum(F.when(cond, c(value))), F.lit(0.0))
-
-
-def rule_case(rules, default) -> Column:
-    """[(condition, value), ...] -> first matching value."""
-    out = None
-    for cond, value in rules:
-        v = value if isinstance(value, Column) else F.lit(value)
-        out = F.when(cond, v) if out is None else out.when(cond, v)
-    return out.otherwise(default if isinstance(default, Column) else F.lit(default))
-
-
-def add_all(cols) -> Column:
-    return reduce(lambda a, b: a + b, cols)
-
-
-def literal_map(mapping: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-
-
 def slug(col) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c(col))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
@@ -190,10 +157,6 @@ def div_null(n: str, d: str) -> str:
     return f"try_divide(cast({n} AS double), nullif(cast({d} AS double), 0D))"
 
 
-def div_zero(n: str, d: str) -> str:
-    return f"(CASE WHEN ({d}) = 0 THEN 0D ELSE {div_null(n, d)} END)"
-
-
 def chain(df: DataFrame, **steps: str) -> DataFrame:
     """Adds columns one after another; each may use the earlier ones."""
     for name, text in steps.items():

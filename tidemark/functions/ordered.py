@@ -67,28 +67,41 @@ def range_count(spark: SparkSession) -> int:
     return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _as_number(name: str, kind: str, prefix: int = 0) -> str:
-    """A double that sorts like the column: times in microseconds, dates in days, six bytes of a text after its common prefix."""
+def _sortable(name: str, kind: str) -> str:
+    """A value that sorts like the column: times in microseconds, dates in days, other numbers as doubles, texts as they are."""
     if kind == "date":
         return f"cast(unix_date(`{name}`) AS double)"
     if kind.startswith("timestamp"):
         return f"cast(unix_micros(cast(`{name}` AS timestamp)) AS double)"
-    if kind == "string":
-        return f"cast(conv(rpad(hex(substr(encode(`{name}`, 'UTF-8'), {prefix + 1}, 6)), 12, '0'), 16, 10) AS double)"
-    return f"cast(`{name}` AS double)"
+    return f"`{name}`" if kind == "string" else f"cast(`{name}` AS double)"
 
 
-def _common_prefix(df: DataFrame, name: str) -> int:
-    """Bytes that all values of a text column start with (least and greatest value decide)."""
-    low, high = df.agg(F.min(name), F.max(name)).first()
-    a, b = (low or "").encode(), (high or "").encode()
-    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+#: Values of a text key that are drawn for each of its ranges to find their borders.
+DRAWN = 40
+
+
+def _text_borders(df: DataFrame, name: str, n: int) -> list[str]:
+    """Borders of ``n`` even ranges of a text column: whole texts, from a sample of DRAWN for each range."""
+    there = df.where(F.col(name).isNotNull()).select(name)
+    total = there.count()
+    drawn = there if total <= DRAWN * n else there.sample(DRAWN * n / total, seed=17)
+    values = sorted(r[0] for r in drawn.collect())  # about DRAWN * n
+    return [values[len(values) * i // n] for i in range(1, n)] if values else []
+
+
+def _literal(x) -> str:
+    return f"{x!r}D" if isinstance(x, float) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _borders(df: DataFrame, names: dict[str, str], by: str | None, n: int) -> dict:
     """Quantile borders per key; a later key is only read when an earlier one has a dominating value."""
     out: dict = {}
     for k, number in names.items():
+        if number == f"`{k}`":  # a text
+            out.setdefault(None, {})[k] = _text_borders(df, k, n)
+            if len(set(out[None][k])) == len(out[None][k]):
+                break
+            continue
         q = F.expr(f"percentile_approx({number}, array({', '.join(f'{i / n!r}D' for i in range(1, n))}), {max(1000, 20 * n)}) AS q")
         rows = (df.groupBy(by).agg(q) if by else df.agg(q)).collect()
         for r in rows:
@@ -98,15 +111,15 @@ def _borders(df: DataFrame, names: dict[str, str], by: str | None, n: int) -> di
     return out
 
 
-def _tree(v: str, borders: list[float], lo: int) -> str:
+def _tree(v: str, borders: list, lo: int) -> str:
     if not borders:
         return str(lo)
     m = len(borders) // 2
     above, below = _tree(v, borders[m + 1:], lo + m + 1), _tree(v, borders[:m], lo)
-    return f"CASE WHEN {v} > {borders[m]!r}D THEN {above} ELSE {below} END"
+    return f"CASE WHEN {v} > {_literal(borders[m])} THEN {above} ELSE {below} END"
 
 
-def _range_path(order, borders: dict[str, list[float]], numbers: dict[str, str]) -> Column:
+def _range_path(order, borders: dict[str, list], numbers: dict[str, str]) -> Column:
     """Range index of a row as an array that sorts like the ordering itself.
 
     A value that fills several quantiles gets a range of its own, which is then
@@ -118,7 +131,7 @@ def _range_path(order, borders: dict[str, list[float]], numbers: dict[str, str])
             break
         marks = borders[name]
         distinct = sorted(set(marks))
-        heavy = ", ".join(f"{x!r}D" for x in distinct if marks.count(x) > 1)
+        heavy = ", ".join(_literal(x) for x in distinct if marks.count(x) > 1)
         v = numbers[name]
         is_heavy = f"coalesce({v} IN ({heavy}), false)" if heavy else "false"
         idx = f"CASE WHEN {v} IS NULL THEN -1 ELSE 2 * {_tree(v, distinct, 0)} + cast({is_heavy} AS int) END"
@@ -140,9 +153,7 @@ def with_range(df: DataFrame, order, small_by: str | None = None, out: str = "_r
     for name, _ in order:
         if types[name] in ("boolean", "binary") or types[name].startswith(("array", "struct", "map")) or types[name] == "string" and small_by is not None:
             break
-        numbers[name] = _as_number(name, types[name], _common_prefix(df, name) if types[name] == "string" else 0)
-        if types[name] == "string":
-            break
+        numbers[name] = _sortable(name, types[name])
     marks = _borders(df, numbers, small_by, n)
     if small_by is None:
         return df.withColumn(out, _range_path(order, marks.get(None, {}), numbers))
@@ -286,22 +297,26 @@ def previous_row(df: DataFrame, by, order, cols, range_col: str, prefix: str = "
     )
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by, left_time: str, right_time: str, cols) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, by, left_time: str, right_time: str, cols, tie: str | None = None) -> DataFrame:
     """Latest right row at or before each left time, per key (left rows all kept).
 
+    Of right rows with the same time the one with the largest ``tie`` counts (null lowest);
+    without ``tie`` the one whose ``cols`` are largest, so the result never depends on chance.
+
     Both sides are stacked and cut by month; inside a month the last right row is
     carried forward, and one row per key and month carries it over the border.
     """
     payload = F.struct(*[F.col(x) for x in cols])
-    r = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), payload.alias("_v"),
+    last = [F.col(tie)] if tie else [F.col(x) for x in cols if not dict(right.dtypes)[x].startswith("map")]
+    r = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*[x.alias(f"k{i}") for i, x in enumerate(last)]).alias("_k"), payload.alias("_v"),
                      F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row"))
-    l = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"),
+    l = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_k"].dataType).alias("_k"),
                     F.lit(None).cast(right.select(payload.alias("x")).schema[0].dataType).alias("_v"),
                     F.struct(*left.columns).alias("_row"))
     both = r.unionByName(l).withColumn("_month", F.date_trunc("month", F.col("_t").cast("timestamp")))
-    w = W.partitionBy(*by, "_month").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*by, "_month").orderBy("_t", "_side", "_k").rowsBetween(W.unboundedPreceding, 0)
     inner = both.withColumn("_here", F.last("_v", ignorenulls=True).over(w))
-    last = both.where("_side = 0").groupBy(*by, "_month").agg(F.max_by("_v", "_t").alias("_last"))
+    last = both.where("_side = 0").groupBy(*by, "_month").agg(F.max_by("_v", F.struct("_t", "_k")).alias("_last"))
     months = both.select(*by, "_month").distinct().join(last, [*by, "_month"], "left")
     before = W.partitionBy(*by).orderBy("_month").rowsBetween(W.unboundedPreceding, -1)
     carry = months.select(*by, "_month", F.last("_last", ignorenulls=True).over(before).alias("_carry"))

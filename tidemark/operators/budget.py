@@ -158,6 +158,7 @@ def segment_allocation(selected: DataFrame, *, segment: str = "uplift_segment",
     if by_intensity:
         grid = grid.crossJoin(spark.createDataFrame([(i,) for i in INTENSITIES], "intervention_intensity string"))
     out = grid.join(g, keys, "left")
+    out = out.orderBy(F.expr(segment_order_key(segment)), *[F.expr(f"array_position(array({', '.join(repr(i) for i in INTENSITIES)}), intervention_intensity)")] * by_intensity)  # the display order of a small grid
     return out.selectExpr(*keys, "coalesce(customer_count, 0) AS customer_count", "coalesce(allocated_budget, 0D) AS allocated_budget",
                           "coalesce(expected_profit, 0D) AS expected_profit", "coalesce(expected_revenue, 0D) AS expected_revenue",
                           "coalesce(try_divide(expected_revenue - allocated_budget, allocated_budget), 0D) AS expected_roi")
@@ -176,9 +177,116 @@ def budget_totals(selected: DataFrame, budgets: dict[str, int]) -> DataFrame:
     return F.broadcast(table).join(g, "budget_id", "left").na.fill(0)
 
 
+#: Rounds in which every budget still open takes its next affordable row, before what is left is selected in the general way.
+PICK_ROUNDS = 12
+_AMOUNTS = ("coupon_cost", "expected_revenue", "expected_incremental_profit")
+
+
+def budget_curve(candidates: DataFrame, order, budgets: dict[str, int], *, max_customers: int | None = None, high_share: float | None = 0.35, high_base: str = "rows") -> DataFrame:
+    """``budget_totals`` of a greedy selection, one action a customer, for many budgets without a row for each candidate and budget.
+
+    Running sums over the customers' first rows, made once, tell every budget where its walk
+    stops and what it took until then: one aggregate for each budget over the same frame.
+    Beyond its stop a budget holds less than the cost of one row.  Rows that any budget can
+    still afford are few as a rule and are walked plainly; else each budget's next
+    affordable row is again one aggregate, a round for all of them.  Budgets that their
+    first row may not fit into, and those not done after PICK_ROUNDS, go through ``greedy_select``.
+    """
+    spark = candidates.sparkSession
+    pool = candidates.where("coupon_cost > 0").withColumn("_rid", F.monotonically_increasing_id())
+    keys = list(dict.fromkeys([n for n, _ in order] + [KEY, *_AMOUNTS]))
+    extra = [c for c in ("intervention_intensity",) if c in pool.columns and c not in keys]
+    high = "cast(lower(intervention_intensity) = 'high' AS int)" if "intervention_intensity" in pool.columns else "0"
+    ranked = row_index(cut_lineage(pool.select(*keys, *extra, "_rid")), [*order, ("_rid", True)], "_pos")
+    ranked = cut_lineage(ranked.selectExpr(KEY, "_pos", "cast(round(coupon_cost * 100) AS bigint) AS _cost", f"{high} AS _high", *[f"coalesce({a}, 0D) AS _{i}" for i, a in enumerate(_AMOUNTS)]))
+    size = ranked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(KEY).alias("k"), F.max("_cost").alias("dear"), F.min("_cost").alias("cheap")).first()
+    base = max_customers or (size["n"] if high_base == "rows" else size["k"])
+    cap = max(1, int(max(base, 1) * high_share)) if high_share else None
+    open_ = {b: int(v) * 100 for b, v in budgets.items() if int(v) > 0 and size["n"]}
+    slow = {b for b, left in open_.items() if left < size["dear"]}
+    walks = {b: {"left": left, "n": 0, "high": 0, "stop": None, "amounts": [0.0] * len(_AMOUNTS), "served": set()} for b, left in open_.items() if b not in slow}
+    rows, group = ranked, dict(walks)
+    while group:  # a second time at most: without high-intensity rows, once they have reached their share
+        shared_walk = next(iter(group.values()))  # up to here all of the group took the same rows
+        slots, high_left = max_customers and max_customers - shared_walk["n"], cap and cap - shared_walk["high"]
+        names = ["_pos", "_cost", "_high", *[f"_{i}" for i in range(len(_AMOUNTS))]]
+        first = rows.groupBy(KEY).agg(F.expr(f"min_by(struct({', '.join(names)}), _pos) AS h")).select(KEY, "h.*")
+        sums = {"_c": F.col("_cost"), "_n": F.lit(1).cast("long"), "_h": F.col("_high"), **{f"_a{i}": F.col(f"_{i}") for i in range(len(_AMOUNTS))}}
+        cum = cut_lineage(running_totals(_spread(first, size["n"]), [("_pos", True)], sums, range_col="_slice").drop("_slice"))
+        upto = ", ".join(["_c - _cost AS c", "_n - 1 AS n", "_h - _high AS h", *[f"_a{i} - _{i} AS a{i}" for i in range(len(_AMOUNTS))]])
+        whole = ", ".join(["_c AS c", "_n AS n", "_h AS h", *[f"_a{i} AS a{i}" for i in range(len(_AMOUNTS))]])
+        share_used = f"_high = 1 AND _h > {high_left}" if cap else "false"
+        full = f"{share_used}{f' OR _n > {slots}' if max_customers else ''}"
+        stops = [F.expr(f"min_by(struct(_pos, {share_used} AND _c <= {w['left']}{f' AND _n <= {slots}' if max_customers else ''} AS share, {upto}), _pos) FILTER (WHERE _c > {w['left']} OR {full})").alias(f"s{k}") for k, w in enumerate(group.values())]
+        found = cum.agg(F.expr(f"max_by(struct({whole}), _pos)").alias("all"), *stops).first()
+        here, later, at = {}, {}, None
+        for k, (b, w) in enumerate(group.items()):
+            stop = found[f"s{k}"]
+            use = stop or found["all"]
+            if use is not None:
+                w["left"], w["n"], w["high"], w["amounts"] = w["left"] - use["c"], w["n"] + use["n"], w["high"] + use["h"], [x + use[f"a{i}"] for i, x in enumerate(w["amounts"])]
+            if stop is not None:
+                w["stop"] = w["at"] = stop["_pos"]
+                (later if stop["share"] else here)[b] = w
+                at = stop["_pos"] if stop["share"] else at
+        slow |= _next_picks(rows, cum, here, size["cheap"], max_customers, cap)
+        group = later
+        if group:
+            open_rows = cum.where(F.col("_pos") >= at).select(KEY)
+            rows = cut_lineage(rows.where((F.col("_pos") > at) & (F.col("_high") == 0)).join(open_rows, KEY, "left_semi"))
+    kinds = "budget_id string, " + ", ".join(f"{a} double" for a in ("spent", "expected_revenue", "expected_incremental_profit")) + ", num_targeted bigint"
+    rows = [(b, *map(float, w["amounts"]), int(w["n"])) for b, w in walks.items() if b not in slow]
+    table = spark.createDataFrame([(b, int(v)) for b, v in budgets.items()], "budget_id string, budget bigint")
+    got = table.join(F.broadcast(spark.createDataFrame(rows, kinds)), "budget_id", "left").select("budget_id", "budget", "spent", "num_targeted", "expected_revenue", "expected_incremental_profit")
+    if not slow:
+        return got.na.fill(0)
+    rest = {b: v for b, v in budgets.items() if b in slow}
+    more = budget_totals(greedy_select(candidates, order, rest, max_customers=max_customers, high_share=high_share, high_base=high_base), rest)
+    return got.where(~F.col("budget_id").isin(list(slow))).na.fill(0).unionByName(more.select(got.columns))
+
+
+def _next_picks(ranked: DataFrame, cum: DataFrame, walks: dict, cheapest: int, max_customers: int | None, cap: int | None) -> set[str]:
+    """Carries the walks on beyond their stops; returns the budgets that are not done."""
+    def alive() -> dict:
+        return {b: w for b, w in walks.items() if w["left"] >= cheapest and not (max_customers and w["n"] >= max_customers) and w["at"] is not None}
+
+    def take(w: dict, r) -> None:
+        w["left"], w["n"], w["high"], w["at"] = w["left"] - r["_cost"], w["n"] + 1, w["high"] + r["_high"], r["_pos"]
+        w["amounts"] = [a + r[f"_{i}"] for i, a in enumerate(w["amounts"])]
+        w["served"].add(r[KEY])
+
+    if not alive():
+        return set()
+    begin, most = min(w["stop"] for w in alive().values()), max(w["left"] for w in alive().values())
+    tail = cut_lineage(ranked.where((F.col("_pos") > begin) & (F.col("_cost") <= most)).join(cum.select(KEY, F.col("_pos").alias("_first")), KEY))
+    if tail.count() <= WALK_ROWS:
+        rows = sorted(tail.collect(), key=lambda r: r["_pos"])
+        for w in alive().values():
+            for r in rows:
+                if r["_pos"] > w["stop"] and r["_first"] >= w["stop"] and r["_cost"] <= w["left"] and r[KEY] not in w["served"] and not (max_customers and w["n"] >= max_customers) and not (r["_high"] and cap and w["high"] >= cap):
+                    take(w, r)
+        return set()
+    for _ in range(PICK_ROUNDS):
+        now = alive()
+        if not now:
+            break
+        fits = []
+        for w in now.values():
+            f = (F.col("_pos") > w["at"]) & (F.col("_first") >= w["stop"]) & (F.col("_cost") <= w["left"])
+            f = f & ~F.col(KEY).isin(list(w["served"])) if w["served"] else f
+            fits.append(f & (F.col("_high") == 0) if cap and w["high"] >= cap else f)
+        found = tail.agg(*[F.min_by(F.when(f, F.struct(*tail.columns)), F.when(f, F.col("_pos"))).alias(f"r{k}") for k, f in enumerate(fits)]).first()
+        for k, w in enumerate(now.values()):
+            if found[f"r{k}"] is None:
+                w["at"] = None
+            else:
+                take(w, found[f"r{k}"])
+    return set(alive())
+
+
 def budget_scenarios(candidates: DataFrame, order, budget: int, **kw) -> DataFrame:
     budgets = {"50%": int(budget * 0.5), "100%": int(budget), "200%": int(budget * 2)}
-    t = budget_totals(greedy_select(candidates, order, budgets, **kw), budgets)
+    t = budget_curve(candidates, order, budgets, **kw)
     return t.selectExpr("budget_id AS scenario", "budget", "spent", "budget - spent AS remaining", "num_targeted", "expected_revenue",
                         "coalesce(try_divide(expected_revenue - spent, spent), 0D) AS expected_roi")
 
@@ -197,12 +305,12 @@ BAND_START, BAND_FULL, BAND_LOW, BAND_FALLING, BAND_GROW, BAND_STEP = (
 
 
 def budget_sensitivity(candidates: DataFrame, order, base_budget: int, *, step: int = 1_000_000, **kw) -> DataFrame:
-    """Marginal profit and ROI per budget level; all levels are selected in the same rounds.
+    """Marginal profit and ROI per budget level; all levels read the same running sums.
 
     Equal picks may add up to sums a rounding error apart, so "no added profit" has a tiny margin.
     """
     budgets = {str(b): b for b in sensitivity_grid(base_budget, step)}
-    t = budget_totals(greedy_select(candidates, order, budgets, **kw), budgets).selectExpr(
+    t = budget_curve(candidates, order, budgets, **kw).selectExpr(
         "budget", "spent", "greatest(budget - spent, 0D) AS remaining", "num_targeted AS target_count", "expected_incremental_profit",
         "coalesce(try_divide(expected_incremental_profit, spent), 0D) AS average_roi")
     # a few dozen budget levels: one small window

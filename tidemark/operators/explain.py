@@ -74,6 +74,7 @@ def customer_explanations(customers: DataFrame, extras: list[DataFrame], top: in
         df = df.join(e.select(KEY, *[x for x in e.columns if x not in df.columns]), KEY, "left")
     z = lambda *names: "coalesce(" + ", ".join([*[n for n in names if n in df.columns], "0D"]) + ")"
     window = [n for n in ("intervention_window_days", "predicted_median_time_to_churn_days") if n in df.columns]
+    # fixed values: limits and texts of the reasons and of the points to watch
     reasons = [
         (f"{z('churn_probability', 'realtime_churn_score')} >= 0.6", "이탈 위험이 높음"),
         (f"{z('uplift_score', 'predicted_uplift')} >= 0.02", "개입 반응 가능성이 큼"),
@@ -96,6 +97,7 @@ def customer_explanations(customers: DataFrame, extras: list[DataFrame], top: in
 
 
 # ---- dimensions of live rows ------------------------------------------
+# Texts that stand for nothing, and the column names a dimension may have.
 PLACEHOLDERS = ("", "live", "live_user", "unknown", "unknown_segment", "nan", "none", "null")
 PERSONA_ALIASES = ("persona", "customer_persona", "customer_segment", "lifecycle_segment", "marketing_segment", "segment_name", "membership_tier",
                    "member_tier", "membership_grade", "tier", "grade")

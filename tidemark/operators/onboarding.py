@@ -25,6 +25,18 @@ def slug(name: str) -> str:
     return (s or "col")[:64]
 
 
+def slugs(names: list[str]) -> dict[str, str]:
+    """A result name for each column; a number goes after names that would meet, as cut ones do."""
+    out: dict[str, str] = {}
+    for c in names:
+        s, k = slug(c), 1
+        while s in out.values():
+            k += 1
+            s = f"{slug(c)[:64 - len(str(k)) - 1]}_{k}"
+        out[c] = s
+    return out
+
+
 def find_column(df: DataFrame, names) -> str | None:
     have = {slug(c): c for c in df.columns}
     return next((have[slug(n)] for n in names if slug(n) in have), None)
@@ -140,9 +152,9 @@ def external_features(df: DataFrame, core, order: str) -> tuple[DataFrame, dict]
     row = df.agg(*[F.expr(x) for i, c in enumerate(cols) for x in (
         f"avg(CASE WHEN try_cast(cast(`{c}` AS string) AS double) IS NOT NULL THEN 1D ELSE 0D END) AS n{i}",
         f"avg(CASE WHEN cast(`{c}` AS string) RLIKE '{_DATE}' THEN 1D ELSE 0D END) FILTER (WHERE `{c}` IS NOT NULL) AS d{i}")]).first() if cols else None
-    aggs, used = [], {}
+    aggs, used, texts, named = [], {}, [], slugs(cols)
     for i, c in enumerate(cols):
-        s = slug(c)
+        s = named[c]
         if kinds[c].startswith(("timestamp", "date")) or (kinds[c] == "string" and (row[f"d{i}"] or 0) >= 0.6):
             t = f"try_cast(`{c}` AS timestamp)"
             aggs += [f"min({t}) AS ext_date__{s}_first", f"max({t}) AS ext_date__{s}_last"]
@@ -151,10 +163,16 @@ def external_features(df: DataFrame, core, order: str) -> tuple[DataFrame, dict]
             aggs += [f"{fn}(try_cast(`{c}` AS double)) AS ext_num__{s}_{n}" for fn, n in (("avg", "mean"), ("sum", "sum"), ("min", "min"), ("max", "max"))]
             used[c] = "numeric"
         else:
-            aggs += [f"min_by(`{c}`, {order}) FILTER (WHERE `{c}` IS NOT NULL) AS ext_cat__{s}_mode", f"count(DISTINCT `{c}`) AS ext_num__{s}_nunique"]
+            aggs += [f"min_by(`{c}`, {order}) FILTER (WHERE `{c}` IS NOT NULL) AS ext_cat__{s}_mode"]
+            texts.append(c)
             used[c] = "categorical"
     out = df.groupBy(KEY).agg(*[F.expr(x) for x in aggs])
-    dates = [f"ext_date__{slug(c)}_last" for c, k in used.items() if k == "datetime"]
+    if texts:  # one row for each customer, column and value: a distinct count in the grouping would copy every row for every column
+        pairs = ", ".join(f"struct('{named[c]}' AS c, cast(`{c}` AS string) AS x)" for c in texts)
+        values = df.select(KEY, F.expr(f"inline(array({pairs}))")).where("x IS NOT NULL").distinct()
+        n = values.groupBy(KEY).agg(*[F.expr(f"count_if(c = '{named[c]}') AS ext_num__{named[c]}_nunique") for c in texts])
+        out = out.join(n, out[KEY].eqNullSafe(n[KEY]), "left").drop(n[KEY]).na.fill(0, [f"ext_num__{named[c]}_nunique" for c in texts])
+    dates = [f"ext_date__{named[c]}_last" for c, k in used.items() if k == "datetime"]
     if dates:
         top = out.agg(*[F.expr(f"max({d}) AS _m_{d}") for d in dates])
         out = out.crossJoin(F.broadcast(top)).withColumns({

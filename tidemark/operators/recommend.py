@@ -84,31 +84,58 @@ def given_targets(summary: DataFrame, targets: DataFrame, limit: int | None = No
 CATALOG_ROWS = 20_000
 
 
+_SIGNALS = ("customer_pref_score", "view_score", "segment_popularity", "global_popularity")
+
+
+def _scaled(s: str) -> str:
+    return f"CASE WHEN _hi_{s} - _lo_{s} < 1e-9 THEN 0D ELSE ({s} - _lo_{s}) / (_hi_{s} - _lo_{s}) END"
+
+
+def _near_the_top(base: DataFrame, cats: DataFrame, pref: DataFrame, view: DataFrame, seg: DataFrame, glob: DataFrame, k: int) -> DataFrame:
+    """Rows of customer and category that can be among the first ``k``, with the signals and their least and largest value over the whole catalog."""
+    n = cats.count()
+    own = cut_lineage(pref.join(view, [KEY, "item_category"], "full").join(cats, "item_category", "left_semi").na.fill(0.0, list(_SIGNALS[:2])))
+    # a customer without a row for some category has zero there
+    ends = own.groupBy(KEY).agg(F.count(F.lit(1)).alias("_m"), *[F.expr(f"CASE WHEN count(1) = {n} THEN {f}({s}) ELSE {g}({f}({s}), 0D) END AS _{e}_{s}") for s in _SIGNALS[:2] for f, g, e in (("min", "least", "lo"), ("max", "greatest", "hi"))])
+    groups = cut_lineage(base.select("persona", "uplift_segment").distinct().withColumn("_g", F.monotonically_increasing_id()))  # persona and segment: a few
+    shown = groups.crossJoin(cats).join(seg, ["persona", "uplift_segment", "item_category"], "left").join(glob, "item_category", "left").na.fill(0.0, list(_SIGNALS[2:])).select("_g", "item_category", *_SIGNALS[2:])
+    shown = cut_lineage(shown)
+    limits = shown.groupBy("_g").agg(*[F.expr(f"{f}({s}) AS _{e}_{s}") for s in _SIGNALS[2:] for f, e in (("min", "lo"), ("max", "hi"))])
+    ranked = shown.join(F.broadcast(limits), "_g")
+    ranked = cut_lineage(ranked.withColumn("_rank", F.row_number().over(W.partitionBy("_g").orderBy(F.expr(f"0.20 * {_scaled(_SIGNALS[2])} + 0.15 * {_scaled(_SIGNALS[3])}").desc(), "item_category"))))
+    same = base["persona"].eqNullSafe(groups["persona"]) & base["uplift_segment"].eqNullSafe(groups["uplift_segment"])
+    who = base.join(F.broadcast(groups), same).select(*[base[c] for c in base.columns], "_g").join(ends, KEY, "left").na.fill(0)
+    who = cut_lineage(who)
+    mine = who.join(own, KEY).join(ranked.drop("_rank"), ["_g", "item_category"])
+    first = who.withColumn("_rank", F.expr(f"explode(sequence(1, cast(least({k} + _m, {n}) AS int)))")).join(ranked, ["_g", "_rank"]).join(own.select(KEY, "item_category"), [KEY, "item_category"], "left_anti")
+    return mine.unionByName(first.drop("_rank").withColumns({s: F.lit(0.0) for s in _SIGNALS[:2]}))
+
+
 def recommend_topk(targets: DataFrame, orders: DataFrame, events: DataFrame, summary: DataFrame, k: int = 3) -> DataFrame:
-    """Targets x all categories, each signal min-max scaled per customer.
+    """The best ``k`` of all categories for each target, each signal min-max scaled per customer.
 
-    A customer's window spans the catalog, never their history.  The catalog is counted
-    and broadcast only up to CATALOG_ROWS categories.
+    Up to CATALOG_ROWS categories every target meets the whole catalog, which is broadcast.
+    In a larger one, categories without a signal of the customer's own stand in the same
+    order for all customers of a segment: the segment's ranking is made once, and a customer
+    meets its own categories and as many of the ranking's first as can still matter.
     """
     targets = shared(targets)
     glob = global_popularity(orders)
     seen = events.where(F.col("item_category").isNotNull() & F.lower("event_type").isin(*BROWSE_TYPES)).select("item_category")
     cats = cut_lineage(glob.select("item_category").unionByName(seen).distinct())
     small = cats.count() <= CATALOG_ROWS
-    sized = lambda df: F.broadcast(df) if small else df
-    base = targets.select(KEY, "persona", "uplift_segment", F.expr("coalesce(coupon_affinity, 0D) AS _ca")).crossJoin(sized(cats))
+    base = targets.select(KEY, "persona", "uplift_segment", F.expr("coalesce(coupon_affinity, 0D) AS _ca"))
     keys = targets.select(KEY)
     pref = category_preferences(orders).join(keys, KEY, "left_semi")
     view = interest_scores(events).join(keys, KEY, "left_semi")
-    j = (base.join(pref, [KEY, "item_category"], "left").join(view, [KEY, "item_category"], "left")
-         .join(segment_popularity(summary, orders), ["persona", "uplift_segment", "item_category"], "left").join(sized(glob), "item_category", "left"))
-    signals = ("customer_pref_score", "view_score", "segment_popularity", "global_popularity")
-    j = j.na.fill(0.0, list(signals))
-    w = W.partitionBy(KEY)
-    j = j.select("*", *[F.min(s).over(w).alias(f"_lo_{s}") for s in signals], *[F.max(s).over(w).alias(f"_hi_{s}") for s in signals])
-    n = lambda s: f"CASE WHEN _hi_{s} - _lo_{s} < 1e-9 THEN 0D ELSE ({s} - _lo_{s}) / (_hi_{s} - _lo_{s}) END"
-    j = j.withColumn("recommendation_score", F.expr(
-        f"0.50 * {n(signals[0])} + 0.15 * {n(signals[1])} + 0.20 * {n(signals[2])} + 0.15 * {n(signals[3])} + 0.05 * _ca"))
+    seg, w = segment_popularity(summary, orders), W.partitionBy(KEY)
+    if small:
+        j = (base.crossJoin(F.broadcast(cats)).join(pref, [KEY, "item_category"], "left").join(view, [KEY, "item_category"], "left")
+             .join(seg, ["persona", "uplift_segment", "item_category"], "left").join(F.broadcast(glob), "item_category", "left").na.fill(0.0, list(_SIGNALS)))
+        j = j.select("*", *[F.min(s).over(w).alias(f"_lo_{s}") for s in _SIGNALS], *[F.max(s).over(w).alias(f"_hi_{s}") for s in _SIGNALS])
+    else:
+        j = _near_the_top(base, cats, pref, view, seg, glob, k)
+    j = j.withColumn("recommendation_score", F.expr(f"0.50 * {_scaled(_SIGNALS[0])} + 0.15 * {_scaled(_SIGNALS[1])} + 0.20 * {_scaled(_SIGNALS[2])} + 0.15 * {_scaled(_SIGNALS[3])} + 0.05 * _ca"))
     j = j.withColumn("recommendation_rank", F.row_number().over(w.orderBy(F.desc("recommendation_score"), "item_category"))).where(f"recommendation_rank <= {k}")
     return j.selectExpr(
         KEY, "persona", "uplift_segment", "recommendation_rank", "item_category AS recommended_category", "recommendation_score",

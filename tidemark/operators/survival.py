@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.expr import add, at
-from ..functions.ordered import cut_lineage, exact_quantiles, pct_ranks, previous_row, row_index, running_totals, shared
+from ..functions.ordered import cut_lineage, exact_quantiles, pct_ranks, previous_row, row_index, running_totals, shared, with_range
 
 KEY = "customer_id"
 
@@ -85,25 +85,43 @@ def survival_predict(df: DataFrame, betas: dict[str, tuple[float, float, float]]
     return risk_groups(cut_lineage(out))
 
 
+def _dominated(part):
+    """Of one hazard range: twice the concordant pairs inside it, ties one.  Rows are distinct (h, t, e) with their number."""
+    import pandas as pd
+
+    part = part.sort_values("h", kind="stable")
+    h, t, e, n = (part[c].to_numpy() for c in ("h", "t", "e", "n"))
+    twice = 0
+    for s in np.unique(t[e == 1]):  # days up to the horizon
+        risk, hit = (t > s) | ((t == s) & (e == 0)), (t == s) & (e == 1)
+        below = np.concatenate([[0], np.cumsum(n[risk])])
+        less, upto = (below[np.searchsorted(h[risk], h[hit], side=x)] for x in ("left", "right"))
+        twice += int((n[hit] * (less + upto)).sum())
+    return pd.DataFrame({"twice": [twice]})
+
+
 def concordance_index(df: DataFrame, hazard: str = "predicted_hazard_ratio") -> DataFrame:
     """Share of comparable pairs in the right order, ties one half.
 
-    No pair is ever built: each row is counted into the days at which it is still
-    at risk (at most the horizon), and running counts over the hazard give the
-    number of lower and equal hazards for every event.
+    No pair is ever built and no row is copied.  Rows are counted by hazard, day and event,
+    and cut into hazard ranges.  A range's counts by day say how many of its rows are still
+    at risk on each event day, and running sums over the ranges, a row for each range and
+    day, how many of the ranges below are; within a range, arrays of the sorted hazards
+    give the rest.  Rows without a hazard are left out.
     """
-    d = cut_lineage(df.selectExpr(KEY, f"cast({hazard} AS double) AS h", "cast(duration_days AS int) AS t", "cast(event_observed AS int) AS e"))
-    days = d.where("e = 1").select("t").distinct().agg(F.sort_array(F.collect_set("t")).alias("_days"))
-    # at risk for an event on day s: longer than s, or censored on s
-    risk = d.crossJoin(F.broadcast(days)).selectExpr("h", "explode(filter(_days, s -> t > s OR (t = s AND e = 0))) AS s")
-    counts = risk.selectExpr("cast(s AS string) AS s", "h").groupBy("s", "h").agg(F.count(F.lit(1)).alias("n"))
-    ev = d.where("e = 1").selectExpr("cast(t AS string) AS s", "h").groupBy("s", "h").agg(F.count(F.lit(1)).alias("k"))
-    both = cut_lineage(counts.join(ev, ["s", "h"], "full").na.fill(0, ["n", "k"]))
-    cum = running_totals(both, [("h", True)], {"cum": F.col("n")}, small_by="s")
-    total = both.groupBy("s").agg(F.sum("n").alias("tot"))
-    j = cum.where("k > 0").join(F.broadcast(total), "s")
-    return j.agg(F.expr("sum(k * (cum - n) + 0.5D * k * n) AS concordant"), F.expr("sum(k * tot) AS comparable")).selectExpr(
-        "cast(comparable AS bigint) AS comparable_pairs", "concordant / nullif(comparable, 0) AS concordance_index")
+    d = df.selectExpr(f"cast({hazard} AS double) AS h", "cast(duration_days AS int) AS t", "cast(event_observed AS int) AS e").where("h IS NOT NULL AND t IS NOT NULL AND e IS NOT NULL")
+    counted = cut_lineage(d.groupBy("h", "t", "e").agg(F.count(F.lit(1)).alias("n")))
+    d = cut_lineage(with_range(counted, [("h", True)]))
+    days = d.where("e = 1").select(F.col("t").alias("s")).distinct()  # at most the horizon
+    by_day = d.groupBy("_range", "t", "e").agg(F.sum("n").alias("n")).groupBy("_range").agg(F.collect_list(F.struct("t", "e", "n")).alias("rows"))
+    total = lambda keep: f"aggregate(filter(rows, x -> {keep}), 0L, (a, x) -> a + x.n)"
+    grid = by_day.crossJoin(F.broadcast(days)).selectExpr("_range", "s", f"{total('x.t > s OR (x.t = s AND x.e = 0)')} AS risk", f"{total('x.t = s AND x.e = 1')} AS hits")
+    w = W.partitionBy("s").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    grid = grid.select("s", "risk", "hits", F.coalesce(F.sum("risk").over(w), F.lit(0)).alias("below"))
+    days = grid.groupBy("s").agg(F.sum(F.col("hits") * F.col("below")).alias("below"), (F.sum("hits") * F.sum("risk")).alias("pairs"))
+    outside = days.agg(F.sum("below").alias("below"), F.sum("pairs").alias("comparable"))
+    inside = d.groupBy("_range").applyInPandas(_dominated, "twice long").agg(F.coalesce(F.sum("twice"), F.lit(0)).alias("twice"))
+    return outside.crossJoin(F.broadcast(inside)).selectExpr("cast(coalesce(comparable, 0) AS bigint) AS comparable_pairs", "(below + twice / 2D) / nullif(comparable, 0) AS concordance_index")
 
 
 # ---- encoding ---------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("feature_queries", "cohort_queries", "decision_queries", "analysis_queries", "model_queries", "pattern_queries", "onboarding_queries", "live_queries", "stream_queries")
+MODULES = ("feature_queries", "cohort_queries", "decision_queries", "analysis_queries", "model_queries", "pattern_queries", "onboarding_queries", "live_queries", "stream_queries", "check_queries")
 
 
 def _load():

@@ -34,7 +34,7 @@ def _(v):
     return rounded(ob.relevance_score(ob.detect_column_roles(u), u.count()))
 
 
-_COLS = (("action", "text"), ("channel", "text"), ("coupon_used", "text"), ("shelf", "text"), ("row_id", "numeric"), ("customer_id", "numeric"))
+_COLS = (("action", "text"), ("channel", "text"), ("coupon_used", "text"), ("refund_reason", "text"), ("shelf", "text"), ("row_id", "numeric"), ("customer_id", "numeric"), ("amount", "numeric"), ("discount_amount", "numeric"), ("ts", "datetime"))
 
 
 @query("profile_columns", f"WITH {UP_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS kind, count(*) AS rows, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END), 6) AS missing_rate, count(DISTINCT {c}) AS distinct_values, min(CAST({c} AS VARCHAR)) AS sample_value FROM up" for c, k in _COLS))
@@ -164,11 +164,11 @@ def _(v):
     return upload_events(v).select("event_id", "source_row_id", "customer_id", "timestamp", "event_type", "event_type_original", "session_id", "item_category")
 
 
-@query("orders_from_events", f"""WITH {_EV} SELECT 'ORD-' || substr(event_id, 5) AS order_id, ev.customer_id, "timestamp" AS order_time, CAST(round_even(amount, 2) AS DOUBLE) AS gross_amount, round(least(discount_amount, amount), 2) AS discount_amount, CASE WHEN false THEN 1 ELSE 0 END AS coupon_used
+@query("orders_from_events", f"""WITH {_EV} SELECT 'ORD-' || substr(event_id, 5) AS order_id, ev.customer_id, "timestamp" AS order_time, CAST(round_even(amount, 2) AS DOUBLE) AS gross_amount, round(least(discount_amount, amount), 2) AS discount_amount, CAST(round_even(amount - least(discount_amount, amount), 2) AS DOUBLE) AS net_amount, CASE WHEN source_row_id % 4 = 0 THEN 1 ELSE 0 END AS coupon_used
 FROM ev JOIN up ON row_id = source_row_id WHERE event_type = 'purchase'""")
 def _(v):
-    o = ob.orders_from_events(upload_events(v), upload(v).withColumn("coupon_used", F.lit("no")))
-    return o.selectExpr("order_id", "customer_id", "order_time", "gross_amount", "round(discount_amount, 2) AS discount_amount", "coupon_used")
+    o = ob.orders_from_events(upload_events(v), upload(v).withColumn("coupon_used", F.expr("CASE coupon_used WHEN 'yes' THEN '1' ELSE '0' END")))
+    return o.selectExpr("order_id", "customer_id", "order_time", "gross_amount", "round(discount_amount, 2) AS discount_amount", "net_amount", "coupon_used")
 
 
 @query("upload_cohort_retention", """WITH act AS (SELECT customer_id, "timestamp" AS t, event_type AS k FROM t_events UNION ALL SELECT customer_id, order_time, 'purchase' FROM t_orders),

@@ -177,11 +177,19 @@ def _(v):
     return tb.read_delimited(v.spark, path, "c_custkey bigint, c_mktsegment string, c_acctbal double")
 
 
-@query("load_tables", "SELECT 'orders' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'customers', count(*) FROM customer UNION ALL SELECT 'state_snapshots', 0")
+@query("load_tables", """SELECT 'orders' AS name, count(*) AS rows, count(DISTINCT customer_id) AS customers FROM t_orders UNION ALL SELECT 'customers', count(*), count(DISTINCT customer_id) FROM t_customers UNION ALL SELECT 'events', count(*), count(DISTINCT customer_id) FROM t_events
+UNION ALL SELECT 'treatment_assignments', count(*), count(DISTINCT customer_id) FROM t_assign UNION ALL SELECT 'campaign_exposures', count(*), count(DISTINCT customer_id) FROM t_exposures UNION ALL SELECT 'customer_summary', count(*), count(DISTINCT customer_id) FROM t_summary UNION ALL SELECT 'state_snapshots', 0, 0""")
 def _(v):
-    cat = tb.Catalog(v.spark, {"orders": f"{v.dir}/orders.parquet", "customers": f"{v.dir}/customer.parquet"})
-    n = lambda t: cat.table(t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("name"), "rows")
-    return n("orders").unionByName(n("customers")).unionByName(n("state_snapshots"))
+    """All core tables as they were written; the optional one that is not there is empty."""
+    root = od.scratch_path(v.spark)
+    there = {"orders": v.orders(), "customers": v.customers(), "events": v.events(), "treatment_assignments": v.assignments(), "campaign_exposures": v.exposures(), "customer_summary": v.summary()}
+    tb.write_tables(there, root)
+    tables = tb.Catalog(v.spark, {name: f"{root}/{name}" for name in there}).load()
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("customer_id").alias("customers")).select(F.lit(name).alias("name"), "rows", "customers") for name, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("load_pruned", "SELECT o_orderkey, o_custkey FROM orders")
