@@ -101,3 +101,17 @@ def test_randomness_tests_part_words_from_keys(spark):
     assert sum(got[i] == "random:4:44" for i in range(60)) >= 55
     assert [got[100 + i] for i in range(len(words))] == [""] * len(words)
     assert secret_scan.limits({0: {200: 10, 0: 90}}) == {0: 200} and secret_scan.limits({0: {0: 5}}) == {}
+
+
+def test_written_out_addresses_and_ipv6_are_found(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    rows = [(i, f"{word()} {word()} wrote to {word()}.{word()}@{word()}.org at noon, {word()} dot dot {word()}, meeting at {word()} {word()} 12:30:4{i % 10} end") for i in range(300)]
+    rows += [(1000 + i, f"write me: {word()} dot {word()} at {word()} dot com thanks") for i in range(60)]
+    rows += [(2000 + i, "host " + ":".join(f"{rng.randrange(1 << 16):x}" for _ in range(8)) + " up") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df, ["doc_id"]).select("doc_id", pii.written(F.col("_base")).alias("b"), pii.written(F.col("_spans")).alias("s")).collect()}
+    texts = dict(rows)
+    found = [i for i in range(1000, 1060) if got[i].s == f"email:10:{texts[i].index(' thanks')}"]
+    assert len(found) >= 55 and sum(got[i].s.startswith("ip:5:") for i in range(2000, 2060)) >= 55
+    assert all(got[i].s == got[i].b for i in range(300))

@@ -137,3 +137,33 @@ def test_url_rules_and_mined_rules(spark):
     assert by[90].verdict == "allow" and by[90].host == "" and by[5000].verdict == "block" and by[1059].verdict == "block" and by[2199].verdict == "allow"
     assert {r.verdict for r in url_rules.judge(pages.where("page_id >= 1000"), labels.limit(0)).collect()} == {"allow"}
     assert url_rules.judge(pages.limit(0), labels).count() == 0
+
+
+def test_only_letters_make_a_language(spark):
+    docs = spark.createDataFrame([(i, "the quick brown fox jumps over it" if i % 2 else "der schnelle braune Fuchs springt", "en" if i % 2 else "de") for i in range(40)]
+                                 + [(100 + i, t, "en") for i, t in enumerate(["½", "² ³", "Ⅷ", "12 _ 3", "", None])] + [(200, "ª quick fox", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs).collect()}
+    assert all(got[100 + i] == ("und", 0.0) for i in range(6)) and got[200][0] in ("en", "de")
+
+
+def test_language_scores_equal_plain_naive_bayes(spark):
+    rng = random.Random(3)
+    words = {"aa": ["tala", "mona", "riva"], "bb": ["krun", "zolt", "prax"], "cc": ["tala", "krun", "öäü"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 9))), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.predict(docs).collect()
+    held = {r.doc_id for r in out if r.held_out}
+    import math
+    from collections import Counter
+
+    counts = {x: Counter() for x in words}
+    grams = lambda t: [int(h) for part in langid._grams(t) for h in part]
+    for i, t, lang in rows:
+        if i not in held:
+            counts[lang].update(grams(t))
+    size, total = 1 << langid.BITS, {x: sum(c.values()) for x, c in counts.items()}
+    for r in out:
+        logs = {x: sum(math.log((counts[x][h] + langid.SMOOTHING) / (total[x] + langid.SMOOTHING * size)) for h in grams(rows[r.doc_id][1])) for x in words}
+        best = max(logs.values())
+        share = 1 / sum(math.exp(v - best) for v in logs.values())
+        assert logs[r.lang_pred] >= best - 1e-3 and abs(r.score - share) < 1e-3

@@ -15,13 +15,20 @@ BITS = 16
 ORDERS = (1, 2, 3)
 #: Documents of a language that the model learns from, about; the hash of the id chooses them.
 SAMPLE = 1_500
+#: Languages that the model learns, those with the most documents: the matrix has a column of 256 KB for each.
+LANGUAGES = 400
 SMOOTHING = 0.5
 CHUNK = 1 << 20
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTERS = re.compile(r"[^\W\d_]+")
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; fractions, powers and Roman numerals are not."""
+    return any(c.isalpha() for m in LETTERS.finditer(text) for c in m.group())
+
+
 def _grams(text: str) -> Iterator[np.ndarray]:
     """Buckets of all 1- to 3-character runs of the lower-cased text, a chunk at a time."""
     step = CHUNK - max(ORDERS) + 1
@@ -46,17 +53,17 @@ def fit(docs: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> tuple[list[s
     """Languages and the log-probability matrix (buckets x languages), uniform prior.
 
     Learns from the text and the lang of rows that have an id, a text and a lang and are not
-    held out.  Of a language with more than ``sample`` such rows the hash of the id takes
-    that share, so the model's input is bounded; four times that is the limit whatever ids repeat.
+    held out, of the LANGUAGES languages with the most of them.  Of a language with more than
+    ``sample`` such rows the hash of the id takes that share, so the model's input is bounded.
     """
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rates = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("rate")).withColumnRenamed("lang", "_lang")
-    rates = scratch.keep(rates, "rates")  # one row for each language
+    rates = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    rates = scratch.keep(rates.select(F.col("lang").alias("_lang"), (F.lit(float(sample)) / F.col("n")).alias("rate")), "rates")
     languages = sorted(r._lang for r in rates.collect())
     if not languages:
         return [], np.zeros((1 << BITS, 0), np.float32)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where(share < F.col("rate")).select("lang", "text").limit(4 * sample * len(languages))
+    chosen = rows.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where(share < F.col("rate")).select("lang", "text")
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +91,7 @@ def predict(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(docs.sparkSession)
     languages, matrix = fit(docs, scratch)
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)  # 2**BITS rows, a float for each language
+    shared = docs.sparkSession.sparkContext.broadcast(matrix)  # 2**BITS rows, a float for each language, LANGUAGES at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -92,7 +99,7 @@ def predict(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             names, scores = [], []
             for value in batch.column(2):
                 text = value.as_py()
-                if not text or not languages or not LETTER.search(text):
+                if not text or not languages or not has_letter(text):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue

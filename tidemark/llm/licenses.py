@@ -66,8 +66,13 @@ SEQUENCES = (
 ) + tuple((name, (f"is-{name.lower()}",)) for name in NAMES)
 #: A text with a known sentence holds one of these.
 GATE = "(?i)" + "|".join(("licens", "licenc", "permission", "copyright", "redistribut", "warrant", r"public\s+domain", r"rights\s+reserved", r"(?:licensed|released|distributed|available|published)\s+under", r"gnu\s+general", "spdx", "mozilla"))
-ENDS = r"[.!?]+(?=\s|$)|[.!?:;]*\s*\n"
-WRAPPED_ENDS = r"[.!?]+(?=\s|$)|[:;]?\s*\n\s*\n"
+#: Sentences end at line ends, or only at blank lines; both at full stops that no number follows, and at semicolons.
+ENDS = r"[.!?]+(?=\s+[^\s0-9]|\s*$)|;(?=\s)|[.!?:;]*\s*\n"
+WRAPPED_ENDS = r"[.!?]+(?=\s+[^\s0-9]|\s*$)|;(?=\s)|[:;]?\s*\n\s*\n"
+#: What a line of a comment begins with in usual languages.
+COMMENT = r"(?m)^[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+|<!--+|dnl\b|rem\b|\|)(?=\s|$)[ \t]?"
+#: Words that may go on after a short statement.
+TAIL = "see|please|for|a copy|and|or|in|as|with|which|you|unless|c|copyright|the|refer|read|http|https|except|found|available|by|all|it"
 
 
 def known() -> dict[str, str]:
@@ -80,10 +85,11 @@ def known() -> dict[str, str]:
     return out
 
 
-def _sentence_ids(text: Column, ends: str, table: dict[str, str]) -> Column:
-    """Identifiers of the known sentences in order.  One entry per identifier holds its sentences, compared as a set."""
-    plain = F.transform(F.split(text, ends), lambda s: F.regexp_replace(F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), OPENING, "under "))
-    sentences = F.filter(plain, lambda s: s.isin(*table))
+FOUND = "array<struct<at:int,id:string>>"
+
+
+def _found(text: Column, ends: str, table: dict[str, str]) -> Column:
+    """The known sentences as ``at`` (how many words come before) and ``id``, in order."""
     by_key: dict[str, list[str]] = {}
     for sentence, key in table.items():
         by_key.setdefault(key, []).append(sentence)
@@ -94,16 +100,31 @@ def _sentence_ids(text: Column, ends: str, table: dict[str, str]) -> Column:
             out = F.when(s.isin(*forms), key).otherwise(out)
         return out
 
-    return F.transform(sentences, key_of)
+    short = "|".join(sorted((s[6:] for s in table if s.startswith("under ")), key=len, reverse=True))
+    known_form = rf"^(under (?:{short}))(?: (?:{TAIL})\b.*)?$"
+
+    def form(plain: Column) -> Column:
+        opened = F.regexp_replace(plain, OPENING, "under ")
+        cut = F.regexp_extract(opened, known_form, 1)
+        return F.when(opened.startswith("under ") & (cut != ""), cut).otherwise(opened)
+
+    def step(a: Column, s: Column) -> Column:
+        after = a["at"] + F.when(s == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "))) + 1)
+        return let(form(s), lambda f: F.struct(after.alias("at"), F.when(f.isin(*table), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), key_of(f).alias("id"))))).otherwise(a["out"]).alias("out")))
+
+    plain = F.transform(F.split(text, ends), lambda s: F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    return F.aggregate(plain, F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out")), step)["out"]
 
 
 def scan(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of every row of ``docs`` with ``licenses`` (array, by rule order) and ``sentence_ids`` (array, in text order).
 
-    Texts are cut into sentences at line ends and at full stops before white space;
-    a second cut joins lines that are only wrapped, and the one that knows more sentences is
-    used (the first if equal).  The identifiers' sequence is matched by the ordered rules:
-    longer sequences come before their parts, and what a rule matched is not matched again.
+    Comment marks at line starts are left out.  Texts are cut into sentences at line ends
+    and at full stops and semicolons before white space; a second cut joins lines that are
+    only wrapped.  What either knows is put in the order of the text by the words before
+    it, which both count alike; what both know is there once.  A short statement may go on
+    after the name.  The identifiers' sequence is matched by the ordered rules: longer
+    sequences come before their parts, and what a rule matched is not matched again.
     Null, empty or unmarked texts have neither; each row is judged by itself.
     """
     table = known()
@@ -116,8 +137,9 @@ def scan(docs: DataFrame, columns: list[str]) -> DataFrame:
         done = F.aggregate(rules, start, lambda a, r: F.when(F.contains(a["left"], r["keys"]), F.struct(F.replace(a["left"], r["keys"], F.lit(" | ")).alias("left"), F.concat(a["found"], F.array(r["name"])).alias("found"))).otherwise(a))
         return F.struct(F.array_distinct(done["found"]).alias("licenses"), ids.alias("sentence_ids"))
 
-    both = F.struct(_sentence_ids(text, ENDS, table).alias("a"), _sentence_ids(text, WRAPPED_ENDS, table).alias("b"))
-    ids = let(both, lambda x: F.when(F.size(x["b"]) > F.size(x["a"]), x["b"]).otherwise(x["a"]))
+    bare = F.regexp_replace(text, COMMENT, "")
+    both = let(bare, lambda x: F.array_sort(F.array_union(_found(x, ENDS, table), _found(x, WRAPPED_ENDS, table))))
+    ids = F.transform(both, lambda x: x["id"])
     found = F.when(text.rlike(GATE), let(ids, lambda i: F.when(F.size(i) > 0, matched(i)))).otherwise(F.lit(None))
     out = docs.select(*columns, found.alias("_f"))
     return out.select(*columns, F.coalesce("_f.licenses", none).alias("licenses"), F.coalesce("_f.sentence_ids", none).alias("sentence_ids"))
