@@ -22,7 +22,7 @@ class Latest:
     spark: SparkSession
     root: str
     key: str
-    folders: int = 64
+    folders: int = 16
 
     def _folder(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.folders)).cast("int")

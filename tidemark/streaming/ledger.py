@@ -27,7 +27,7 @@ class QueueLedger:
     candidates: DataFrame
     budget: float = 5_000_000
     daily_capacity: int = 500
-    folders: int = 64
+    folders: int = 16
 
     def __post_init__(self):
         self._customers = Latest(self.spark, f"{self.root}/customers", KEY, self.folders)

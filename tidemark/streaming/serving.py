@@ -29,7 +29,7 @@ class ServingTables:
     existing: DataFrame
     warm_model: object | str | None = None
     costs: DataFrame | None = None
-    folders: int = 64
+    folders: int = 16
 
     def __post_init__(self):
         if isinstance(self.warm_model, str):
