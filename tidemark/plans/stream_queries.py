@@ -163,11 +163,11 @@ def _scaled(x: str) -> str:
 @query("stream_action_queue", f"""WITH RECURSIVE {_PE_SEEDED},
 lt AS (SELECT date_trunc('week', "timestamp") AS wk, customer_id, max("timestamp") AS ts, arg_max(event_id, (epoch_us("timestamp"), event_id)) AS event_id FROM tr WHERE why <> '' GROUP BY 1, 2),
 wn AS (SELECT wk, row_number() OVER (ORDER BY wk) - 1 AS batch_id FROM (SELECT DISTINCT date_trunc('week', "timestamp") AS wk FROM e_events)),
-sq AS (SELECT lt.*, batch_id, CAST(ts AS DATE) AS d, row_number() OVER (ORDER BY wk, ts, event_id, customer_id) AS rn FROM lt JOIN wn USING (wk)),
+sq AS MATERIALIZED (SELECT lt.*, batch_id, CAST(ts AS DATE) AS d, row_number() OVER (ORDER BY wk, ts, event_id, customer_id) AS rn FROM lt JOIN wn USING (wk)),
 o AS (SELECT customer_id, i, CASE i WHEN 'low' THEN 1 WHEN 'mid' THEN 2 ELSE 4 END AS bit, CAST({_COST} AS DOUBLE) AS cost, CAST({_PROFIT} AS DOUBLE) AS pf FROM (SELECT DISTINCT customer_id FROM e_events), (SELECT unnest(['low', 'mid', 'high']) AS i)),
 om AS (SELECT *, pf / cost AS roi FROM o, (SELECT unnest(range(7)) AS mask) WHERE mask & bit = 0),
 op AS (SELECT *, 0.34 * {_scaled('pf')} + 0.28 * {_scaled('roi')} AS ap FROM om WINDOW k AS (PARTITION BY customer_id, mask)),
-rk AS (SELECT customer_id, mask, list({{'i': i, 'bit': bit, 'cost': cost, 'c': round(cost * 100)::BIGINT}} ORDER BY ap DESC, pf DESC, roi DESC, cost, i) AS opts FROM op GROUP BY 1, 2),
+rk AS MATERIALIZED (SELECT customer_id, mask, list({{'i': i, 'bit': bit, 'cost': cost, 'c': round(cost * 100)::BIGINT}} ORDER BY ap DESC, pf DESC, roi DESC, cost, i) AS opts FROM op GROUP BY 1, 2),
 walk AS (
   SELECT 0::BIGINT AS rn, NULL::BIGINT AS batch_id, NULL::DATE AS d, 0 AS dn, 0::BIGINT AS spent, 0::BIGINT AS back, MAP([0::BIGINT], [0::BIGINT]) AS used, MAP([0::BIGINT], [0::BIGINT]) AS opn, 0::BIGINT AS customer_id, 0::BIGINT AS event_id, '' AS status, '' AS i, 0::DOUBLE AS cost
   UNION ALL
