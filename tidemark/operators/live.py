@@ -100,24 +100,51 @@ def scored_events(events: DataFrame, base: DataFrame | None = None, event_id: st
 IDLE_DAYS, KEPT_DAYS = 11, 130
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed once per row: a generator keeps later steps from being computed by the same expressions again."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+#: Days that are ruled out at once where no score between them can reach the threshold.
+LOOK_DAYS = 6
+
+
 def silent_customers(events: DataFrame, until: str, base: DataFrame | None = None, event_id: str = "event_id") -> DataFrame:
     """Silences that call for attention: for each event followed by no other in time, the first whole day on which ``extended_inactivity`` holds.
 
     Silences end with the next event; what is open ends at ``until`` (SQL text of a
     timestamp).  Signals and inactivity are those of that day, ``prev_score`` is the score
-    after the event.  The batch form of the stream's timers.
+    after the event.  The batch form of the stream's timers.  A silence begins with the last
+    event of a day and ends with the first of another, so sums per customer and day are
+    enough.  Events without customer or time are left out.
     """
-    ev = scored_events(events, base, event_id).withColumn("_day", F.to_date("timestamp"))
-    state = ["timestamp", "realtime_churn_score", "base_churn_probability", *SIGNAL_NAMES]
-    before = previous_row(ev, [KEY], [("timestamp", True), (event_id, True)], state, "_day")
-    gaps = before.where("prev_timestamp IS NOT NULL").select(KEY, *[F.col(f"prev_{x}").alias(x) for x in state], F.col("timestamp").alias("_next"))
-    last = ev.groupBy(KEY).agg(F.max_by(F.struct(*state), F.struct("timestamp", event_id)).alias("s")).select(KEY, "s.*", F.lit(None).cast(dict(ev.dtypes)["timestamp"]).alias("_next"))
-    risk = " ".join(f"{'+' if w > 0 else '-'} {abs(w)} * {s} * pow(0.5D, k * 24 / {h}D)" for s, _, h, w in SIGNALS)
+    micros = "unix_micros(cast(timestamp AS timestamp))"
+    e = events.where(f"{KEY} IS NOT NULL AND timestamp IS NOT NULL").select(KEY, "timestamp", "event_type", F.expr(f"cast(floor({micros} / 86400000000D) AS bigint) AS _day")).withColumn("_stretch", F.expr(f"cast(floor(_day / {STRETCH_DAYS}) AS bigint)"))
+    hours = f"({micros} / 3600000000D - _stretch * {24 * STRETCH_DAYS}D)"
+    days = e.groupBy(KEY, "_stretch", "_day").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("timestamp"), *[F.expr(f"sum(CASE WHEN event_type = '{t}' THEN pow(2D, {hours} / {h}) ELSE 0D END) AS _x_{s}") for s, t, h, _ in SIGNALS])
+    # a customer's days in order: one sort serves the next day, the sums of a stretch and what the stretch before left
+    person, stretch = W.partitionBy(KEY).orderBy("_stretch", "_day"), W.partitionBy(KEY, "_stretch").orderBy("_stretch", "_day")
+    summed = days.select(KEY, "_stretch", "_day", "timestamp", F.lead("_first").over(person).alias("_next"), *[F.sum(f"_x_{s}").over(stretch.rowsBetween(W.unboundedPreceding, 0)).alias(f"_{s}") for s in SIGNAL_NAMES])
+    before = F.lag(F.struct("_stretch", *[f"_{s}" for s in SIGNAL_NAMES])).over(person)
+    carried = summed.withColumn("_before", before).withColumn("_before", F.first("_before").over(stretch.rowsBetween(W.unboundedPreceding, 0)))
+    long = carried.where(f"_next IS NULL OR _next > timestamp + make_dt_interval({IDLE_DAYS})")
+    left = lambda s, h: f"CASE WHEN _before._stretch = _stretch - 1 THEN _before._{s} * pow(2D, -{24 * STRETCH_DAYS}D / {h}) ELSE 0D END"
+    b = "0.5D"
+    if base is not None:
+        long = long.join(base.groupBy(KEY).agg(F.min("churn_probability").alias("_p")).selectExpr(KEY, "least(greatest(_p, 0.001), 0.999) AS _base"), KEY, "left")
+        b = "coalesce(_base, 0.5D)"
+    now = long.selectExpr(KEY, "timestamp", "_next", f"{b} AS base_churn_probability", "0D AS days_since_last_event", *[f"(_{s} + {left(s, h)}) * pow(2D, -{hours} / {h}) AS {s}" for s, _, h, _ in SIGNALS],
+                          f"cast(least({KEPT_DAYS - 1}, (unix_micros(cast(coalesce(_next, {until}) AS timestamp)) - {micros}) div 86400000000 + 1) AS int) AS _end")
+    now = _settled(live_score(now, "base_churn_probability").drop("days_since_last_event"))
+    worn_by = lambda k, up: " ".join(f"{'+' if w > 0 else '-'} {abs(w)} * {s} * pow(0.5D, {k} * 24 / {h}D)" for s, _, h, w in SIGNALS if up is None or (w > 0) == up)
+    # over days a to z the score is at most that with the inactivity and the wear of what lowers it of z, and the wear of what raises it of a
+    may = lambda a, z: f"(purchase_signal * pow(0.5D, {z} * 24 / 72D) <= 0.10 + 1e-9 AND base_churn_probability + 0.22 / (1 + exp(-({z} - 7) / 3D)) {worn_by(a, True)} {worn_by(z, False)} >= 0.65 - 1e-9)"
     day = "make_dt_interval(k)"
     ends = f"(_next IS NOT NULL AND timestamp + {day} < _next OR _next IS NULL AND timestamp + {day} <= {until})"
-    holds = f"purchase_signal * pow(0.5D, k * 24 / 72D) <= 0.10 AND least(greatest(base_churn_probability + 0.22 / (1 + exp(-(k - 7) / 3D)) {risk}, 0.001), 0.999) >= 0.65"
-    long = gaps.unionByName(last).where(f"_next IS NULL OR _next > timestamp + make_dt_interval({IDLE_DAYS})")
-    first = add(long, days_since_last_event=f"array_min(transform(sequence({IDLE_DAYS}, {KEPT_DAYS - 1}), k -> CASE WHEN {holds} THEN k END))")
+    holds = f"purchase_signal * pow(0.5D, k * 24 / 72D) <= 0.10 AND least(greatest(base_churn_probability + 0.22 / (1 + exp(-(k - 7) / 3D)) {worn_by('k', None)}, 0.001), 0.999) >= 0.65"
+    a, z = f"({IDLE_DAYS} + {LOOK_DAYS} * j)", f"least({IDLE_DAYS + LOOK_DAYS - 1} + {LOOK_DAYS} * j, _end)"
+    looked = f"aggregate(sequence(0, cast((_end - {IDLE_DAYS}) div {LOOK_DAYS} AS int)), cast(NULL AS int), (hit, j) -> CASE WHEN hit IS NOT NULL THEN hit WHEN {may(a, z)} THEN array_min(transform(sequence({a}, {z}), k -> CASE WHEN {holds} THEN k END)) END)"
+    first = _settled(add(now.where(f"_end >= {IDLE_DAYS}").where(may(IDLE_DAYS, "_end")), days_since_last_event=looked))
     hit = first.where("days_since_last_event IS NOT NULL").where(ends.replace("k)", "days_since_last_event)"))
     worn = hit.selectExpr(KEY, f"timestamp + {day.replace('(k)', '(days_since_last_event)')} AS timestamp", "'inactivity' AS event_type", "cast(days_since_last_event AS double) AS days_since_last_event", "realtime_churn_score AS prev_score",
                           "base_churn_probability", *[f"{s} * pow(0.5D, days_since_last_event * 24 / {h}D) AS {s}" for s, _, h, _ in SIGNALS])
