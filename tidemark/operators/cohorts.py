@@ -23,18 +23,18 @@ def cohort_retention_all(customers: DataFrame, events: DataFrame, *, periods: in
                          min_events: int = 1, end_month: int | None = None) -> DataFrame:
     """Every activity definition and both modes in one pass over the events.
 
-    Events shrink to (customer, month, type) counts first; a type is then fanned out
-    to the definitions that contain it, so the log is read once, not once per table.
+    Events shrink to one row per customer and month with a count for each definition, so the
+    log is read and grouped once; the rows of the definitions are laid out after that, and
+    no task groups them again by customer.
     """
     presets = presets or ACTIVITY_PRESETS
     spark = events.sparkSession
-    defs = spark.createDataFrame([(d, t) for d, types in presets.items() for t in types], "activity_definition string, event_type string")
     base = cut_lineage(customers.selectExpr(KEY, "acquisition_month AS cohort_month",
                                             "cast(substr(acquisition_month, 1, 4) AS int) * 12 + cast(substr(acquisition_month, 6, 2) AS int) AS _cm"))
-    monthly = events.selectExpr(KEY, "event_type", "year(timestamp) * 12 + month(timestamp) AS _em").where("_em IS NOT NULL").groupBy(
-        KEY, "event_type", "_em").agg(F.count(F.lit(1)).alias("_n"))
+    each = ", ".join(f"struct('{d}' AS activity_definition, count_if(event_type IN ({', '.join(repr(t) for t in types)})) AS _n)" for d, types in presets.items())
+    monthly = events.selectExpr(KEY, "event_type", "year(timestamp) * 12 + month(timestamp) AS _em").where(F.col("_em").isNotNull() & F.col("event_type").isin(*{t for types in presets.values() for t in types})).groupBy(KEY, "_em").agg(F.expr(f"array({each}) AS _d"))
     # read by the end of each definition and by both modes: written once
-    active = cut_lineage(monthly.join(F.broadcast(defs), "event_type").groupBy("activity_definition", KEY, "_em").agg(F.sum("_n").alias("_n")))
+    active = cut_lineage(monthly.select(KEY, "_em", F.inline("_d")).where("_n > 0").select("activity_definition", KEY, "_em", "_n"))
     last = active.groupBy("activity_definition").agg(F.max("_em").alias("_end"))
     hits = (
         active.where(F.col("_n") >= min_events).join(base, KEY).withColumn("period", F.expr("_em - _cm"))
