@@ -37,8 +37,7 @@ CONTEXT = r"(?i)(?:mail|phone|tel|call|fax|mobile|card|visa|account|iban|addr|co
 BEFORE = 24
 
 FEATURES = ("len", "digits", "runs", "longest", "shortest", "letters", "blanks", "dashes", "dots", "colons", "parens", "at", "context", "in_word", "letter_after", "quote_before", "is_text", "is_colons")
-#: Candidates that the trees are fitted on and their thresholds set on, at most.
-SAMPLE = 4_000
+FIELDS = [f"f_{f}" for f in FEATURES]
 #: Share of accepted candidates that must be right on the part not fitted on.
 PRECISION = 0.95
 #: Accepted candidates needed to set a threshold at all.
@@ -117,15 +116,17 @@ def _accepted(rows: DataFrame, scratch: Scratch) -> DataFrame | None:
     signs = F.regexp_replace(F.regexp_replace("c.s", AT, "@"), DOT, ".")
     spelt = (F.col("c.by") == "text") & signs.rlike(ADDRESS) | (F.col("c.by") == "colons") & F.col("c.s").rlike(IPV6)
     right = whole | spelt & ~touches
-    cands = scratch.keep(cands.select("rid", F.xxhash64("c.s", "c.before", "c.start").alias("key"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), "k", touches.alias("base"), right.cast("double").alias("label"), *[f"f_{f}" for f in FEATURES]), "candidates")
-    sample = scratch.keep(cands.withColumn("part", F.pmod("key", F.lit(2))).orderBy("key", "rid", "start").limit(SAMPLE).coalesce(1), "sample")
-    sides = {(r.part, r.label) for r in sample.select("part", "label").distinct().collect()}
+    cands = scratch.keep(cands.select("rid", F.xxhash64("c.s", "c.before", "c.start").alias("key"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), "k", touches.alias("base"), right.cast("double").alias("label"), *FIELDS), "candidates")
+    # equal candidates are one row with their number as weight: every candidate counts, and the same one lies on one half
+    shapes = cands.withColumn("part", F.pmod("key", F.lit(2))).groupBy("part", "k", "label", *FIELDS).agg(F.count("*").cast("double").alias("n"))
+    shapes = scratch.keep(shapes, "shapes")
+    sides = {(r.part, r.label) for r in shapes.select("part", "label").distinct().collect()}
     if not {(0, 0.0), (0, 1.0)} <= sides:
         return None
-    vectors = VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="features")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False).fit(vectors.transform(sample.where("part = 0")).select("features", "label"))
+    vectors = VectorAssembler(inputCols=FIELDS, outputCol="features")
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False, weightCol="n").fit(vectors.transform(shapes.where("part = 0")).select("features", "label", "n"))
     score = lambda df: trees.transform(vectors.transform(df)).withColumn("p", F.round(vector_to_array("probability")[1], 4))
-    levels = score(sample.where("part = 1")).groupBy("k", "p").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()  # SAMPLE rows at most
+    levels = score(shapes.where("part = 1")).groupBy("k", "p").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("right")).collect()  # 10,001 rows a kind at most: p has four digits
     limits = {}
     for k in range(len(KINDS)):
         n = right = 0.0
@@ -144,11 +145,11 @@ def find(docs: DataFrame, columns: list[str], scratch: Scratch | None = None) ->
 
     ``_base`` holds the fixed patterns' valid matches; ``_spans`` those and the candidates,
     free of any base span, whose score reaches the threshold of their kind.  The trees learn
-    from a bounded sample of candidates: one that mostly consists of a base span is
+    from half of all candidates, equal ones as one row with a weight: one that mostly consists of a base span is
     personal, and so are a written-out address that is one with its signs put in and the
     eight groups of an IPv6 address; others are not; format and surroundings are shown to them, the plus sign and
     the checksum are not, so that spans of the same shape without those can be accepted.
-    Thresholds come from the half of the sample not fitted on.  With too few examples
+    Thresholds come from all of the half not fitted on.  With too few examples
     nothing is added.  Null text is empty and has no spans; repeated rows each get theirs.
     """
     return _found(docs, columns, scratch).select(*unpacked(columns), "_base", "_spans")
