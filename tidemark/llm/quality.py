@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, Scratch, let, once, rows_of, sampled, unpacked, words
+from .common import SPACE, Scratch, let, once, rows_of, unpacked, words
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -17,15 +16,17 @@ MAX_REPEAT = 20
 SYMBOLS = "#*$%&|<>"
 
 BUCKETS = 1 << 14
-#: Labelled documents, about, that the thresholds and the toxic n-grams are fitted on, per label.
-SAMPLE = 5_000
-#: Trusted documents, about, that the trusted multinomial is fitted on (ids of 8 bytes are broadcast); the raw one covers all documents.
-TRUSTED = 50_000
+#: Digits of a score that a threshold tells apart; they bound the levels that are counted for it.
+DIGITS = 4
+#: Blocks of 32,768 neighbouring ids whose labels are broadcast as bits (12 KB a block); with ids further apart labels are joined.
+BIT_BLOCKS = 4_096
+#: Which labels make a side.
+SIDES = {"good": "quality = 1 AND coalesce(toxic, 0) = 0", "bad": "quality = 0", "toxic": "toxic = 1"}
 #: Toxic n-grams that are kept, the documents that must hold one, and how many of a document's decide.
 TOXIC_GRAMS, TOXIC_LEAST, TOXIC_TOP = 512, 3, 3
 #: Pseudo-count of a bucket: how many expected occurrences it takes to trust a ratio.
 PRIOR = 5.0
-#: Share of trusted sample documents that the threshold may reject.
+#: Share of trusted documents that the threshold may reject.
 FALSE_REJECTS = 0.002
 
 
@@ -100,70 +101,80 @@ class Model:
 
 def _toxic_grams(part: DataFrame) -> tuple[tuple[int, float], ...]:
     """N-grams that more of the toxic documents hold than of the trusted ones, with the log ratio of the two shares; the most telling TOXIC_GRAMS."""
-    of = {r.side: r["count"] for r in part.groupBy("side").count().collect()}  # at most 3 rows
-    n_toxic, n_good = of.get("toxic", 0), of.get("good", 0)
-    held = part.where("side <> 'bad'").select("side", F.explode(F.array_distinct(let(words(F.col("text")), _grams))).alias("h"))
-    counts = held.groupBy("h").agg(F.count_if(F.col("side") == "toxic").alias("t"), F.count_if(F.col("side") == "good").alias("g")).where(F.col("t") >= min(TOXIC_LEAST, n_toxic))
+    n_toxic, n_good = part.agg(*[F.count_if(F.array_contains("sides", x)) for x in ("toxic", "good")]).first()
+    told = part.where(F.arrays_overlap("sides", F.array(F.lit("toxic"), F.lit("good"))))
+    held = told.select(F.array_contains("sides", "toxic").alias("toxic"), F.array_contains("sides", "good").alias("good"), F.explode(F.array_distinct(let(words(F.col("text")), _grams))).alias("h"))
+    counts = held.groupBy("h").agg(F.count_if("toxic").alias("t"), F.count_if("good").alias("g")).where(F.col("t") >= min(TOXIC_LEAST, n_toxic))
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("g") + 0.5) / (n_good + 1))
     top = counts.select("h", "t", weight.alias("w")).where("w > 0").orderBy((F.col("t") * F.col("w")).desc(), "h").limit(TOXIC_GRAMS)
     return tuple((r.h, round(r.w, 4)) for r in top.collect())
 
 
-def _parting(good: np.ndarray, bad: np.ndarray) -> float | None:
-    """The level below which a score is bad: least sum of error rates among those that reject at most FALSE_REJECTS of the good."""
-    if not len(good) or not len(bad):
+def _parting(good: dict[float, int], bad: dict[float, int]) -> float | None:
+    """The level below which a score is bad: least sum of error rates among those that reject at most FALSE_REJECTS of the good. Scores come with their numbers."""
+    if not good or not bad:
         return None
-    good, bad = np.sort(good), np.sort(bad)
-    levels = np.unique(np.concatenate([good, bad]))
-    wrong = np.searchsorted(good, levels) / len(good)
-    caught = np.searchsorted(bad, levels) / len(bad)
+    levels = np.array(sorted({*good, *bad}))
+    below_of = lambda side: (lambda n: (np.cumsum(n) - n) / n.sum())(np.array([side.get(x, 0) for x in levels.tolist()], float))
+    wrong, caught = below_of(good), below_of(bad)
     allowed = np.flatnonzero(wrong <= FALSE_REJECTS)
     best = allowed[np.argmax((caught - wrong)[allowed])]
     below = levels[best - 1] if best else levels[best] - 1.0
     return float(round((levels[best] + below) / 2, 6))
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE, trusted: int = TRUSTED) -> Model:
+def _sided(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, text`` of every document with a flag for each side of SIDES; texts are only shuffled if the ids lie far apart."""
+    ids = labels.where("doc_id IS NOT NULL")
+    bits = scratch.keep(ids.groupBy(F.bitmap_bucket_number("doc_id").alias("_block")).agg(*[F.expr(f"bitmap_construct_agg(bitmap_bit_position(doc_id)) FILTER (WHERE {x})").alias(f"_{side}") for side, x in SIDES.items()]), "bits")
+    rows = docs.select("doc_id", "text")
+    if bits.count() <= BIT_BLOCKS:
+        at = "bitmap_bit_position(doc_id)"
+        held = lambda side: f"coalesce(bit_get(cast(conv(hex(substring(_{side}, cast({at} div 8 AS int) + 1, 1)), 16, 10) AS int), cast({at} % 8 AS int)) = 1, false) AS {side}"
+        return rows.withColumn("_block", F.bitmap_bucket_number("doc_id")).join(F.broadcast(bits), "_block", "left").selectExpr("doc_id", "text", *[held(side) for side in SIDES])
+    flags = ids.groupBy("doc_id").agg(*[F.expr(f"bool_or(coalesce({x}, false)) AS {side}") for side, x in SIDES.items()])
+    return rows.join(flags, "doc_id", "left").selectExpr("doc_id", "text", *[f"coalesce({side}, false) AS {side}" for side in SIDES])
+
+
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     """Trusted against raw multinomials over hashed n-grams.
 
-    Raw counts come from every document, trusted counts from about ``trusted`` of those that
-    are labelled good and not toxic, chosen by a hash of the id; one pass over the texts
-    makes both, and only bucket counts leave a task.  Ratio of a bucket: (trusted count +
-    prior) over (expected trusted count + prior).  The threshold is the score that best parts
-    about ``sample`` trusted documents and as many of low quality, chosen likewise (least sum
-    of error rates), among those that reject at most FALSE_REJECTS of the trusted ones.
-    Without trusted documents nothing is judged by it.
+    Raw counts come from every document, trusted counts from every one that is labelled good
+    and not toxic; one pass over the texts makes both, and only bucket counts leave a task.
+    Ratio of a bucket: (trusted count + prior) over (expected trusted count + prior).  The
+    threshold is the score, to DIGITS, that best parts all trusted documents and all of low
+    quality (least sum of error rates), among those that reject at most FALSE_REJECTS of the
+    trusted ones.  Without trusted documents nothing is judged by it.
 
     Documents labelled toxic, whatever their quality, have a model of their own, since a few
-    words make them so: the n-grams are found on one half of the samples and the threshold
-    is set on the other by the same rule (on all of them if a half has no toxic document).
+    words make them so: the n-grams are found on one half of the labelled documents and the
+    threshold is set on the other by the same rule (on all of them if a half has no toxic document).
     """
-    sides = {"good": "quality = 1 AND coalesce(toxic, 0) = 0", "bad": "quality = 0", "toxic": "toxic = 1"}
-    ids = labels.where("doc_id IS NOT NULL")
-    sizes = ids.agg(*[F.count_if(F.expr(x)).alias(side) for side, x in sides.items()]).first()
-    pick = lambda side, bound: sampled(ids.where(sides[side]).select("doc_id"), "doc_id", sizes[side], bound).distinct()
-    chosen = reduce(DataFrame.union, [pick(side, sample).withColumn("side", F.lit(side)) for side in sides])  # about 3 * sample ids
-    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
-    part = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("side", half.alias("half"), "text"), "labelled")
+    marked = _sided(docs, labels, scratch)
     grams = let(words(F.col("text")), _grams)
-
-    marked = docs.select("doc_id", "text").join(F.broadcast(pick("good", trusted).withColumn("good", F.lit(1))), "doc_id", "left")
     buckets = let(grams, lambda g: F.transform(g, _bucket))
-    counted = marked.select("good", F.explode_outer(buckets).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("good")).where("b IS NOT NULL")
+    counted = marked.select(F.when(F.col("good"), 1).alias("good"), F.explode_outer(buckets).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("good")).where("b IS NOT NULL")
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counted.collect():  # BUCKETS rows at most
         raw[r.b], good[r.b] = r.raw, r.good
     if not good.sum():
         return Model((0.0,) * BUCKETS, None)
     weights = np.log((good + PRIOR) / (raw * (good.sum() / raw.sum()) + PRIOR))
-    halves = {r.half for r in part.where("side = 'toxic'").select("half").distinct().collect()}
-    learn, held_out = (part.where("half"), ~F.col("half")) if len(halves) == 2 else (part, F.lit(True))
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
+    sides = F.filter(F.array(*[F.when(F.col(side), F.lit(side)) for side in SIDES]), lambda x: x.isNotNull())
+    part = marked.where(" OR ".join(SIDES)).select(half.alias("half"), "text", sides.alias("sides"))
+    halves = {r.half for r in part.where(F.array_contains("sides", "toxic")).select("half").distinct().collect()}
+    learn, held_out = (part.where("half"), F.expr("NOT half")) if len(halves) == 2 else (part, F.lit(True))
     model = Model(tuple(weights.round(4).tolist()), None, _toxic_grams(learn) if halves else ())
-    made = let(grams, lambda g: F.struct(model.score(g).alias("s"), model.toxic_score(g).alias("t")))
-    scored = once(part, made.alias("m")).select("side", held_out.alias("held_out"), "m.s", "m.t").where("s IS NOT NULL").toPandas()  # bounded by the sample
-    of = lambda side, rows=True: scored[(scored.side == side) & rows]
-    threshold = _parting(of("good").s.to_numpy(), of("bad").s.to_numpy())
-    limit = _parting(-of("good", scored.held_out).t.to_numpy(), -of("toxic", scored.held_out).t.to_numpy()) if model.toxic else None
+    made = let(grams, lambda g: F.struct(F.round(model.score(g), DIGITS).alias("s"), F.round(model.toxic_score(g), DIGITS).alias("t")))
+    scored = once(part.select("sides", "text", held_out.alias("held_out")), made.alias("m")).where("m.s IS NOT NULL")
+    each = scored.select(F.explode("sides").alias("side"), F.expr("m.s AS s"), F.expr("CASE WHEN held_out THEN m.t END AS t")).select("side", F.expr("inline(array(struct('s' AS kind, s AS v), struct('t' AS kind, t AS v)))"))
+    levels: dict = {}
+    for r in each.where("v IS NOT NULL").groupBy("side", "kind", "v").count().collect():  # scores to DIGITS
+        levels.setdefault((r.side, r.kind), {})[r.v] = r["count"]
+    threshold = _parting(levels.get(("good", "s"), {}), levels.get(("bad", "s"), {}))
+    turned = lambda side: {-v: n for v, n in levels.get((side, "t"), {}).items()}
+    limit = _parting(turned("good"), turned("toxic")) if model.toxic else None
     return Model(model.weights, threshold, model.toxic, None if limit is None else -limit)
 
 
@@ -197,6 +208,6 @@ def _judged(docs: DataFrame, labels: DataFrame, scratch: Scratch | None) -> Data
     made = let(words(text), lambda w: let(_grams(w), lambda g: F.struct(*base_counts(w, text), model.score(g).alias("score"), model.toxic_score(g).alias("toxic"))))
     n, r = F.col("_q.n_words"), F.col("_q.n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * r > MAX_REPEAT * n)
-    good = F.lit(True) if model.threshold is None else F.coalesce(F.col("_q.score") >= model.threshold, F.lit(False))
+    good = F.lit(True) if model.threshold is None else F.coalesce(F.round("_q.score", DIGITS) >= model.threshold, F.lit(False))
     clean = F.lit(True) if model.toxic_threshold is None else F.col("_q.toxic") <= model.toxic_threshold
     return once(rows_of(docs), made.alias("_q")).select("_row", "_q", failed.alias("base_failed"), (~failed & good & clean).alias("kept"))
