@@ -9,190 +9,125 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.live import IDLE_DAYS, KEY, KEPT_DAYS, SIGNALS, live_score, reoptimize_triggers
+from ..operators.live import KEY, SIGNAL_NAMES, live_score, reoptimize_triggers
+from . import keyed
+from .keyed import GROUPS, NO_ID, due_us, expire, frames_of, give_bases, group_of, unpack, walk, with_keys, base_of
 
 # the process that sets up a stateful query is started without the driver's module path: it gets the class itself
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+for _module in (sys.modules[__name__], keyed):
+    cloudpickle.register_pickle_by_value(_module)
 
 _US_DAY = 86_400_000_000
-_NAMES = [s for s, *_ in SIGNALS]
-OUTPUT = f"{KEY} bigint, event_id bigint, timestamp timestamp, event_type string, status string, total_events_seen bigint, prev_score double, days_since_last_event double, base_churn_probability double, " + ", ".join(f"{s} double" for s in _NAMES)
-_STATE = "last_us bigint, n bigint, score double, silent_day int, fired boolean, " + ", ".join(f"s{i} double" for i in range(len(SIGNALS)))
+OUTPUT = f"{KEY} bigint, event_id bigint, timestamp timestamp, event_type string, status string, total_events_seen bigint, prev_score double, days_since_last_event double, base_churn_probability double, " + ", ".join(f"{s} double" for s in SIGNAL_NAMES)
 #: Rows that one output frame holds.
 _CHUNK = 50_000
-#: Stands for a missing event id inside the state function, whose frames have no null integers.
-_NO_ID = -(1 << 63)
+_NEVER = (1 << 63) - 1
 
 
 class LiveScores(StatefulProcessor):
-    """One customer's signals.
+    """The signals of a group of customers.
 
-    A batch's rows are kept as three narrow arrays, however many frames they come in, and
-    applied in event-time order (ties by id).  A row older than the watermark is handed on
-    as ``late`` and changes nothing; one older than the state does not decay it.
+    A batch's rows are kept as narrow arrays, however many frames they come in, and
+    applied in event-time order (ties by id), to all customers of the group at once.  A row
+    older than the watermark is handed on as ``late`` and changes nothing; one older than
+    the state does not decay it.
 
     After each event it is known on which day of silence, if any, the score calls for
-    attention: a timer is set for it.  It fires once the watermark is there, or, should the
-    next event come with the same batch, in between.  A customer silent for ``KEPT_DAYS``,
-    when every signal is worn off, keeps the base score alone.
+    attention.  The group's timer is set for the first of these days.  It fires once the
+    watermark is there, or, should a customer's next event come with the same batch, in
+    between.  A customer silent for ``KEPT_DAYS``, when every signal is worn off, keeps the
+    base score alone.
     """
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._live = handle.getValueState("live", _STATE)
-        self._base = handle.getValueState("base", "base double")
+        self._live = handle.getValueState("customers", "states binary, timer bigint")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        given = initialState["churn_probability"].dropna()
-        if len(given):
-            self._base.update((float(min(max(given.iloc[0], 0.001), 0.999)),))
+        state, timer = self._read()
+        self._write(give_bases(state, initialState[KEY].to_numpy("int64"), initialState["churn_probability"].to_numpy(float)), timer)
 
     def close(self) -> None:
         pass
 
-    def _read(self, base: float):
-        import numpy as np
-
-        if self._live.exists():
-            last, n, score, day, fired, *sig = self._live.get()
-            return last, n, score, day, fired, np.array(sig, float)
-        return None, 0, base, 0, False, np.zeros(len(SIGNALS))
-
-    def _set_timer(self, last: int, day: int) -> None:
-        self._handle.registerTimer(-(-(last + day * _US_DAY) // 1000))
+    def _read(self):
+        states, timer = self._live.get() if self._live.exists() else (None, _NEVER)
+        return unpack(states), timer
+
+    def _write(self, state, timer: int) -> None:
+        """Keeps the states and sets the group's timer for the first of them."""
+        due = int(due_us(state).min()) if len(state) else _NEVER
+        if due != timer:
+            if timer != _NEVER:
+                self._handle.deleteTimer(timer)
+            if due != _NEVER:
+                self._handle.registerTimer(due)
+        if len(state):
+            self._live.update((state.tobytes(), due))
+        else:
+            self._live.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import numpy as np
 
-        codes = {t: i for i, (_, t, _, _) in enumerate(SIGNALS)}
-        kinds, parts = dict(codes), []
-        for pdf in rows:
-            kind = pdf["event_type"].map(lambda t: kinds.setdefault(t, len(kinds))).to_numpy(np.int64)
-            parts.append((pdf["timestamp"].to_numpy("datetime64[us]").astype(np.int64), pdf["event_id"].to_numpy(np.int64), kind))
-        us, ids, kind = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        name = np.array(list(kinds), object)
-        base = self._base.get()[0] if self._base.exists() else 0.5
-        last, n, score, day, fired, sig = self._read(base)
-        out = _Rows(key[0], base)
+        who, us, ids, kind, names = frames_of(rows)
+        state, timer = self._read()
         late = us < timerValues.getCurrentWatermarkInMs() * 1000
+        state = with_keys(state, np.unique(who))
         if late.any():
-            out.add(ids[late], us[late], name[kind[late]], "late", n, score, 0.0, np.repeat(sig[None], late.sum(), 0))
-            us, ids, kind = us[~late], ids[~late], kind[~late]
-        if not len(us):
-            yield from out.frames()
-            return
-        order = np.lexsort((ids, us))
-        us, ids, kind = us[order], ids[order], kind[order]
-        known = last is not None
-        if known:
-            for d in {day if not fired else 0, KEPT_DAYS} - {0}:
-                self._handle.deleteTimer(-(-(last + d * _US_DAY) // 1000))
-        at = np.maximum(us, last) if known else us
-        half = np.array([h * 3.6e9 for _, _, h, _ in SIGNALS])
-        # stretches without a long silence; a stretch is also cut before its weights overflow
-        start, long = 0, np.flatnonzero(np.diff(at) >= IDLE_DAYS * _US_DAY) + 1
-        while start < len(at):
-            if known and at[start] - last >= IDLE_DAYS * _US_DAY:
-                if day and not fired and last + day * _US_DAY < at[start]:
-                    out.silent(last, day, n, score, sig)
-                if at[start] - last >= KEPT_DAYS * _US_DAY:
-                    n, sig = 0, np.zeros(len(SIGNALS))
-            ref = last if known and at[start] - last <= 400 * half.min() else at[start]
-            if known and ref != last:
-                sig = sig * 0.5 ** ((ref - last) / half)
-            after = int(np.searchsorted(long, start, side="right"))
-            stop = min(int(long[after]) if after < len(long) else len(at), int(np.searchsorted(at, ref + 500 * half.min(), side="right")))
-            dt = (at[start:stop] - ref)[:, None] / half
-            hit = (kind[start:stop, None] == np.arange(len(SIGNALS))) * 2.0**dt
-            sigs = (sig + np.cumsum(hit, 0)) * 0.5**dt
-            scores = _score(sigs, 0.0, base)
-            out.add(ids[start:stop], us[start:stop], name[kind[start:stop]], "applied", n + np.arange(1, stop - start + 1), np.concatenate([[score], scores[:-1]]), 0.0, sigs)
-            sig, last, n, score, known = sigs[-1], int(at[stop - 1]), n + stop - start, float(scores[-1]), True
-            day, fired = _silent_day(sig, base), False
-            start = stop
-            if out.rows > _CHUNK:
-                yield from out.frames()
-        self._live.update((last, n, score, day, fired, *[float(x) for x in sig]))
-        if day:
-            self._set_timer(last, day)
-        self._set_timer(last, KEPT_DAYS)
-        yield from out.frames()
+            then = state[np.searchsorted(state["key"], who[late])]
+            base = base_of(then)
+            yield from _frames({"key": who[late], "id": ids[late], "us": us[late], "kind": kind[late], "seen": np.where(then["known"], then["n"], 0), "prev": np.where(then["known"], then["score"], base),
+                                "sig": np.where(then["known"][:, None], then["sig"], 0.0), "base": base}, "late", names)
+        if not late.all():
+            done, quiet = walk(state, *(x[~late] for x in (who, us, ids, kind)), silences=True)
+            yield from _frames(done, "applied", names)
+            yield from _silent(quiet)
+        self._write(state[state["known"] | ~np.isnan(state["base"])], timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        if not self._live.exists():
-            return
-        base = self._base.get()[0] if self._base.exists() else 0.5
-        last, n, score, day, fired, sig = self._read(base)
-        if expiredTimerInfo.getExpiryTimeInMs() * 1000 >= last + KEPT_DAYS * _US_DAY:
-            self._live.clear()
-        elif day and not fired:
-            self._live.update((last, n, score, day, True, *[float(x) for x in sig]))
-            out = _Rows(key[0], base)
-            out.silent(last, day, n, score, sig)
-            yield from out.frames()
+        state, timer = self._read()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        state, quiet = expire(state, max(at, timerValues.getCurrentWatermarkInMs()))
+        yield from _silent(quiet)
+        self._write(state, timer if timer > at else _NEVER)  # the one that fired is gone
 
 
-class _Rows:
-    """A customer's output rows, put together as few frames."""
-
-    def __init__(self, customer: int, base: float):
-        self.customer, self.base, self.parts, self.rows = customer, base, [], 0
-
-    def add(self, ids, us, kinds, status: str, seen, prev, days: float, sig) -> None:
-        self.parts.append((ids, us, kinds, status, seen, prev, days, sig))
-        self.rows += len(us)
-
-    def silent(self, last: int, day: int, n: int, score: float, sig) -> None:
-        import numpy as np
-
-        half = np.array([h for _, _, h, _ in SIGNALS])
-        self.add(np.array([_NO_ID]), np.array([last + day * _US_DAY]), np.array(["inactivity"], object), "silent", n, score, float(day), (sig * 0.5 ** (day * 24 / half))[None])
-
-    def frames(self) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        if not self.parts:
-            return
-        sizes = [len(p[1]) for p in self.parts]
-        col = lambda i: np.concatenate([np.broadcast_to(p[i], n) for p, n in zip(self.parts, sizes)])
-        out = pd.DataFrame({KEY: self.customer, "event_id": col(0), "timestamp": col(1).astype("datetime64[us]"), "event_type": col(2), "status": np.repeat(np.array([p[3] for p in self.parts], object), sizes),
-                            "total_events_seen": col(4), "prev_score": col(5), "days_since_last_event": col(6), "base_churn_probability": self.base})
-        sig = np.concatenate([p[7] for p in self.parts])
-        for i, s in enumerate(_NAMES):
-            out[s] = sig[:, i]
-        self.parts, self.rows = [], 0
-        yield out
-
-
-def _score(sig, days, base):
+def _frames(rows: dict, status: str, names, days=0.0) -> Iterator:
     import numpy as np
-
-    risk = 0.22 / (1 + np.exp(-(days - 7) / 3)) + sig @ np.array([w for *_, w in SIGNALS])
-    return np.clip(base + risk, 0.001, 0.999)
+    import pandas as pd
+
+    n = len(rows["key"])
+    for i in range(0, n, _CHUNK):
+        part = {k: x[i:i + _CHUNK] for k, x in rows.items()}
+        out = pd.DataFrame({KEY: part["key"], "event_id": part["id"], "timestamp": part["us"].astype("datetime64[us]"), "event_type": names[part["kind"]], "status": status, "total_events_seen": part["seen"],
+                            "prev_score": part["prev"], "days_since_last_event": np.broadcast_to(days, n)[i:i + _CHUNK], "base_churn_probability": part["base"]})
+        for j, s in enumerate(SIGNAL_NAMES):
+            out[s] = part["sig"][:, j]
+        yield out
 
 
-def _silent_day(sig, base: float) -> int:
-    """The first day of silence that calls for attention; 0 if none does while the state is kept."""
+def _silent(quiet: dict) -> Iterator:
     import numpy as np
 
-    days = np.arange(IDLE_DAYS, KEPT_DAYS)
-    worn = sig * 0.5 ** (days[:, None] * 24 / np.array([h for _, _, h, _ in SIGNALS]))
-    wanted = (worn[:, _NAMES.index("purchase_signal")] <= 0.10) & (_score(worn, days, base) >= 0.65)
-    return int(days[wanted.argmax()]) if wanted.any() else 0
+    days, n = quiet["day"].astype(float), len(quiet["key"])
+    rows = {"key": quiet["key"], "id": np.full(n, NO_ID), "us": quiet["last"] + quiet["day"].astype(np.int64) * _US_DAY, "kind": np.zeros(n, np.int64), "seen": quiet["seen"], "prev": quiet["prev"],
+            "sig": quiet["sig"] * 0.5 ** (days[:, None] * 24 / keyed._HALF_HOURS), "base": quiet["base"]}
+    yield from _frames(rows, "silent", np.array(["inactivity"], object), days)
 
 
-def live_stream(events: DataFrame, base: DataFrame | None = None, watermark: str = "1 day") -> DataFrame:
+def live_stream(events: DataFrame, base: DataFrame | None = None, watermark: str = "1 day", groups: int = GROUPS) -> DataFrame:
     """Every event with its scores and triggers, and a row of its own for each silence that calls for attention.
 
     ``status`` is ``applied``, ``silent`` (event_id null, timestamp the day it fires) or
     ``late``; late rows show the state as it stood.  ``base`` (customer_id,
     churn_probability) is the state's first content, read once when the stream begins; a
     customer it does not know starts from one half.  Events without customer or time must
-    be left out before.
+    be left out before.  States are kept by ``groups`` hash groups of customers; a
+    checkpoint holds for one number of them.
     """
     # the watermark's own column goes before the state, or rows behind it would be dropped unseen
-    e = events.select(KEY, F.coalesce("event_id", F.lit(_NO_ID)).alias("event_id"), "timestamp", "event_type", F.col("timestamp").alias("_seen")).withWatermark("_seen", watermark).drop("_seen")
-    first = base.select(KEY, "churn_probability").groupBy(KEY) if base is not None else None
-    st = e.groupBy(KEY).transformWithStateInPandas(LiveScores(), OUTPUT, "Append", "EventTime", first, eventTimeColumnName="timestamp")
-    return reoptimize_triggers(live_score(st.withColumn("event_id", F.nullif("event_id", F.lit(_NO_ID))), "base_churn_probability"))
+    e = events.select(KEY, F.coalesce("event_id", F.lit(NO_ID)).alias("event_id"), "timestamp", "event_type", F.col("timestamp").alias("_seen")).withWatermark("_seen", watermark).drop("_seen")
+    first = base.select(KEY, "churn_probability").where(F.col(KEY).isNotNull()).withColumn("_group", group_of(groups)).groupBy("_group") if base is not None else None
+    st = e.withColumn("_group", group_of(groups)).groupBy("_group").transformWithStateInPandas(LiveScores(), OUTPUT, "Append", "EventTime", first, eventTimeColumnName="timestamp")
+    return reoptimize_triggers(live_score(st.withColumn("event_id", F.nullif("event_id", F.lit(NO_ID))), "base_churn_probability"))

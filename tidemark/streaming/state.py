@@ -2,70 +2,64 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.live import KEY, SIGNALS, live_score, reoptimize_triggers
+from ..operators.live import KEY, SIGNAL_NAMES, live_score, reoptimize_triggers
+from . import keyed
+from .keyed import GROUPS, NO_ID, frames_of, give_bases, group_of, unpack, walk, with_keys
 
-_OUT = f"{KEY} bigint, event_id bigint, timestamp timestamp, event_type string, total_events_seen bigint, prev_score double, " + ", ".join(f"{s} double" for s, *_ in SIGNALS)
-_STATE = "last_us bigint, n bigint, base double, score double, " + ", ".join(f"s{i} double" for i in range(len(SIGNALS)))
+for _module in (sys.modules[__name__], keyed):
+    cloudpickle.register_pickle_by_value(_module)
+
+_OUT = f"{KEY} bigint, event_id bigint, timestamp timestamp, event_type string, total_events_seen bigint, prev_score double, " + ", ".join(f"{s} double" for s in SIGNAL_NAMES)
+#: Rows that one output frame holds.
+_CHUNK = 50_000
 
 
 def _advance(key, pdfs: Iterator, state) -> Iterator:
-    """One customer's rows of a batch, in event-time order (ties by id), applied as array operations."""
+    """A batch's rows of a group of customers, in event-time order (ties by id), applied to all of them at once."""
     import numpy as np
     import pandas as pd
 
-    pdf = pd.concat(list(pdfs)).sort_values(["timestamp", "event_id"], kind="stable")
-    half = np.array([h * 3.6e9 for _, _, h, _ in SIGNALS])
-    weight = np.array([w for *_, w in SIGNALS])
-    kinds = [t for _, t, _, _ in SIGNALS]
-    if state.exists:
-        last, n, base, score, *sig = state.get
-        sig = np.array(sig, float)
-    else:
-        given = pdf["base_churn_probability"].dropna()
-        base = float(min(max(given.iloc[0], 0.001), 0.999)) if len(given) else 0.5
-        last, n, score, sig = None, 0, base, np.zeros(len(SIGNALS))
-    us = pdf["timestamp"].to_numpy("datetime64[us]").astype("int64")
-    # an event older than the state does not decay it
-    us = np.maximum(us, last if last is not None else us[0])
-    ind = np.stack([(pdf["event_type"] == t).to_numpy(float) for t in kinds], 1)
-    out = np.empty_like(ind)
-    start, limit = 0, 500 * half.min()
-    while start < len(us):
-        ref = last if last is not None else us[0]
-        # weights grow as 2^(dt / half-life): long spans are cut before they overflow
-        if us[start] - ref > limit:
-            sig = sig * 0.5 ** ((us[start] - ref) / half)
-            last = ref = us[start]
-        stop = int(np.searchsorted(us, ref + limit, side="right"))
-        dt = (us[start:stop] - ref)[:, None] / half[None, :]
-        out[start:stop] = (sig[None, :] + np.cumsum(ind[start:stop] * 2.0**dt, 0)) * 0.5**dt
-        sig, last, start = out[stop - 1], int(us[stop - 1]), stop
-    risk = 0.22 / (1 + np.exp(7 / 3)) + out @ weight
-    scores = np.clip(base + risk, 0.001, 0.999)
-    prev = np.concatenate([[score], scores[:-1]])
-    seen = n + np.arange(1, len(us) + 1)
-    state.update((last, int(seen[-1]), base, float(scores[-1]), *[float(x) for x in sig]))
-    res = pd.DataFrame({KEY: key[0], "event_id": pdf["event_id"].to_numpy(), "timestamp": pdf["timestamp"].to_numpy(), "event_type": pdf["event_type"].to_numpy(), "total_events_seen": seen, "prev_score": prev})
-    for i, (s, *_) in enumerate(SIGNALS):
-        res[s] = out[:, i]
-    res["base_churn_probability"] = base
-    yield res
-
-
-def scored_stream(events: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    bases = []
+
+    def seen():
+        for pdf in pdfs:
+            bases.append((pdf[KEY].to_numpy(np.int64), pdf["base_churn_probability"].to_numpy(float)))
+            yield pdf
+
+    who, us, ids, kind, names = frames_of(seen())
+    states = unpack(state.get[0] if state.exists else None)
+    old = states["key"].copy()  # who is known keeps the base of the first batch
+    given = np.concatenate([b for _, b in bases])
+    given[np.isin(who, old)] = np.nan
+    states = with_keys(give_bases(states, who, given), np.unique(who))
+    rows, _ = walk(states, who, us, ids, kind, silences=False)
+    state.update((states.tobytes(),))
+    for i in range(0, len(who), _CHUNK):
+        part = {k: x[i:i + _CHUNK] for k, x in rows.items()}
+        res = pd.DataFrame({KEY: part["key"], "event_id": part["id"], "timestamp": part["us"].astype("datetime64[us]"), "event_type": names[part["kind"]], "total_events_seen": part["seen"], "prev_score": part["prev"]})
+        for j, s in enumerate(SIGNAL_NAMES):
+            res[s] = part["sig"][:, j]
+        res["base_churn_probability"] = part["base"]
+        yield res
+
+
+def scored_stream(events: DataFrame, base: DataFrame | None = None, groups: int = GROUPS) -> DataFrame:
     """Stream of events with signals, score before and after, and trigger reasons.
 
     ``base`` (customer_id, churn_probability) seeds the state of a customer's first
-    event. Score and triggers are the same JVM expressions as in the batch form.
+    event. Score and triggers are the same JVM expressions as in the batch form. States
+    are kept by ``groups`` hash groups of customers; a checkpoint holds for one number of them.
     """
-    e = events.select(KEY, "event_id", "timestamp", "event_type")
+    e = events.select(KEY, F.coalesce("event_id", F.lit(NO_ID)).alias("event_id"), "timestamp", "event_type")
     e = e.join(base.selectExpr(KEY, "churn_probability AS base_churn_probability"), KEY, "left") if base is not None else e.withColumn("base_churn_probability", F.lit(None).cast("double"))
-    st = e.groupBy(KEY).applyInPandasWithState(_advance, _OUT + ", base_churn_probability double", _STATE, "append", "NoTimeout")
-    sc = live_score(st.withColumn("days_since_last_event", F.lit(0.0)), "base_churn_probability")
+    st = e.withColumn("_group", group_of(groups)).groupBy("_group").applyInPandasWithState(_advance, _OUT + ", base_churn_probability double", "states binary", "append", "NoTimeout")
+    sc = live_score(st.withColumn("event_id", F.nullif("event_id", F.lit(NO_ID))).withColumn("days_since_last_event", F.lit(0.0)), "base_churn_probability")
     return reoptimize_triggers(sc)
 
 
