@@ -50,10 +50,11 @@ def mine(pages: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame | N
     lift.  Every token of every labelled URL is counted.  A token that is a rule by itself
     needs no combination, and its pages are explained by it: combinations are mined from the
     others.  A token that is no more frequent on bad pages than elsewhere, or too rare among
-    them, says nothing in one; FP-growth sees all others, one for each set of
-    tokens that always come together, so that URLs of many tokens cannot make it enumerate
-    the same rule over and over.  The anchor is the token of a rule that is rarest in the
-    labelled pages.
+    them, says nothing in one; FP-growth sees all others.  Tokens that always come together
+    are one item of it, so that URLs of many tokens cannot make it enumerate the same rule
+    over and over, and any of them stands for the item in other URLs: an antecedent lists the
+    tokens of each of its items.  The anchor is a token of the item of a rule that is rarest
+    in the labelled pages; a rule has a row for each such token.
     """
     bad = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.expr("quality = 0 OR coalesce(toxic, 0) = 1")).alias("bad"))
     known = scratch.keep(pages.select("page_id", tokens(F.col("url")).alias("items")).join(bad, F.col("page_id") == F.col("_id")).select(F.monotonically_increasing_id().alias("rid"), "items", "bad"), "labelled")
@@ -68,8 +69,8 @@ def mine(pages: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame | N
     counts = seen.groupBy("t").agg(F.count("*").alias("n"), F.sum("bad").alias("b"), F.sum(F.col("page").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("page", F.lit(1))).alias("s2"))
     counts = scratch.keep(counts.where(F.col("b") >= support * n).withColumn("share", F.col("b") / F.col("n")), "tokens")  # 1 / support times the tokens of a bad page at most
     is_rule = (F.col("share") >= CONFIDENCE) & (F.col("share") >= LIFT * usual)
-    alone = counts.where(is_rule).select(F.array("t").alias("antecedent"), F.col("share").alias("confidence"))
-    open_ = counts.where(~is_rule & (F.col("share") > usual * (1 + 1e-9))).groupBy("n", "b", "s1", "s2").agg(F.min("t").alias("t"))
+    alone = counts.where(is_rule).select(F.col("t").alias("anchor"), F.array(F.array("t")).alias("antecedent"), F.col("share").alias("confidence"))
+    open_ = scratch.keep(counts.where(~is_rule & (F.col("share") > usual * (1 + 1e-9))).groupBy("n", "b", "s1", "s2").agg(F.min("t").alias("t"), F.array_sort(F.collect_list("t")).alias("alike")), "items")
     told = seen.join(counts.where(is_rule).select("t"), "t").select("page").distinct()
     kept = seen.select("page", "bad", "t").join(open_.select("t"), "t").join(told, "page", "left_anti").groupBy("page", "bad").agg(F.collect_set("t").alias("items"))
     baskets = kept.select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items"))
@@ -79,13 +80,12 @@ def mine(pages: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame | N
     if here >= support * n:
         found = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n / here), minConfidence=CONFIDENCE).fit(baskets)
         more = found.associationRules.where(F.col("consequent") == F.array(F.lit(LABEL))).where(F.col("confidence") >= LIFT * usual)
-        rules = rules.unionByName(more.select("antecedent", "confidence"))
-    rules = scratch.keep(rules.withColumn("rule_id", F.monotonically_increasing_id()), "rules")
-    if rules.isEmpty():
-        return None
-    counted = rules.select("rule_id", F.explode("antecedent").alias("t")).join(counts.select("t", "n"), "t")
-    anchors = counted.groupBy("rule_id").agg(F.min(F.struct("n", "t"))["t"].alias("anchor"))
-    return scratch.keep(rules.join(anchors, "rule_id").select("anchor", "antecedent", "confidence"), "index")
+        more = scratch.keep(more.select(F.monotonically_increasing_id().alias("rule_id"), "antecedent", "confidence"), "combinations")
+        items = more.select("rule_id", "confidence", F.explode("antecedent").alias("t")).join(open_, "t")
+        whole = items.groupBy("rule_id").agg(F.first("confidence").alias("confidence"), F.collect_list("alike").alias("antecedent"), F.min(F.struct("n", "t", "alike"))["alike"].alias("anchors"))
+        rules = rules.unionByName(whole.select(F.explode("anchors").alias("anchor"), "antecedent", "confidence"))
+    rules = scratch.keep(rules, "index")
+    return None if rules.isEmpty() else rules
 
 
 def judge(pages: DataFrame, labels: DataFrame, scratch: Scratch | None = None, rules=RULES) -> DataFrame:
@@ -107,7 +107,7 @@ def judge(pages: DataFrame, labels: DataFrame, scratch: Scratch | None = None, r
         urls = rows.select("url").where("url IS NOT NULL").distinct()
         open_urls = urls.where(listed(host(F.col("url")), path(F.col("url")), rules)[1].isNull())
         probes = open_urls.select("url", F.explode_outer(let(tokens(F.col("url")), lambda t: F.transform(t, lambda x: F.struct(x.alias("t"), t.alias("all"))))).alias("p"))
-        hits = probes.join(small, F.col("p.t") == F.col("anchor")).where(F.size(F.array_except("antecedent", "p.all")) == 0).select(F.col("url").alias("_url")).distinct()
+        hits = probes.join(small, F.col("p.t") == F.col("anchor")).where(F.forall("antecedent", lambda alike: F.arrays_overlap(alike, F.col("p.all")))).select(F.col("url").alias("_url")).distinct()
         hits = scratch.keep(hits, "hits")
         bad = rows.join(hits, F.col("url") == F.col("_url"), "left").select("page_id", "url", F.col("_url").isNotNull().alias("hit"))
     h, p = host(F.col("url")), path(F.col("url"))
