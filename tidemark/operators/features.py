@@ -194,18 +194,16 @@ def journey_stage(snapshots: DataFrame, as_of) -> DataFrame:
     """Latest status and how long it has lasted.
 
     The current island starts at the first snapshot after the last one with another
-    status, so two aggregations replace a window over the whole history of a customer.
+    status; both are looked up beside a customer's rows, in one pass over the snapshots.
     """
-    hist = snapshots.where(F.col("snapshot_date") <= _at(as_of))
+    hist = snapshots.where((F.col("snapshot_date") <= _at(as_of)) & F.col(KEY).isNotNull())
     extra = [x for x in ("inactivity_days", "recent_visit_score", "recent_purchase_score", "recent_exposure_score") if x in snapshots.columns]
-    hist = shared(hist)
-    latest = hist.groupBy(KEY).agg(F.max_by(F.struct("current_status", "snapshot_date", *extra), "snapshot_date").alias("l"))
-    j = hist.select(KEY, "snapshot_date", "current_status").join(latest, KEY)
-    other = F.max(F.when(F.col("current_status") != F.col("l.current_status"), F.col("snapshot_date")))
-    bounds = j.groupBy(KEY).agg(other.alias("_other"))
-    start = j.join(bounds, KEY).where(F.col("_other").isNull() | (F.col("snapshot_date") > F.col("_other"))).groupBy(KEY).agg(
-        F.min("snapshot_date").alias("_start"))
-    return latest.join(start, KEY).select(
+    person = W.partitionBy(KEY)
+    latest = hist.select(KEY, "snapshot_date", "current_status", F.max_by(F.struct("current_status", "snapshot_date", *extra), "snapshot_date").over(person).alias("l"))
+    other = F.max(F.when(F.col("current_status") != F.col("l.current_status"), F.col("snapshot_date"))).over(person)
+    start = latest.withColumn("_other", other).where(F.col("_other").isNull() | (F.col("snapshot_date") > F.col("_other"))).groupBy(KEY).agg(
+        F.min("snapshot_date").alias("_start"), F.first("l").alias("l"))
+    return start.select(
         KEY, F.col("l.current_status").alias("current_journey_stage"),
         (whole_days("_start", "l.snapshot_date") + 1).alias("journey_stage_days"),
         *[F.col(f"l.{x}").alias(x) for x in extra])

@@ -14,14 +14,13 @@ STAGES = ("가입", "첫구매", "재구매", "충성", "이탈")
 
 
 def final_churn_run(snapshots: DataFrame) -> DataFrame:
-    """Start of the unbroken churn_risk run at the end of the history, from aggregates only."""
-    snapshots = shared(snapshots.select(KEY, "snapshot_date", "current_status"))
-    ends = snapshots.groupBy(KEY).agg(
-        F.max("snapshot_date").alias("final_snapshot_date"),
-        F.expr("max(snapshot_date) FILTER (WHERE current_status <> 'churn_risk') AS _other"))
-    tail = ends.where("_other IS NULL OR _other < final_snapshot_date")
-    return snapshots.select(KEY, "snapshot_date").join(tail, KEY).where("_other IS NULL OR snapshot_date > _other").groupBy(KEY).agg(
-        F.min("snapshot_date").alias("final_churn_start_date"), F.first("final_snapshot_date").alias("final_snapshot_date"))
+    """Start of the unbroken churn_risk run at the end of the history, in one pass over the snapshots."""
+    person = W.partitionBy(KEY)
+    ends = snapshots.where(F.col(KEY).isNotNull()).select(
+        KEY, "snapshot_date", F.max("snapshot_date").over(person).alias("final_snapshot_date"),
+        F.max(F.expr("CASE WHEN current_status <> 'churn_risk' THEN snapshot_date END")).over(person).alias("_other"))
+    return ends.where("_other IS NULL OR _other < final_snapshot_date AND snapshot_date > _other").groupBy(KEY).agg(
+        F.min("snapshot_date").alias("final_churn_start_date"), F.max("final_snapshot_date").alias("final_snapshot_date"))
 
 
 def behavior_anchor(events: DataFrame, churners: DataFrame, meaningful=MEANINGFUL) -> DataFrame:

@@ -32,7 +32,8 @@ def activity_snapshots(customers: DataFrame, events: DataFrame, orders: DataFram
     daily = totals.join(seen, [KEY, "day"], "full").withColumn("grid", F.lit(0))
     spans = days.groupBy(KEY).agg(F.min("_first").alias("_a"), F.max("last_any").alias("_b"))
     end = days.agg(F.expr("to_date(max(last_any)) AS _end"))
-    base = customers.join(spans, KEY, "left").crossJoin(F.broadcast(end)).withColumn("_signup", F.expr("coalesce(signup_date, _a, _end)"))
+    # read twice: for the grid and beside its rows
+    base = cut_lineage(customers.join(spans, KEY, "left").crossJoin(F.broadcast(end)).withColumn("_signup", F.expr("coalesce(signup_date, _a, _end)")))
     start, stop = "to_date(least(_signup, _a))", "greatest(to_date(_b), _end, to_date(least(_signup, _a)))"
     grid = base.selectExpr(
         KEY, f"explode(array_distinct(concat(sequence({start}, {stop}, INTERVAL {every} DAY), array({stop})))) AS day", "1 AS grid")

@@ -161,8 +161,9 @@ def _(v):
 g AS (SELECT *, sum(ch) OVER (PARTITION BY customer_id ORDER BY snapshot_date) AS island FROM s)
 SELECT customer_id, CAST(island AS BIGINT) AS island, current_status, min(snapshot_date) AS island_start, max(snapshot_date) AS island_end, count(*) AS snapshots FROM g GROUP BY 1, 2, 3""")
 def _(v):
-    s = v.snapshots().select("customer_id", "snapshot_date", "current_status", F.trunc("snapshot_date", "year").alias("y"))
-    p = od.previous_row(s, ["customer_id"], [("snapshot_date", True)], ["current_status"], "y")
+    # both steps read their input twice
+    s = od.cut_lineage(v.snapshots().select("customer_id", "snapshot_date", "current_status", F.trunc("snapshot_date", "year").alias("y")))
+    p = od.cut_lineage(od.previous_row(s, ["customer_id"], [("snapshot_date", True)], ["current_status"], "y"))
     g = od.running_totals(p, [("snapshot_date", True)], {"island": F.expr("cast(NOT (prev_current_status <=> current_status) AS bigint)")}, by=["customer_id"], range_col="y")
     return g.groupBy("customer_id", "island", "current_status").agg(F.min("snapshot_date").alias("island_start"), F.max("snapshot_date").alias("island_end"), F.count(F.lit(1)).alias("snapshots"))
 
