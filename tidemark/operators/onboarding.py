@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.expr import add, bound, chain
-from ..functions.ordered import cut_lineage, exact_quantiles, pct_ranks, previous_row, quantile_row, row_index, shared
+from ..functions.ordered import cut_lineage, exact_quantiles, pct_ranks, quantile_row, row_index, shared
 from . import onboarding_words as words
 from .scoring import uplift_by_median
 
@@ -381,17 +381,39 @@ def upload_cohort_retention(customers: DataFrame, events: DataFrame, orders: Dat
     return j.selectExpr("acquisition_month AS cohort_month", "period", "cohort_size", f"inline(array({rows}))").selectExpr("*", "retained_customers / greatest(cohort_size, 1) AS retention_rate")
 
 
+def customer_cycles(rows: DataFrame) -> DataFrame:
+    """Rows of each customer and the mean of their gaps of more than 0 and at most 365 days, from times ``t``.
+
+    Gaps inside a day are added up beside its rows; one row per customer and day then has the
+    gap to the day before, so that the times are sorted once. Equal times are gaps of zero.
+    """
+    micros = lambda a, b: f"unix_micros(cast({a} AS timestamp)) - unix_micros(cast({b} AS timestamp))"
+    fits = "> 0 AND {0} <= 365 * 86400000000"
+    inside = rows.select(KEY, "t", F.to_date("t").alias("_day")).withColumn("_p", F.lag("t").over(W.partitionBy(KEY, "_day").orderBy("t"))).withColumn("_g", F.expr(micros("t", "_p")))
+    days = inside.groupBy(KEY, "_day").agg(F.count(F.lit(1)).alias("_n"), F.min("t").alias("_first"), F.max("t").alias("_last"), *[
+        F.expr(f"{x} FILTER (WHERE _g {fits.format('_g')}) AS {k}") for x, k in (("sum(_g)", "_sum"), ("count(1)", "_gaps"))])
+    days = days.withColumn("_before", F.lag("_last").over(W.partitionBy(KEY).orderBy("_day"))).withColumn("_b", F.expr(micros("_first", "_before")))
+    per = days.groupBy(KEY).agg(F.sum("_n").alias("rows"), F.expr(f"coalesce(sum(_sum), 0) + coalesce(sum(_b) FILTER (WHERE _b {fits.format('_b')}), 0) AS _sum"),
+                                F.expr(f"sum(_gaps) + count_if(_b {fits.format('_b')}) AS _gaps"))
+    return per.selectExpr(KEY, "rows", "CASE WHEN _gaps > 0 THEN _sum / 86400000000D / _gaps END AS cycle")
+
+
 def recommend_churn_days(df: DataFrame, *, time: str = "ts", event_type: str | None = None) -> DataFrame:
-    """1.75 x the median of the customers' mean gaps, 7..180 days; purchases alone when there are at least twenty."""
-    base = df.select(KEY, F.col(time).alias("t"), (F.col(event_type) == "purchase").alias("buy") if event_type else F.lit(False).alias("buy")).where(f"t IS NOT NULL AND {KEY} IS NOT NULL")
-    both = base.withColumn("src", F.explode(F.expr("CASE WHEN buy THEN array('purchase', 'all') ELSE array('all') END"))).groupBy("src", KEY, "t").agg(F.count(F.lit(1)).alias("n"))
-    gaps = previous_row(both.withColumn("_day", F.to_date("t")), ["src", KEY], [("t", True)], ["t"], "_day").withColumn(
-        "gap", F.expr("(unix_micros(cast(t AS timestamp)) - unix_micros(cast(prev_t AS timestamp))) / 86400000000D")).where("gap > 0 AND gap <= 365")
-    cyc = cut_lineage(gaps.groupBy("src", KEY).agg(F.avg("gap").alias("cycle")))
-    med = exact_quantiles(cyc, {"c": "cycle"}, [0.5], by=["src"]).join(cyc.groupBy("src").agg(F.count(F.lit(1)).alias("customers")), "src")
-    rows = both.groupBy("src").agg(F.sum("n").alias("rows"))
-    ok = med.join(rows, "src").where("customers >= 3 AND (src = 'all' OR rows >= 20)")
-    return ok.agg(F.expr("max_by(q_0, src) AS q")).selectExpr("q AS median_cycle_days", "cast(least(greatest(bround(q * 1.75, 0), 7), 180) AS bigint) AS churn_days")
+    """1.75 x the median of the customers' mean gaps, 7..180 days; purchases alone when there are at least twenty.
+
+    All rows are only gone through if the purchases do not suffice.
+    """
+    base = df.select(KEY, F.col(time).alias("t"), *[F.col(x).alias("_type") for x in [event_type] if x]).where(f"t IS NOT NULL AND {KEY} IS NOT NULL")
+    cyc = None
+    if event_type:
+        cyc = cut_lineage(customer_cycles(base.where("_type = 'purchase'")))
+        facts = cyc.agg(F.sum("rows").alias("rows"), F.count("cycle").alias("customers")).first()  # one row
+        if (facts["rows"] or 0) < 20 or facts["customers"] < 3:
+            cyc = None
+    if cyc is None:
+        cyc = cut_lineage(customer_cycles(base))
+    med = exact_quantiles(cyc, {"c": "cycle"}, [0.5]).crossJoin(F.broadcast(cyc.agg(F.count("cycle").alias("customers")))).where("customers >= 3")
+    return med.agg(F.max("q_0").alias("q")).selectExpr("q AS median_cycle_days", "cast(least(greatest(bround(q * 1.75, 0), 7), 180) AS bigint) AS churn_days")
 
 
 def summary_scores(df: DataFrame, *, domain: str = "ecommerce") -> DataFrame:
