@@ -6,7 +6,7 @@ import statistics
 
 import pytest
 
-from tidemark.operators import onboarding as ob
+from tidemark.operators import onboarding as ob, uplift as up
 
 T0 = dt.datetime(2020, 1, 1)
 
@@ -49,3 +49,15 @@ def test_churn_days_sort_the_times_once(spark, monkeypatch, share):
 def test_churn_days_without_enough_customers(spark):
     few = spark.createDataFrame([(1, T0, "purchase"), (1, T0 + dt.timedelta(days=3), "purchase"), (2, T0, "visit")], "customer_id long, ts timestamp_ntz, kind string")
     assert tuple(ob.recommend_churn_days(few, event_type="kind").first()) == tuple(ob.recommend_churn_days(few.where("false")).first()) == (None, 7)
+
+
+@pytest.mark.parametrize("learner", [up.t_learner, up.s_learner, up.dr_learner])
+def test_learners_compute_their_rows_once(spark, learner):
+    read = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([(i, float(i % 7), i % 2, int(i % 7 > 3)) for i in range(300)], 2)
+    train = spark.createDataFrame(rows.map(lambda r: (read.add(1), r)[1]), "customer_id long, x double, treatment_flag int, retained_60d int")
+    col = f"uplift_score_{learner.__name__}"
+    got = learner(train, train, ["x"]).select("customer_id", col).collect()
+    assert read.value == 300 and sorted(r[0] for r in got) == list(range(300)) and all(-1 <= r[1] <= 1 for r in got)
+    few = learner(train, spark.createDataFrame([(1, 2.0), (1, None)], "customer_id long, x double"), ["x"])
+    assert few.count() == 2 and "retained_60d" not in few.columns

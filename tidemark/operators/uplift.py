@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expr import add, bound, chain
-from ..functions.ordered import cut_lineage, running_totals
+from ..functions.ordered import cheap, cut_lineage, running_totals, shared
 from .scoring import uplift_by_risk
 
 KEY = "customer_id"
@@ -89,8 +89,15 @@ def _p1(model, df: DataFrame, out: str) -> DataFrame:
     return model.transform(df).withColumn(out, F.when(F.size(p) > 1, p[1]).otherwise(0.0)).drop("_prob", "_raw", "_pred")
 
 
+def _read_once(train: DataFrame, apply_to: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every fit goes over its rows several times: they are written once, also if they are to be scored."""
+    kept = shared(train)
+    return kept, kept if apply_to is train else apply_to
+
+
 def t_learner(train: DataFrame, apply_to: DataFrame, features=FEATURES, y: str = "retained_60d", w: str = "treatment_flag") -> DataFrame:
     """One outcome forest per arm."""
+    train, apply_to = _read_once(train, apply_to)
     d, a = _assembled(train, features), _assembled(apply_to, features)
     m1, m0 = _forest(y).fit(d.where(f"{w} = 1")), _forest(y).fit(d.where(f"{w} = 0"))
     return _p1(m0, _p1(m1, a, "_p1"), "_p0").withColumn("uplift_score_t_learner", F.expr("_p1 - _p0")).drop("_p1", "_p0", "features")
@@ -100,6 +107,7 @@ def s_learner(train: DataFrame, apply_to: DataFrame, features=FEATURES, y: str =
     """One forest with the treatment as a feature, applied with 1 and 0."""
     from pyspark.ml.feature import VectorAssembler
 
+    train, apply_to = _read_once(train, apply_to)
     cols = [*features, "_arm"]
     model = _forest(y).fit(_assembled(train.withColumn("_arm", F.col(w)), cols))
     one = _p1(model, _assembled(apply_to.withColumn("_arm", F.lit(1)), cols), "_p1").drop("features")
@@ -111,6 +119,7 @@ def dr_learner(train: DataFrame, apply_to: DataFrame, features=FEATURES, y: str
     """Doubly robust pseudo-outcome, then one regression forest."""
     from pyspark.ml.regression import RandomForestRegressor
 
+    train, apply_to = _read_once(train, apply_to)
     d = _assembled(train, features)
     m1, m0 = _forest(y).fit(d.where(f"{w} = 1")), _forest(y).fit(d.where(f"{w} = 0"))
     e = train.agg(F.expr(f"least(greatest(avg({w}), 0.05), 0.95) AS _e"))
@@ -124,7 +133,7 @@ def uplift_scoring(dataset: DataFrame, features=FEATURES) -> DataFrame:
     """Three learners, the best by area on a held-out half, guarded fallback, economics."""
     dataset = cut_lineage(dataset)
     hold = F.expr(f"pmod(xxhash64({KEY}), 4) = 0")
-    train, test = dataset.where(~hold), dataset.where(hold)
+    train, test = cheap(dataset.where(~hold)), dataset.where(hold)
     names = {"uplift_score_t_learner": t_learner, "uplift_score_s_learner": s_learner, "uplift_score_dr_learner": dr_learner}
     area = {n: auuc(qini_curve(fit(train, test, features), score=n)).first()["auuc"] for n, fit in names.items()}
     scored = dataset
