@@ -6,7 +6,7 @@ import statistics
 
 import pytest
 
-from tidemark.operators import onboarding as ob, uplift as up
+from tidemark.operators import churn_model as cm, onboarding as ob, uplift as up
 
 T0 = dt.datetime(2020, 1, 1)
 
@@ -61,3 +61,17 @@ def test_learners_compute_their_rows_once(spark, learner):
     assert read.value == 300 and sorted(r[0] for r in got) == list(range(300)) and all(-1 <= r[1] <= 1 for r in got)
     few = learner(train, spark.createDataFrame([(1, 2.0), (1, None)], "customer_id long, x double"), ["x"])
     assert few.count() == 2 and "retained_60d" not in few.columns
+
+
+def counted(spark, rows, schema):
+    """A frame and the number of its rows that were computed."""
+    read = spark.sparkContext.accumulator(0)
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda r: (read.add(1), r)[1]), schema), read
+
+
+def test_churn_table_is_computed_once(spark):
+    rows = [(i, i % 2, float(i % 5), "ab"[i % 3 > 0], f"t{i}", T0 + dt.timedelta(days=i)) for i in range(120)]
+    df, read = counted(spark, rows, "customer_id long, label int, x double, persona string, remark string, signup_date timestamp_ntz")
+    rest, fate = cm.churn_columns(df)
+    assert rest.count() == 120 and read.value == 120
+    assert fate["x"] == "numeric" and fate["persona"] == "category" and fate["remark"] == "leakage" and fate["signup_date_year"] == "constant"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordered import cut_lineage, pct_ranks, running_totals, shared
+from ..functions.ordered import cheap, cut_lineage, pct_ranks, running_totals, shared
 
 KEY = "customer_id"
 # Names and name parts that reveal the target, risk-derived fields, identifiers.
@@ -57,11 +57,12 @@ def leakage_filter(df: DataFrame, label_source: str | None = None) -> tuple[Data
     rest = df.drop(*drop)
     text = [c for c, t in rest.dtypes if t == "string" and c not in fixed]
     if text:
+        rest = shared(rest)
         pairs = ", ".join(f"struct('{c}' AS feature, `{c}` AS v)" for c in text)
         levels = rest.selectExpr(f"inline(array({pairs}))").where("v IS NOT NULL").distinct().groupBy("feature").count()
         n, row = rest.count(), dict.fromkeys(text, 0) | {r["feature"]: r["count"] for r in levels.collect()}  # one row a column
         wide = [c for c in text if row[c] > 50 and ("sequence" in c.lower() or row[c] / max(n, 1) >= 0.5)]
-        rest, drop = rest.drop(*wide), drop + wide
+        rest, drop = cheap(rest.drop(*wide)), drop + wide
     return rest, drop
 
 
@@ -144,7 +145,7 @@ def churn_columns(df: DataFrame, *, label_source: str | None = None, label: str
     ``category`` if they stay, else ``leakage``, ``constant`` or ``proxy``.
     """
     rest, leaking = leakage_filter(df, label_source)
-    rest = shared(datetime_parts(rest))
+    rest = cheap(datetime_parts(shared(rest)))
     fate = dict.fromkeys(leaking, "leakage")
     same = [r["feature"] for r in constant_columns(rest.drop(label)).where("is_constant").collect()]  # one row a column
     rest = rest.drop(*same)
