@@ -6,7 +6,7 @@ import statistics
 
 import pytest
 
-from tidemark.operators import churn_model as cm, onboarding as ob, uplift as up
+from tidemark.operators import churn_model as cm, features as fe, onboarding as ob, uplift as up
 
 T0 = dt.datetime(2020, 1, 1)
 
@@ -69,6 +69,22 @@ def counted(spark, rows, schema):
     return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda r: (read.add(1), r)[1]), schema), read
 
 
+def test_feature_frame_goes_over_all_events_twice(spark):
+    end = dt.datetime(2020, 6, 1)
+    ev = [(c, end - dt.timedelta(days=d, hours=c), k, f"{c}-{d}") for c in range(4) for d, k in ((-20, "visit"), (3, "visit"), (89, "search"), (91, "visit"), (400, "purchase")) if c < 2 or d > 90]
+    events, read = counted(spark, ev, "customer_id long, timestamp timestamp_ntz, event_type string, session_id string")
+    customers = spark.createDataFrame([(c, dt.datetime(2019, 1, 1)) for c in range(5)], "customer_id long, signup_date timestamp_ntz")
+    orders = spark.createDataFrame([(1, 0, end - dt.timedelta(days=5), 10.0, 1.0, 0)], "order_id long, customer_id long, order_time timestamp_ntz, net_amount double, quantity double, coupon_used int")
+    exposures = spark.createDataFrame([], "customer_id long, exposure_time timestamp_ntz, coupon_cost double")
+    df, _ = fe.build_customer_features(customers, events, orders, exposures, as_of=str(end), clusters=None, finish=False)
+    got = {r.customer_id: r for r in df.collect()}
+    assert df.columns[df.columns.index("visits_14d") - 1] == "days_since_last_event"
+    assert read.value <= 2 * len(ev)
+    assert [got[c].visits_90d for c in range(5)] == [1, 1, 0, 0, 0] and [got[c].total_events for c in range(5)] == [2, 2, None, None, None]
+    assert [round(got[c].days_since_last_event, 3) for c in range(5)] == [3.0, 3.042, 91.083, 91.125, 999.0]
+    assert got[0].recent_event_sequence == "purchase > visit > search > visit" and got[4].recent_event_sequence == "no_history" and [got[c].label for c in range(5)] == [0, 0, 1, 1, 1]
+
+
 def test_churn_table_is_computed_once(spark):
     rows = [(i, i % 2, float(i % 5), "ab"[i % 3 > 0], f"t{i}", T0 + dt.timedelta(days=i)) for i in range(120)]
     df, read = counted(spark, rows, "customer_id long, label int, x double, persona string, remark string, signup_date timestamp_ntz")

@@ -92,9 +92,9 @@ def time_of_day_aggregates(cond: str) -> list[Column]:
 
 
 def event_aggregates(as_of: str) -> list[Column]:
+    """Counts of the last 90 days, the longest window."""
     end, t = at(as_of), "timestamp"
     return [
-        F.expr(f"coalesce({days_sql(f'max({t}) FILTER (WHERE {t} <= {end})', end)}, 999D) AS days_since_last_event"),
         *[F.expr(f"count_if({win(t, end, d, b)} AND event_type = '{k}') AS {n}") for n, k, d, b in EVENT_WINDOWS],
         F.expr(f"cast(size(collect_set(CASE WHEN {win(t, end, 30)} THEN to_date({t}) END)) AS bigint) AS active_days_30d"),
         *time_of_day_aggregates(win(t, end, 90)),
@@ -162,13 +162,16 @@ def session_features(events: DataFrame, orders: DataFrame, as_of: str) -> DataFr
         "CASE WHEN _ss = 0 THEN 0D ELSE coalesce(_days, 0) / _ss END")).drop("_ss", "_days")
 
 
-def recent_event_sequence(events: DataFrame, as_of, n: int = 5) -> DataFrame:
-    """Last n types in time order. The row-number limit is applied on the map side before the shuffle."""
+def recent_event_sequence(events: DataFrame, as_of, n: int = 5, also: tuple = ()) -> DataFrame:
+    """Last n types in time order. The row-number limit is applied on the map side before the shuffle.
+
+    ``also``: more aggregates of the last n rows.
+    """
     w = W.partitionBy(KEY).orderBy(F.col("timestamp").desc(), F.col("event_type").desc())
     last = events.where(F.col("timestamp") <= _at(as_of)).select(KEY, "timestamp", "event_type").withColumn(
         "_k", F.row_number().over(w)).where(F.col("_k") <= n)
     seq = F.array_sort(F.collect_list(F.struct((-F.col("_k")).alias("k"), "event_type")))
-    return last.groupBy(KEY).agg(F.concat_ws(" > ", F.transform(seq, lambda x: x["event_type"])).alias("recent_event_sequence"))
+    return last.groupBy(KEY).agg(F.concat_ws(" > ", F.transform(seq, lambda x: x["event_type"])).alias("recent_event_sequence"), *also)
 
 
 def behavior_mix(events: DataFrame, as_of, types=EVENT_TYPES, days: int = 90) -> DataFrame:
@@ -264,13 +267,14 @@ def winsorize_impute(df: DataFrame, skip=(KEY, "label")) -> tuple[DataFrame, Dat
     numeric = [n for n, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint") and n not in skip]
     text = [n for n, t in df.dtypes if t == "string" and n not in skip]
     q = exact_quantiles(df, {n: n for n in numeric}, [0.01, 0.5, 0.99])
-    limits = q.agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("q_0", "q_1", "q_2")))).alias("_lim"))
-    out = df.crossJoin(F.broadcast(limits))
+    # one row with the limits of all columns: nothing is looked up for a row
+    limits = q.agg(*[F.expr(f"max(q_{i}) FILTER (WHERE metric = '{n}') AS _q{i}_{n}") for n in numeric for i in range(3)]) if numeric else None
+    out = df.crossJoin(F.broadcast(limits)) if numeric else df
     cols = []
     for n, _ in df.dtypes:
         if n in numeric:
-            lim, v = f"try_element_at(_lim, '{n}')", f"nanvl(cast({n} AS double), NULL)"
-            cols.append(f"coalesce(CASE WHEN {v} IS NOT NULL THEN least(greatest({v}, {lim}.q_0), {lim}.q_2) END, {lim}.q_1, 0D) AS {n}")
+            v = f"nanvl(cast({n} AS double), NULL)"
+            cols.append(f"coalesce(CASE WHEN {v} IS NOT NULL THEN least(greatest({v}, _q0_{n}), _q2_{n}) END, _q1_{n}, 0D) AS {n}")
         else:
             cols.append(f"coalesce({n}, 'unknown') AS {n}" if n in text else n)
     table = q.select(F.col("metric").alias("feature"), F.col("q_0").alias("clip_p01"), F.col("q_2").alias("clip_p99"), F.col("q_1").alias("fill_value"))
@@ -305,21 +309,27 @@ def build_customer_features(customers: DataFrame, events: DataFrame, orders: Dat
         base = base.join(treatment.select(KEY, *[x for x in treatment.columns if x not in base.columns]), KEY, "left")
     if summary is not None:
         base = summary_enrichment(base, summary)
-    base = base.withColumn("customer_age_days", F.greatest(whole_days("signup_date", end), F.lit(0)))
+    base = cut_lineage(base.withColumn("customer_age_days", F.greatest(whole_days("signup_date", end), F.lit(0))))
     o = orders.groupBy(KEY).agg(*order_aggregates(as_of))
-    e = events.groupBy(KEY).agg(*event_aggregates(as_of))
+    # the windows reach 90 days back and the horizon ahead: only the last events of a customer need the whole history
+    near = cut_lineage(events.where((F.col("timestamp") > shift_days(end, -90)) & (F.col("timestamp") <= shift_days(end, horizon))).select(KEY, "timestamp", "event_type", "session_id"))
+    e = near.groupBy(KEY).agg(*event_aggregates(as_of))
+    since = F.expr(f"{days_sql('max(timestamp)', at(as_of))} AS days_since_last_event")
     x = exposure_features(exposures, as_of)
     parts = [
-        o, median_purchase_gap(orders.where(F.col("order_time") <= end)), e, x, session_features(events, orders, as_of),
-        recent_event_sequence(events, as_of, n_recent), dominant_event_type(events, as_of),
+        o, median_purchase_gap(orders.where(F.col("order_time") <= end)), e, x, session_features(near, orders, as_of),
+        recent_event_sequence(events, as_of, n_recent, (since,)), dominant_event_type(near, as_of),
     ]
     if clusters:
         parts.append(behavior_clusters(events, as_of, clusters))
     if snapshots is not None:
         parts.append(journey_stage(snapshots, as_of))
-    parts.append(future_activity_label(base, events, orders, snapshots, as_of, horizon))
+    parts.append(future_activity_label(base, near, orders, snapshots, as_of, horizon))
     base = base.drop(*[n for n in ("recency_days",) if n in base.columns])
     df = reduce(lambda a, b: a.join(b, KEY, "left"), parts, base)
+    names = [n for n in df.columns if n != "days_since_last_event"]
+    first = names.index(EVENT_WINDOWS[0][0])
+    df = df.select(*names[:first], "days_since_last_event", *names[first:])
 
     zero = ["frequency_30d", "frequency_prev_30d", "frequency_90d", "monetary_30d", "monetary_90d", "active_days_30d",
             "exposure_count_30d", "exposure_count_prev_30d", "coupon_cost_30d", *[n for n, *_ in EVENT_WINDOWS]]
