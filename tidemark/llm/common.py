@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: The white space of the contracts: blank and the characters from tab to carriage return.
 SPACE = " \t\n\x0b\f\r"
 SPACES = "[ \\t-\\r]+"
+#: One white space; Java looks a class of listed characters up in a table, other than one with a range.
+BLANK = "[ \\t\\n\\x0B\\f\\r]"
 
 _folders: dict[str, str] = {}
 
@@ -89,8 +91,7 @@ def sampled(df: DataFrame, key: str, n: int, bound: int) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` in order; none for null."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")
 
 
 SPAN = "array<struct<start:int,end:int,s:string>>"

@@ -30,43 +30,74 @@ PRIOR = 5.0
 FALSE_REJECTS = 0.002
 
 
-def base_counts(w: Column, text: Column) -> list[Column]:
-    """The counts of the contract from a text and its words."""
+def base_counts(w: Column, text: Column, pairs: Column | None = None) -> list[Column]:
+    """The counts of the contract from a text and its words; ``pairs`` are ``_pairs(w)`` if they are there already."""
     lines = F.filter(F.split(text, "\n", -1), lambda s: F.btrim(s, F.lit(SPACE)) != "")
     n = F.size(w)
-    windows = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
-    repeats = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h)))
+    shorter = let(_pairs(w) if pairs is None else pairs, _joined_pairs)
+    repeats = let(shorter, lambda q: _unless_distinct(q, let(_neighbours(q), lambda h: _unless_distinct(h, _covered(h)))))
     return [
         n.cast("long").alias("n_words"),
-        F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         let(lines, lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("n_dup_lines"),
         F.when(n < WINDOW, F.lit(0)).otherwise(repeats).cast("long").alias("n_repeat_words"),
     ]
 
 
+def _neighbours(x: Column, gap: int = 1) -> Column:
+    """Hashes of every two elements that are ``gap`` apart."""
+    n = F.greatest(F.size(x) - gap, F.lit(0))
+    return F.zip_with(F.slice(x, 1, n), F.slice(x, gap + 1, n), lambda a, b: F.xxhash64(a, b))
+
+
+def _pairs(w: Column) -> Column:
+    """Hashes of the pairs of neighbouring words."""
+    return _neighbours(w)
+
+
+def _joined_pairs(pairs: Column) -> Column:
+    """Hashes of the windows of four words, one less than WINDOW, from those of two: without a repeated one no longer window is repeated."""
+    return _neighbours(pairs, 2)
+
+
+def _unless_distinct(h: Column, use: Column) -> Column:
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(use)
+
+
 def _covered(hashes: Column) -> Column:
     """Words in windows whose hash occurs again: positions of such windows, five words each, overlaps once."""
     def repeated(s: Column) -> Column:
-        again = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: F.coalesce(F.get(s, j - 1)["h"] == F.get(s, j)["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == F.get(s, j)["h"], F.lit(False)))
-        return F.array_sort(F.transform(again, lambda j: F.get(s, j)["i"]))
+        again = F.filter(s, lambda x, j: F.get(s, j + 1)["h"].eqNullSafe(x["h"]) | F.get(s, j - 1)["h"].eqNullSafe(x["h"]))
+        return F.sort_array(again["i"])
 
     def length(p: Column) -> Column:
-        steps = F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))))
+        steps = F.zip_with(p, F.slice(p, 2, F.size(p)), lambda x, y: F.least(F.lit(WINDOW), F.coalesce(y - x, F.lit(WINDOW))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    return let(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda s: let(repeated(s), length))
+    return let(F.sort_array(F.arrays_zip(hashes.alias("h"), F.sequence(F.lit(0), F.size(hashes) - 1).alias("i"))), lambda s: let(repeated(s), length))
+
+
+def _singles(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
 def _grams(w: Column) -> Column:
     """Hashes of the single words and of the pairs of neighbours."""
-    one = F.transform(w, lambda x: F.xxhash64(x))
-    two = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(one, two)
+    return F.concat(_singles(w), _pairs(w))
+
+
+def _each_gram(docs: DataFrame, grams: Column) -> DataFrame:
+    """A row ``h`` for each of a document's n-grams, beside the columns of ``docs`` but its text.
+
+    They are a column first, so that compiled code makes the rows of them; ``explode`` would add a filter that computes them again.
+    """
+    kept = [c for c in docs.columns if c != "text"]
+    return once(docs, grams.alias("_g")).select(*kept, F.explode_outer("_g").alias("h")).where("h IS NOT NULL")
 
 
 def _bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _literal(values, kind: str) -> Column:
@@ -90,20 +121,25 @@ class Model:
         table = _literal((f"{x:.4f}" for x in self.weights), "double")
         return F.when(F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda a, h: a + F.get(table, _bucket(h))) / F.size(grams))
 
-    def toxic_score(self, grams: Column) -> Column:
+    def held(self, grams: Column) -> Column:
+        """The toxic n-grams among a document's."""
+        return F.array_intersect(grams, _literal((str(h) for h, _ in self.toxic), "bigint")) if self.toxic else F.array().cast("array<bigint>")
+
+    def toxic_score(self, held: Column) -> Column:
         """Sum of the TOXIC_TOP largest weights of the toxic n-grams that a document holds, however long it is."""
         if not self.toxic:
             return F.lit(0.0)
         keys, values = _literal((str(h) for h, _ in self.toxic), "bigint"), _literal((f"{x:.4f}" for _, x in self.toxic), "double")
-        held = F.transform(F.array_intersect(grams, keys), lambda h: F.get(values, (F.array_position(keys, h) - 1).cast("int")))
-        return F.aggregate(F.slice(F.sort_array(held, asc=False), 1, TOXIC_TOP), F.lit(0.0), lambda a, x: a + x)
+        weights = F.transform(held, lambda h: F.get(values, (F.array_position(keys, h) - 1).cast("int")))
+        return F.aggregate(F.slice(F.sort_array(weights, asc=False), 1, TOXIC_TOP), F.lit(0.0), lambda a, x: a + x)
 
 
 def _toxic_grams(part: DataFrame) -> tuple[tuple[int, float], ...]:
     """N-grams that more of the toxic documents hold than of the trusted ones, with the log ratio of the two shares; the most telling TOXIC_GRAMS."""
     n_toxic, n_good = part.agg(*[F.count_if(F.array_contains("sides", x)) for x in ("toxic", "good")]).first()
     told = part.where(F.arrays_overlap("sides", F.array(F.lit("toxic"), F.lit("good"))))
-    held = told.select(F.array_contains("sides", "toxic").alias("toxic"), F.array_contains("sides", "good").alias("good"), F.explode(F.array_distinct(let(words(F.col("text")), _grams))).alias("h"))
+    flags = told.select(F.array_contains("sides", "toxic").alias("toxic"), F.array_contains("sides", "good").alias("good"), "text")
+    held = _each_gram(flags, F.array_distinct(let(words(F.col("text")), _grams)))
     counts = held.groupBy("h").agg(F.count_if("toxic").alias("t"), F.count_if("good").alias("g")).where(F.col("t") >= min(TOXIC_LEAST, n_toxic))
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("g") + 0.5) / (n_good + 1))
     top = counts.select("h", "t", weight.alias("w")).where("w > 0").orderBy((F.col("t") * F.col("w")).desc(), "h").limit(TOXIC_GRAMS)
@@ -152,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     """
     marked = _sided(docs, labels, scratch)
     grams = let(words(F.col("text")), _grams)
-    buckets = let(grams, lambda g: F.transform(g, _bucket))
-    counted = marked.select(F.when(F.col("good"), 1).alias("good"), F.explode_outer(buckets).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("good")).where("b IS NOT NULL")
+    each = _each_gram(marked.select(F.when(F.col("good"), 1).alias("good"), "text"), grams)
+    counted = each.groupBy(_bucket(F.col("h")).alias("b")).agg(F.count("*").alias("raw"), F.count("good").alias("good"))
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counted.collect():  # BUCKETS rows at most
         raw[r.b], good[r.b] = r.raw, r.good
@@ -166,8 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     halves = {r.half for r in part.where(F.array_contains("sides", "toxic")).select("half").distinct().collect()}
     learn, held_out = (part.where("half"), F.expr("NOT half")) if len(halves) == 2 else (part, F.lit(True))
     model = Model(tuple(weights.round(4).tolist()), None, _toxic_grams(learn) if halves else ())
-    made = let(grams, lambda g: F.struct(F.round(model.score(g), DIGITS).alias("s"), F.round(model.toxic_score(g), DIGITS).alias("t")))
-    scored = once(part.select("sides", "text", held_out.alias("held_out")), made.alias("m")).where("m.s IS NOT NULL")
+    made = let(grams, lambda g: F.struct(F.round(model.score(g), DIGITS).alias("s"), g.alias("g")))
+    found = once(once(part.select("sides", "text", held_out.alias("held_out")), made.alias("_m")), model.held(F.col("_m.g")).alias("_held"))
+    scored = once(found, F.struct(F.col("_m.s").alias("s"), F.round(model.toxic_score(F.col("_held")), DIGITS).alias("t")).alias("m")).where("m.s IS NOT NULL")
     each = scored.select(F.explode("sides").alias("side"), F.expr("m.s AS s"), F.expr("CASE WHEN held_out THEN m.t END AS t")).select("side", F.expr("inline(array(struct('s' AS kind, s AS v), struct('t' AS kind, t AS v)))"))
     levels: dict = {}
     for r in each.where("v IS NOT NULL").groupBy("side", "kind", "v").count().collect():  # scores to DIGITS
@@ -205,9 +242,12 @@ def _judged(docs: DataFrame, labels: DataFrame, scratch: Scratch | None) -> Data
     scratch = scratch or Scratch(docs.sparkSession)
     model = fit(docs, labels, scratch)
     text = F.coalesce("_row.text", F.lit(""))
-    made = let(words(text), lambda w: let(_grams(w), lambda g: F.struct(*base_counts(w, text), model.score(g).alias("score"), model.toxic_score(g).alias("toxic"))))
+    of_grams = lambda w, p: let(F.concat(_singles(w), p), lambda g: F.struct(*base_counts(w, text, p), model.score(g).alias("score"), g.alias("grams")))
+    made = let(words(text), lambda w: let(_pairs(w), lambda p: of_grams(w, p)))
     n, r = F.col("_q.n_words"), F.col("_q.n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * r > MAX_REPEAT * n)
     good = F.lit(True) if model.threshold is None else F.coalesce(F.round("_q.score", DIGITS) >= model.threshold, F.lit(False))
-    clean = F.lit(True) if model.toxic_threshold is None else F.col("_q.toxic") <= model.toxic_threshold
-    return once(rows_of(docs), made.alias("_q")).select("_row", "_q", failed.alias("base_failed"), (~failed & good & clean).alias("kept"))
+    clean = F.lit(True) if model.toxic_threshold is None else F.col("_toxic") <= model.toxic_threshold
+    # the n-grams are a column of their own, so that the toxic ones are looked up in compiled code
+    found = once(once(rows_of(docs), made.alias("_q")), model.held(F.col("_q.grams")).alias("_held"))
+    return once(found, model.toxic_score(F.col("_held")).alias("_toxic")).select("_row", "_q", failed.alias("base_failed"), (~failed & good & clean).alias("kept"))
